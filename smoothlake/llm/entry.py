@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, quality_rules, secret_scans, toxicity
+from . import near_duplicates, packing, quality_rules, secret_scans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.join(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; all machines have it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op9_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

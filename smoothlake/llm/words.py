@@ -62,12 +62,14 @@ class Block:
         np.cumsum(flags, out=total[1:])
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
-    def spans(self, separators: np.ndarray = SPACES, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and rows of the words."""
+    def spans(self, separators: np.ndarray = SPACES, data: np.ndarray | None = None, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and rows of the words; cuts are bytes at which a new word begins anyway."""
         data = self.data if data is None else data
         n = len(data)
         inside = ~separators[data]
         edge = np.zeros(n + 1, bool)
+        if cuts is not None:
+            edge[:n] = cuts
         edge[self.bounds] = True
         start = inside.copy()
         start[1:] &= ~inside[:-1] | edge[1:n]
