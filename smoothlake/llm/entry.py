@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, packing, quality_rules, secret_scans, toxicity
+from . import hidden_markov, near_duplicates, packing, quality_rules, secret_scans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.join(_table(spark, sf_dir, "documents"))
 
 
+def op3_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is; all machines have it."""
     import public_tokenizers
@@ -42,7 +46,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_hidden_markov_lm, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
