@@ -143,9 +143,9 @@ def plan(counts: np.ndarray, s: Settings = Settings()) -> list[tuple[Configurati
 
 
 class _Vocabulary:
-    """Ids of words, kept between batches of a worker as flat arrays, in order of the words' hashes."""
+    """Ids of words, kept between batches of a worker as flat arrays: a large table and a small one of newer words, each in order of the words' hashes."""
 
-    most = 2_000_000
+    most, chunk = 1_500_000, 4096
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -154,27 +154,45 @@ class _Vocabulary:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.tables = [empty, empty]
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _add(self, flat: np.ndarray) -> int:
+        first = self.used
+        self.used += len(flat)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
+        self.ids[first : self.used] = flat
+        return first
 
     def lookup(self, keys: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of distinct keys, in order, begin in self.ids, and how many there are; spelled(i) is the word of a key."""
-        if len(self.keys) + len(keys) > self.most:
+        if sum(len(t[0]) for t in self.tables) + len(keys) > self.most:
             self.clear()
-        k = np.searchsorted(self.keys, keys)
-        known = k < len(self.keys)
-        known[known] = self.keys[k[known]] == keys[known]
-        new = np.flatnonzero(~known)
+        at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
+        for k, a, c in self.tables:
+            if len(k):
+                x = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                good = k[x] == keys
+                at[good], n[good] = a[x[good]], c[x[good]]
+        new = np.flatnonzero(at < 0)
+        for i in range(0, len(new), self.chunk):
+            part = new[i : i + self.chunk]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([spelled(j) for j in part.tolist()], add_special_tokens=False)]
+            n[part] = size = np.fromiter(map(len, got), np.int32, len(got))
+            first = self._add(np.fromiter((x for e in got for x in e), np.uint32, int(size.sum())))
+            at[part] = first + np.cumsum(size, dtype=np.int64) - size
         if len(new):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([spelled(i) for i in new.tolist()], add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int32, len(got))
-            flat = np.fromiter((x for e in got for x in e), np.uint32, int(n.sum()))
-            at = len(self.ids) + np.cumsum(n, dtype=np.int64) - n
-            self.ids = np.concatenate([self.ids, flat])
-            both = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(both, kind="stable")
-            self.keys, self.at, self.n = both[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
-            k = np.searchsorted(self.keys, keys)
-        return self.at[k], self.n[k]
+            self.tables[1] = self._merged(self.tables[1], (keys[new], at[new], n[new]))
+            if len(self.tables[1][0]) > 0.25 * len(self.tables[0][0]):
+                self.tables = [self._merged(*self.tables), tuple(x[:0] for x in self.tables[0])]
+        return at, n
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        place = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, place, y) for x, y in zip(a, b, strict=True))
 
 
 _loaded: dict[str, _Vocabulary] = {}
@@ -233,7 +251,7 @@ def pieces(docs: DataFrame, tokenizer: str, s: Settings = Settings(), id_col: st
         if tokenizer not in _loaded:
             _loaded[tokenizer] = _Vocabulary(tokenizer)
         for batch in batches:
-            for block in words.blocks(batch.column(1), 4 << 20):
+            for block in words.blocks(batch.column(1)):
                 ids, bounds = encode(block, _loaded[tokenizer])
                 size = np.diff(bounds)
                 n = -(-size // s.capacity)
