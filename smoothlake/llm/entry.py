@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hidden_markov, near_duplicates, packing, quality_rules, secret_scans, sharding, toxicity
+from . import hidden_markov, media, near_duplicates, packing, quality_rules, secret_scans, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_hidden_markov_lm, op6_histogram_sort, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_hidden_markov_lm, op6_histogram_sort, op7_media_columns, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
