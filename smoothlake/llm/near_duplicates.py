@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words
 from .grouped import components, least_labels, map_groups, pairs
@@ -319,7 +320,7 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
                 part = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(whole.view(np.int64))], names=[*batch.schema.names, "__cls"])
 
-    schema = docs.schema.add("__cls", "long")
+    schema = StructType([*docs.schema.fields, StructField("__cls", LongType())])
     rows = docs.where(worded).mapInArrow(run, schema).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
     kept = rows.join(best, ["__cls", "__id"]).dropDuplicates(["__cls", "__id"]).select(*docs.columns)
     return kept.unionAll(docs.where(~worded))
