@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hidden_markov, media, near_duplicates, packing, quality_rules, secret_scans, sharding, toxicity, wrappers
+from . import hidden_markov, media, near_duplicates, packing, quality_rules, secret_scans, sentence_pieces, sharding, toxicity, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_hidden_markov_lm, op4_wrapper_induction, op6_histogram_sort, op7_media_columns, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_hidden_markov_lm, op4_wrapper_induction, op5_sentence_pieces, op6_histogram_sort, op7_media_columns, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .scratch import save
+from .unit_cache import UnitCache
 
 Configuration = tuple[tuple[int, int], ...]  # lengths, longest first, and how often each
 
@@ -142,57 +143,12 @@ def plan(counts: np.ndarray, s: Settings = Settings()) -> list[tuple[Configurati
     return out + list(best_fit(left, s.capacity).items())
 
 
-class _Vocabulary:
-    """Ids of words, kept between batches of a worker as flat arrays: a large table and a small one of newer words, each in order of the words' hashes."""
-
-    most, chunk = 1_500_000, 4096
-
+class _Vocabulary(UnitCache):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.tables = [empty, empty]
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _add(self, flat: np.ndarray) -> int:
-        first = self.used
-        self.used += len(flat)
-        if self.used > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
-        self.ids[first : self.used] = flat
-        return first
-
-    def lookup(self, keys: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of distinct keys, in order, begin in self.ids, and how many there are; spelled(i) is the word of a key."""
-        if sum(len(t[0]) for t in self.tables) + len(keys) > self.most:
-            self.clear()
-        at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
-        for k, a, c in self.tables:
-            if len(k):
-                x = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-                good = k[x] == keys
-                at[good], n[good] = a[x[good]], c[x[good]]
-        new = np.flatnonzero(at < 0)
-        for i in range(0, len(new), self.chunk):
-            part = new[i : i + self.chunk]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([spelled(j) for j in part.tolist()], add_special_tokens=False)]
-            n[part] = size = np.fromiter(map(len, got), np.int32, len(got))
-            first = self._add(np.fromiter((x for e in got for x in e), np.uint32, int(size.sum())))
-            at[part] = first + np.cumsum(size, dtype=np.int64) - size
-        if len(new):
-            self.tables[1] = self._merged(self.tables[1], (keys[new], at[new], n[new]))
-            if len(self.tables[1][0]) > 0.25 * len(self.tables[0][0]):
-                self.tables = [self._merged(*self.tables), tuple(x[:0] for x in self.tables[0])]
-        return at, n
-
-    @staticmethod
-    def _merged(a: tuple, b: tuple) -> tuple:
-        place = np.searchsorted(a[0], b[0])
-        return tuple(np.insert(x, place, y) for x, y in zip(a, b, strict=True))
 
 
 _loaded: dict[str, _Vocabulary] = {}
@@ -224,20 +180,20 @@ def encode(block: words.Block, vocabulary: _Vocabulary) -> tuple[np.ndarray, np.
         raw = lower.tobytes()
     starts, ends, rows = block.spans(words.SPACES, lower, cuts)
     h = words.Block(lower, block.bounds, 0).hashes(starts, ends)
-    keys, one, which = np.unique(h, return_index=True, return_inverse=True)
-    a, b = starts[one].tolist(), ends[one].tolist()
-    at, n = vocabulary.lookup(keys, lambda i: raw[a[i] : b[i]].decode())
-    size = n[which].astype(np.int64)
-    total = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size, out=total[1:])
-    source = np.repeat(at[which] - total[:-1], size)
-    source += np.arange(total[-1])
+
+    def words_ids(part: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spelled = [raw[a:b].decode() for a, b in zip(starts[one[part]].tolist(), ends[one[part]].tolist(), strict=True)]
+        got = [e.ids for e in vocabulary.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        return np.fromiter((x for e in got for x in e), np.uint32, int(size.sum())), size
+
+    ids, total = vocabulary.spread(h, words_ids)
     first = np.searchsorted(rows, np.arange(block.rows + 1))
     bounds = total[first] + np.arange(block.rows + 1)
     out = np.zeros(bounds[-1], np.uint32)
     # each row's ids move on by the zeros before them
     shift = np.repeat(np.arange(block.rows), np.diff(total[first]))
-    out[np.arange(total[-1]) + shift] = vocabulary.ids[source]
+    out[np.arange(total[-1]) + shift] = ids
     return out, bounds
 
 
