@@ -10,6 +10,7 @@ this sees only the histogram, so its cost does not depend on the number of docum
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -145,9 +146,10 @@ def plan(counts: np.ndarray, s: Settings = Settings()) -> list[tuple[Configurati
 
 class _Vocabulary(UnitCache):
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each worker has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(most=1_000_000)
         self.tokenizer = Tokenizer.from_file(path)
 
 
@@ -207,7 +209,7 @@ def pieces(docs: DataFrame, tokenizer: str, s: Settings = Settings(), id_col: st
         if tokenizer not in _loaded:
             _loaded[tokenizer] = _Vocabulary(tokenizer)
         for batch in batches:
-            for block in words.blocks(batch.column(1)):
+            for block in words.blocks(batch.column(1), 1 << 20):
                 ids, bounds = encode(block, _loaded[tokenizer])
                 size = np.diff(bounds)
                 n = -(-size // s.capacity)
