@@ -152,12 +152,13 @@ def items(page: str) -> list[tuple[int, str, str | None, str | None, str | None]
                 held.append(child.text)
             elif child.key == "#raw":
                 continue
-            elif child.tag == "img" and child.text.startswith(SCHEME):
-                flush()
-                out.append(["media", None, child.text[len(SCHEME) :], None])
+            elif child.tag == "img":
+                if child.text.startswith(SCHEME):
+                    flush()
+                    out.append(["media", None, child.text[len(SCHEME) :], None])
             elif child.tag in html_tree.INLINE:
                 visit(child)
-            else:
+            elif child.tag != "script":
                 flush()
                 visit(child)
                 flush()
