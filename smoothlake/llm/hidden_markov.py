@@ -114,7 +114,15 @@ class Lexicon:
 
 
 def _lexicon(vocabulary: DataFrame, texts: int, s: Settings) -> Lexicon:
-    top = vocabulary.orderBy(F.desc("n"), "key").limit(s.known).select("key", "n").toPandas()  # a parameter bounds it
+    # the least count that no more than so many words reach, by a histogram of counts on a log scale
+    scale = F.floor(F.log2("n") * 64)
+    words_at = sorted(((r["at"], r["v"]) for r in vocabulary.groupBy(scale.alias("at")).agg(F.count("*").alias("v")).collect()), reverse=True)
+    taken, least = 0, None
+    for at, v in words_at:
+        if taken + v > s.known:
+            break
+        taken, least = taken + v, at
+    top = (vocabulary.where(scale >= least) if least is not None else vocabulary.limit(0)).orderBy(F.desc("n"), "key").select("key", "n").toPandas()
     keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     shared = vocabulary.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # as many rows as shared classes
     n, v = np.zeros(s.shared), np.zeros(s.shared)

@@ -86,12 +86,16 @@ def _sketch(block: words.Block) -> np.ndarray:
 
 def _sample(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
     """Sketch, text and label of the sampled rows, one of each sketch and label."""
-    ids = (
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
         .where("id is not null and toxic in (0, 1) and crc32(cast(id as string)) % 5 != 0")
-        .groupBy("id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("id"), "id").limit(settings.sample)
+        .groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("hash", F.xxhash64("id"))
     )
+    # a bound on the hash that leaves some more than the sample, so that no task sends the driver as many rows as that
+    n = known.count()
+    if n > 2 * settings.sample:
+        known = known.where(F.col("hash") < int(-(2**63) + 2**64 * 1.25 * settings.sample / n))
+    ids = known.orderBy("hash", "id").limit(settings.sample).select("id", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +115,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.asarray(batch.column(1))
-            for block in words.blocks(batch.column(0), 8 << 20):
+            for block in words.blocks(batch.column(0), 2 << 20):
                 features, rows = _features(block)
                 h, r = np.concatenate(features), np.tile(rows, len(features))
                 keep = h != 0

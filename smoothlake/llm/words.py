@@ -8,6 +8,7 @@ hashes in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,6 +149,20 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
     """All rows of a column, in blocks of about so many bytes; a longer text is a block of its own."""
     data, bounds = as_bytes(column)
@@ -157,3 +172,4 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
         part = bounds[first : last + 1]
         yield Block(data[part[0] : part[-1]], part - part[0], first)
         first = last
+    trim()
