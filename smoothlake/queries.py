@@ -544,7 +544,7 @@ def quantiles_by_kind(spark, sf):
 @query(f"""
     WITH r AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), g AS (SELECT lo - (hi - lo) + i * 3 * (hi - lo) / 999 AS x FROM r, range(1000) t(i) UNION SELECT unnest([quantile_cont(p_retailprice, 0.25), quantile_cont(p_retailprice, 0.5), quantile_cont(p_retailprice, 0.9)]) FROM part),
     f AS (SELECT x, avg({epan_cdf("(x - p_retailprice) / 25")}) AS f FROM g, part GROUP BY x)
-    SELECT t AS tau, round(min(x), 5) AS quantile FROM (SELECT unnest([0.25, 0.5, 0.9]) AS t), f WHERE f >= t GROUP BY t""")
+    SELECT t AS tau, round(min(x), 5) AS quantile FROM (SELECT unnest([0.25, 0.5, 0.9]) AS t), f WHERE f >= least(greatest(t, (SELECT min(f) FROM f)), (SELECT max(f) FROM f)) GROUP BY t""")
 def quantile_smooth(spark, sf):
     return rounded(density.npquantile(table(spark, sf, "part"), "p_retailprice", [0.25, 0.5, 0.9], con("p_retailprice", 25.0), 1000), "quantile", digits=5)
 
