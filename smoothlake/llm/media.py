@@ -214,5 +214,5 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null; repeated rows each get a row; other columns are not read.
     """
     stored = save(stored_texts(docs, text_col), "media")
-    found = resolve(interleave(text_pages(docs, id_col, text_col)).where("kind = 'media'"), facts(stored))
+    found = resolve(interleave(text_pages(docs, id_col, text_col)).where("kind = 'media'"), save(facts(stored), "media-facts"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
