@@ -31,13 +31,13 @@ from .scratch import save
 class Settings:
     """own: words with a class of their own. shared: classes of the others. known: words whose counts all tasks hold; others are joined. neighbours: words that are clustered."""
 
-    states: int = 8
+    states: int = 12
     own: int = 1024
     shared: int = 1024
     suffix: int = 3
     known: int = 65_536
     neighbours: int = 256
-    rounds: int = 3
+    rounds: int = 5
     segment: int = 256
     together: int = 512
     add: float = 0.1
