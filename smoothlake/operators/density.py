@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,21 @@ def npudistbw(data: DataFrame, names: list, method: str = "cv.cdf", kernel: Kern
     return search.select(data, names, search.distribution_cdf, kernel, kind, method=method, rounds=rounds)
 
 
+def range_bounds(data: DataFrame, names: list[str], kernel: Kernel) -> Kernel:
+    """The kernel with the ranges of the data as bounds; those of beta kernels reach half a step beyond the outermost values."""
+    out = {}
+    for n in names:
+        c = F.col(n).cast("double")
+        low, high = data.agg(F.min(c), F.max(c)).first()
+        if kernel.continuous == "beta":
+            second, last = data.agg(F.min(F.when(c > low, c)), F.max(F.when(c < high, c))).first()
+            if second is None:
+                raise ValueError(f"{n} has fewer than two values")
+            low, high = low - (second - low) / 2, high + (high - last) / 2
+        out[n] = (low, high)
+    return replace(kernel, bounds=kernel.bounds | out)
+
+
 def _count(data: DataFrame, bw: Bandwidth) -> int:
     return data.na.drop(subset=bw.names).count()
 

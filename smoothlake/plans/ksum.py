@@ -106,6 +106,11 @@ def factor(bw: Bandwidth, i: int, x: np.ndarray, X: np.ndarray, h: np.ndarray |
                 raise ValueError(f"beta kernels need bounds for {v.name}")
             return kernels.beta(x, X, np.asarray(h, float), *bounds, k.order, operator)
         z = (x - X) / h
+        if operator == "score":  # the derivative by the bandwidth
+            if bounds:
+                raise ValueError("bounded kernels have no score here")
+            slope = z * kernels.derivative(z, k.continuous, k.order)
+            return -(kernels.pdf(z, k.continuous, k.order) + slope) / (h * h) if divide else -slope / h
         out = kernels.CONTINUOUS[operator](z, k.continuous, k.order)
         if bounds and operator == "normal":
             out = out / kernels.bounded_mass(x, np.asarray(h, float), *bounds, k.continuous, k.order)
@@ -198,6 +203,10 @@ def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, resp
     if engine != "blocks":
         raise ValueError(f"no engine {engine}")
     at = collect(points, bw, at=F.col("at").cast("long"))
+    for v, x in zip(bw.variables, at.columns, strict=True):
+        low, high = bw.kernel.bounds.get(v.name, (-math.inf, math.inf))
+        if ((x < low) | (x > high)).any():
+            raise ValueError(f"evaluation points of {v.name} lie outside its bounds")
     sorted_values = _sorted_training(train, bw)
     if compress and bw.kind != "adaptive_nn":
         rows = compressed(rows, keys, names)
@@ -231,6 +240,27 @@ def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, resp
     return out.select("at", *(F.col(f"v{i}").alias(v.name) for i, v in enumerate(bw.variables)), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
 
 
+def permuted(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, responses: dict[str, Column] | None = None, operator: str = "derivative", **options) -> DataFrame:
+    """The sums, and under name_response those with one continuous variable's operator exchanged, for each in turn.
+
+    operator: normal, derivative, integral or score, the derivative by the variable's bandwidth.
+    """
+    responses = responses or {"n": F.lit(1.0)}
+    if isinstance(points, pd.DataFrame):
+        points = train.sparkSession.createDataFrame(points.assign(at=np.arange(len(points))) if "at" not in points else points)
+    out = ksum(train, bw, points, responses, **options)
+    for i in bw.continuous:
+        name = bw.variables[i].name
+        part = ksum(train, bw, points, responses, operators={name: operator}, **options)
+        out = out.join(F.broadcast(part.select("at", *(F.col(r).alias(f"{name}_{r}") for r in responses))), "at")  # as many rows as points, which are bounded
+    return out
+
+
+def at_reference(train: DataFrame, bw: Bandwidth, points: pd.DataFrame, name: str, level, responses: dict[str, Column] | None = None, **options) -> DataFrame:
+    """The sums with one category's evaluation level set to a reference."""
+    return ksum(train, bw, points.assign(**{name: level}), responses, **options)
+
+
 def _factor_column(bw: Bandwidth, i: int, operator: str, divide: bool) -> Column:
     v, k, h = bw.variables[i], bw.kernel, bw.h[i]
     x, X = F.col(f"e{i}"), F.col(f"v{i}")

@@ -222,6 +222,15 @@ def ksum_buckets(spark, sf):
     return got.select("at", F.round("n", 6).alias("n"))
 
 
+@query(f"""
+    WITH g AS {series(0.0, 0.1, 11, "x")}, k AS (SELECT g.at, l_quantity AS y, (g.x - t.l_discount) / 0.02 AS z, {gauss("(g.x - t.l_discount) / 0.02")} AS k FROM g, lineitem t)
+    SELECT CAST(k.at AS BIGINT) AS at, round(sum(k) / 50 / 1000, 5) AS n, round(sum(-z * k / 0.0004) / 1e6, 5) AS derivative, round(sum((z*z - 1) * k / 0.0004) / 1e6, 5) AS score FROM k GROUP BY k.at""")
+def ksum_permutations(spark, sf):
+    data, bw, points = table(spark, sf, "lineitem"), con("l_discount", 0.02, GAUSS), numbers(0, 0.1, 11, "l_discount")
+    d = plans.permuted(data, bw, points).select("at", F.round(F.col("n") * 0.02 / 50 / 1000, 5).alias("n"), F.round(F.col("l_discount_n") / 1e6, 5).alias("derivative"))
+    return d.join(plans.permuted(data, bw, points, operator="score").select("at", F.round(F.col("l_discount_n") / 1e6, 5).alias("score")), "at")
+
+
 @query(f"""
     SELECT CAST(a.p_partkey AS BIGINT) AS p_partkey, round(sum(CASE WHEN a.p_partkey <> b.p_partkey THEN {epan("(a.p_retailprice - b.p_retailprice) / 20")} ELSE 0 END), 5) AS loo FROM part a, part b GROUP BY a.p_partkey""")
 def ksum_leave_one_out(spark, sf):

@@ -91,6 +91,30 @@ def test_nearest_neighbours():
                 assert g == pytest.approx(d[min(k, n) - 1] * max(1, k / n))
 
 
+def test_permutations_and_scores(data):
+    bw = lambda h: Bandwidth((Variable("x"), Variable("w")), (h, 0.4))
+    points = pd.DataFrame({"x": [0.2, 0.7], "w": [0.0, 0.5]})
+    total = lambda b, p=points: plans.ksum(data, b, p).toPandas().sort_values("at").n.to_numpy()
+    got = plans.permuted(data, bw(0.1), points).toPandas().sort_values("at")
+    assert np.allclose(got.n, total(bw(0.1)))
+    assert np.allclose(got.x_n, (total(bw(0.1), points.assign(x=points.x + 1e-5)) - total(bw(0.1), points.assign(x=points.x - 1e-5))) / 2e-5, rtol=1e-4)
+    score = plans.permuted(data, bw(0.1), points, operator="score").toPandas().sort_values("at")
+    assert np.allclose(score.x_n, (total(bw(0.1 + 1e-6)) - total(bw(0.1 - 1e-6))) / 2e-6, rtol=1e-4)
+    vs = variables(data, ["x", "z"])
+    b = Bandwidth(tuple(vs), (0.1, 0.2))
+    mixed = pd.DataFrame({"x": [0.2, 0.7], "z": ["b", "c"]})
+    assert np.allclose(plans.at_reference(data, b, mixed, "z", "a").toPandas().sort_values("at").n, total(b, mixed.assign(z="a")))
+
+
+def test_range_bounds(data, frame):
+    k = density.range_bounds(data, ["x"], Kernel("beta", bounds={}))
+    u = np.sort(frame.x.unique())
+    assert k.bounds["x"] == pytest.approx((u[0] - (u[1] - u[0]) / 2, u[-1] + (u[-1] - u[-2]) / 2))
+    assert np.isfinite(density.npudens(data, one(kernel=k, h=0.2), GRID).toPandas().dens).all()
+    with pytest.raises(ValueError):
+        density.npudens(data, one(kernel=density.range_bounds(data, ["x"], GAUSS)), pd.DataFrame({"x": [7.0]})).count()
+
+
 def test_leave_one_out(data, frame):
     got = plans.ksum(data, one(), GRID, {"n": F.lit(1.0), "key": F.col("row")}, leave_one_out=True).toPandas().sort_values("own_key")
     K = kernels.pdf((frame.x.to_numpy()[:, None] - frame.x.to_numpy()) / 0.1) / 0.1
