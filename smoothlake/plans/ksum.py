@@ -9,7 +9,8 @@ compute it; all add up within tasks before the one exchange, by evaluation row:
 - buckets: for compact kernels of one variable, an equi-join on buckets of the kernel's width, for
   evaluation tables of any size.
 
-Before any of them, rows with equal variables may be added up, which is exact.
+Rows with equal variables may be added up first, which is exact: within each batch in the first plan,
+and by an aggregation in the others.
 """
 
 from __future__ import annotations
@@ -173,6 +174,21 @@ def compressed(rows: DataFrame, keys: list[str], values: list[str], threshold: f
     return rows.groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))
 
 
+def folded(X: list[np.ndarray], R: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows with equal variables added up, if that leaves at most half of them."""
+    key = np.zeros(len(R), np.uint64)
+    for c in X:
+        key = (key ^ (c + 0.0).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    some = key[:2000]
+    if 2 * len(np.unique(some)) > len(some):
+        return X, R
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    if any((c != c[first][which]).any() for c in X):  # two keys of the same hash
+        return X, R
+    return [c[first] for c in X], np.stack([np.bincount(which, r, len(first)) for r in R.T], 1)
+
+
 def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, responses: dict[str, Column] | None = None, *, operators: dict[str, str] | None = None, power: int = 1, divide: bool = True, compress: bool = True, leave_one_out: bool = False, engine: str = "blocks", expand: Expand | None = None, outputs: list[str] | None = None) -> DataFrame:
     """at, the number of the evaluation row, its variables, and a sum for each response.
 
@@ -208,8 +224,6 @@ def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, resp
         if ((x < low) | (x > high)).any():
             raise ValueError(f"evaluation points of {v.name} lie outside its bounds")
     sorted_values = _sorted_training(train, bw)
-    if compress and bw.kind != "adaptive_nn":
-        rows = compressed(rows, keys, names)
     step = max(1, TILE // max(1, at.n))
     if expand:
         names = list(outputs)
@@ -221,10 +235,15 @@ def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, resp
         h = None
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for k in range(0, batch.num_rows, step):
+            if not batch.num_rows:
+                continue
+            all_x, all_r = columns[:d], np.stack(columns[d:], 1)
+            if compress:
+                all_x, all_r = folded(all_x, all_r)
+            for k in range(0, len(all_r), step):
                 seen = True
-                X = [c[k : k + step] for c in columns[:d]]
-                R = np.stack([c[k : k + step] for c in columns[d:]], 1)
+                X = [c[k : k + step] for c in all_x]
+                R = all_r[k : k + step]
                 if expand:
                     R = expand(X, R)
                 if h is None or bw.kind == "adaptive_nn":
