@@ -155,7 +155,7 @@ def unordered(same: np.ndarray, lam: float, kind: str = "aitchisonaitken", level
         return np.where(same, 1.0, 0.0)
     if kind == "aitchisonaitken":
         return np.where(same, 1 - lam, lam / (levels - 1))
-    if kind == "liracine":
+    if kind == "geometric":
         return np.where(same, 1.0, lam)
     raise ValueError(f"no unordered kernel {kind}")
 
@@ -173,13 +173,13 @@ def ordered(x: np.ndarray, y: np.ndarray, lam: float, kind: str = "wangvanryzin"
         power = np.where(d == 0, 1.0, np.power(float(lam), d))
     if kind == "wangvanryzin":
         return np.where(d == 0, 1 - lam, 0.5 * (1 - lam) * power)
-    if kind == "liracine":
+    if kind == "geometric":
         return power
-    if kind == "nliracine":
+    if kind == "ngeometric":
         return power * (1 - lam) / (1 + lam)
-    if kind == "racineliyan":
+    if kind == "sgeometric":
         if support is None:
-            raise ValueError("racineliyan needs the levels of the training data")
+            raise ValueError("sgeometric needs the levels of the training data")
         total = sum(np.where(np.abs(y - s) == 0, 1.0, np.power(float(lam), np.abs(y - s))) for s in support)
         return power / total
     raise ValueError(f"no ordered kernel {kind}")
@@ -188,12 +188,12 @@ def ordered(x: np.ndarray, y: np.ndarray, lam: float, kind: str = "wangvanryzin"
 def ordered_cdf(x: np.ndarray, y: np.ndarray, lam: float, kind: str, support: np.ndarray) -> np.ndarray:
     """Weights summed over levels up to x: over the training levels, or, for kernels on all whole numbers, from one range below the least on."""
     low, high = float(np.min(support)), float(np.max(support))
-    levels = support if kind == "racineliyan" else np.arange(low - (high - low), high + 1)
+    levels = support if kind == "sgeometric" else np.arange(low - (high - low), high + 1)
     return sum(np.where(s <= x, ordered(np.asarray(s, float), y, lam, kind, support), 0.0) for s in levels)
 
 
 def ordered_convolution(x: np.ndarray, y: np.ndarray, lam: float, kind: str, support: np.ndarray) -> np.ndarray:
-    if kind == "racineliyan":
+    if kind == "sgeometric":
         return sum(ordered(np.asarray(s, float), x, lam, kind, support) * ordered(np.asarray(s, float), y, lam, kind, support) for s in support)
     return sum(ordered(x, np.asarray(s, float), lam, kind) * ordered(y, np.asarray(s, float), lam, kind) for s in support)
 
@@ -295,8 +295,8 @@ def ordered_column(x: Column, y: Column, lam: float, kind: str = "wangvanryzin")
     power = F.when(d == 0, 1.0).otherwise(F.pow(F.lit(float(lam)), d))
     if kind == "wangvanryzin":
         return F.when(d == 0, 1 - lam).otherwise(power * (0.5 * (1 - lam)))
-    if kind == "liracine":
+    if kind == "geometric":
         return power
-    if kind == "nliracine":
+    if kind == "ngeometric":
         return power * ((1 - lam) / (1 + lam))
     raise ValueError(f"no column form of the ordered kernel {kind}")

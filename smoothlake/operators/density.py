@@ -15,7 +15,7 @@ from ..plans.ksum import collect, ksum, map_points
 from ..plans.spec import CONTINUOUS, UNORDERED, Bandwidth, Kernel
 from . import search
 
-DENSITY_KERNEL = Kernel(ordered="nliracine")  # ordered weights that add up to one
+DENSITY_KERNEL = Kernel(ordered="ngeometric")  # ordered weights that add up to one
 
 
 def npudensbw(data: DataFrame, names: list, method: str = "cv.ml", kernel: Kernel = DENSITY_KERNEL, kind: str = "fixed", rounds: int = 16) -> Bandwidth:

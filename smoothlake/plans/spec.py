@@ -83,7 +83,7 @@ class Kernel:
     continuous: str = "gaussian"
     order: int = 2
     unordered: str = "aitchisonaitken"
-    ordered: str = "liracine"
+    ordered: str = "geometric"
     bounds: dict[str, tuple[float, float]] = field(default_factory=dict, hash=False)
 
 

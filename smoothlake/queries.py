@@ -22,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 EPAN, GAUSS, UNIFORM = Kernel("epanechnikov"), Kernel("gaussian"), Kernel("uniform")
-EPAN_D = Kernel("epanechnikov", ordered="nliracine")
+EPAN_D = Kernel("epanechnikov", ordered="ngeometric")
 
 
 def query(sql: str | None = None):
@@ -108,15 +108,15 @@ LEVELS = "(SELECT i AS x FROM range(1, 8) t(i))"
 
 
 @query(f"""
-    SELECT CAST(a.x AS BIGINT) AS x, CAST(b.x AS BIGINT) AS y, round(CASE WHEN a.x = b.x THEN 0.7 ELSE 0.05 END, 6) AS aitchison, round(CASE WHEN a.x = b.x THEN 1 ELSE 0.3 END, 6) AS liracine_u,
-      round(CASE WHEN a.x = b.x THEN 0.7 ELSE 0.35 * power(0.3, abs(a.x - b.x)) END, 6) AS wangvanryzin, round(power(0.3, abs(a.x - b.x)), 6) AS liracine, round(power(0.3, abs(a.x - b.x)) * 0.7 / 1.3, 6) AS nliracine,
-      round(power(0.3, abs(a.x - b.x)) / (SELECT sum(power(0.3, abs(b.x - c.x))) FROM {LEVELS} c), 6) AS racineliyan
+    SELECT CAST(a.x AS BIGINT) AS x, CAST(b.x AS BIGINT) AS y, round(CASE WHEN a.x = b.x THEN 0.7 ELSE 0.05 END, 6) AS aitchison, round(CASE WHEN a.x = b.x THEN 1 ELSE 0.3 END, 6) AS geometric_u,
+      round(CASE WHEN a.x = b.x THEN 0.7 ELSE 0.35 * power(0.3, abs(a.x - b.x)) END, 6) AS wangvanryzin, round(power(0.3, abs(a.x - b.x)), 6) AS geometric, round(power(0.3, abs(a.x - b.x)) * 0.7 / 1.3, 6) AS ngeometric,
+      round(power(0.3, abs(a.x - b.x)) / (SELECT sum(power(0.3, abs(b.x - c.x))) FROM {LEVELS} c), 6) AS sgeometric
     FROM {LEVELS} a, {LEVELS} b""")
 def kernel_categories(spark, sf):
     x, y = (m.ravel() for m in np.meshgrid(np.arange(1.0, 8), np.arange(1.0, 8), indexing="ij"))
     support = np.arange(1.0, 8)
-    out = {"x": x.astype(int), "y": y.astype(int), "aitchison": kernels.unordered(x == y, 0.3, levels=7), "liracine_u": kernels.unordered(x == y, 0.3, "liracine", 7)}
-    out |= {k: kernels.ordered(x, y, 0.3, k, support) for k in ("wangvanryzin", "liracine", "nliracine", "racineliyan")}
+    out = {"x": x.astype(int), "y": y.astype(int), "aitchison": kernels.unordered(x == y, 0.3, levels=7), "geometric_u": kernels.unordered(x == y, 0.3, "geometric", 7)}
+    out |= {k: kernels.ordered(x, y, 0.3, k, support) for k in ("wangvanryzin", "geometric", "ngeometric", "sgeometric")}
     return rounded(spark.createDataFrame(pd.DataFrame(out)), *list(out)[2:])
 
 

@@ -68,9 +68,9 @@ def test_category_weights_add_up(lam, levels):
         assert kernels.unordered(same, lam, levels=levels).sum() == pytest.approx(1)
     k = np.arange(-400, 401.0)
     assert kernels.ordered(k, np.zeros(1), lam, "wangvanryzin").sum() == pytest.approx(1)
-    assert kernels.ordered(k, np.zeros(1), lam, "nliracine").sum() == pytest.approx(1)
+    assert kernels.ordered(k, np.zeros(1), lam, "ngeometric").sum() == pytest.approx(1)
     support = np.arange(1.0, levels + 1)
-    assert kernels.ordered(support, np.full(levels, 2.0), lam, "racineliyan", support).sum() == pytest.approx(1)
+    assert kernels.ordered(support, np.full(levels, 2.0), lam, "sgeometric", support).sum() == pytest.approx(1)
     a = kernels.unordered_convolution(np.array([True, False]), lam, "aitchisonaitken", levels)
     w = lambda i, j: kernels.unordered(np.array([i == j]), lam, "aitchisonaitken", levels)[0]
     assert a[0] == pytest.approx(sum(w(0, m) ** 2 for m in range(levels)))
