@@ -45,13 +45,27 @@ class Settings:
 # Elements that never hold an article's text, and words in a class, id or role that say the same.
 OUTSIDE = frozenset("nav aside footer form button select textarea menu dialog template head script style noscript iframe object svg math audio video canvas".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverti[sz]e\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notice|notices|alert|comments?|respond|replies|reply|disqus|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adverti[sz]e\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notice|notices|alert|comment(?!ar)\w*|respond|replies|reply|disqus|"
     r"related|recommended|share|sharing|social|subscribe|newsletter|signup|breadcrumbs?|pagination|pager|popup|modal|overlay|widget|toolbar|complementary|contentinfo|search)(?:$|[\s_-])"
 )
 MAIN = ("article", "main")
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comment(?!ar)\w*|replies|reply|related|recommended)(?:$|[\s_-])")
 SPACE = re.compile(r"\s+")
 
 
+def holds_article(node: html_tree.Node) -> bool:
+    return any(c.tag == "main" or c.tag == "article" and not COMMENT.search(c.hints) or holds_article(c) for c in node.children)
+
+
+def hinted(node: html_tree.Node) -> bool:
+    """Whether an element's class, id or role says that it is outside. On what holds the main text such words often name what stands beside it."""
+    if not node.hints or node.tag in ("html", "body", "main"):
+        return False
+    if COMMENT.search(node.hints):
+        return True
+    return node.tag != "article" and bool(HINT.search(node.hints)) and not holds_article(node)
+
+
 @dataclass(slots=True)
 class Block:
     """A node of a page's reduced tree. pieces: places and texts, in page order."""
@@ -93,14 +107,14 @@ def reduce(page: str) -> Block:
                 elif child.tag == "br":
                     held.append(" ")
                 elif child.tag in html_tree.INLINE:
-                    if not (child.hints and HINT.search(child.hints)):
+                    if not hinted(child):
                         inline(child, in_link or child.tag == "a")
                 elif child.key != "#raw":
                     flush()
                     block(child)
 
         def block(n: html_tree.Node) -> None:
-            if n.tag in OUTSIDE or n.tag == "header" and not inside_article or n.hints and n.tag not in ("html", "body") and HINT.search(n.hints):
+            if n.tag in OUTSIDE or n.tag == "header" and not inside_article or hinted(n):
                 return
             key = re.sub(r"\d+", "#", n.key)
             if out.children and out.children[-1].key == key:
@@ -217,16 +231,16 @@ def wrapper(t: Template, s: Settings) -> list:
 def extract(page: str, rules: list | None, s: Settings = Settings()) -> str:
     """The text of a page by a wrapper; by the page's own template if there is none, or if it has no content there."""
     tree = reduce(page)
-    for r in (rules, wrapper(template(tree), s)):
-        if r:
-            taken: list[tuple[int, str]] = []
-            constant: list[tuple[int, str]] = []
-            _take(tree, r, False, taken, constant)
-            if sum(len(t) for _, t in constant) > sum(len(t) for _, t in taken):  # copies of one article, not a template
-                taken += constant
-            if taken:
-                return " ".join(t for _, t in sorted(taken))
-    return ""
+    return rules and _text(tree, rules) or _text(tree, wrapper(template(tree), s))
+
+
+def _text(tree: Block, rules: list) -> str:
+    taken: list[tuple[int, str]] = []
+    constant: list[tuple[int, str]] = []
+    _take(tree, rules, False, taken, constant)
+    if sum(len(t) for _, t in constant) > sum(len(t) for _, t in taken):  # copies of one article, not a template
+        taken += constant
+    return " ".join(t for _, t in sorted(taken))
 
 
 def _take(block: Block, rule: list | None, inside: bool, taken: list, constant: list) -> None:

@@ -65,6 +65,13 @@ def test_malformed_pages():
     assert wrappers.extract("<article><p><b>a<br><p>b</article>c", None) == "a b"
 
 
+def test_hints():
+    page = '<body class="has-sidebar"><div class="layout with sidebar"><main class="no-sidebar"><article class="post"><header><h1>T</h1></header><p>Body text.</p><p class="notice">Cookies!</p><article class="comment">Nice</article></article><ol class="commentlist"><li>Me too</li></ol></main><aside>Also</aside></div><div id="footer">(c)</div></body>'
+    assert wrappers.extract(page, None) == "T Body text."
+    assert wrappers.extract('<div class="menu"><a href="/">Home</a></div>', None) == ""
+    assert wrappers.extract("<p class=commentary>Kept words</p>", None) == "Kept words"
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns = docs.columns
