@@ -29,8 +29,9 @@ def query(sql: str | None = None):
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            # "at" is a keyword of some dialects
-            SQL[f.__name__] = re.sub(r'(?<![\w."])at(?![\w"])', '"at"', " ".join(sql.split()))
+            # "at" is a keyword of some dialects; lists of numbers are doubles, as in the queries
+            text = re.sub(r'(?<![\w."])at(?![\w"])', '"at"', " ".join(sql.split()))
+            SQL[f.__name__] = re.sub(r"unnest\((\[[\d., ]*\.[\d., ]*\])\)", r"unnest(CAST(\1 AS DOUBLE[]))", text)
         return f
 
     return keep
@@ -108,7 +109,7 @@ LEVELS = "(SELECT i AS x FROM range(1, 8) t(i))"
 
 
 @query(f"""
-    SELECT CAST(a.x AS BIGINT) AS x, CAST(b.x AS BIGINT) AS y, round(CASE WHEN a.x = b.x THEN 0.7 ELSE 0.05 END, 6) AS aitchison, round(CASE WHEN a.x = b.x THEN 1 ELSE 0.3 END, 6) AS geometric_u,
+    SELECT CAST(a.x AS BIGINT) AS x, CAST(b.x AS BIGINT) AS y, round(CASE WHEN a.x = b.x THEN CAST(0.7 AS DOUBLE) ELSE 0.05 END, 6) AS aitchison, round(CASE WHEN a.x = b.x THEN CAST(1 AS DOUBLE) ELSE 0.3 END, 6) AS geometric_u,
       round(CASE WHEN a.x = b.x THEN 0.7 ELSE 0.35 * power(0.3, abs(a.x - b.x)) END, 6) AS wangvanryzin, round(power(0.3, abs(a.x - b.x)), 6) AS geometric, round(power(0.3, abs(a.x - b.x)) * 0.7 / 1.3, 6) AS ngeometric,
       round(power(0.3, abs(a.x - b.x)) / (SELECT sum(power(0.3, abs(b.x - c.x))) FROM {LEVELS} c), 6) AS sgeometric
     FROM {LEVELS} a, {LEVELS} b""")
@@ -261,7 +262,7 @@ def dens_bounded_range(spark, sf):
 
 
 @query(f"""
-    WITH g AS (SELECT q, p FROM (SELECT unnest([10.0, 25.0, 40.0]) AS q), (SELECT 10000.0 * (i + 1) AS p FROM range(8) t(i)))
+    WITH g AS (SELECT q, p FROM (SELECT unnest([10.0, 25.0, 40.0]) AS q), (SELECT CAST(10000 AS DOUBLE) * (i + 1) AS p FROM range(8) t(i)))
     SELECT q AS l_quantity, p AS l_extendedprice, round(1e6 * sum(kx * {epan("(p - l_extendedprice) / 8000")} / 8000) / sum(kx), 6) AS condens, round(sum(kx * {epan_cdf("(p - l_extendedprice) / 8000")}) / sum(kx), 6) AS condist
     FROM (SELECT g.*, t.l_extendedprice, {epan("(g.q - t.l_quantity) / 2")} AS kx FROM g, lineitem t) GROUP BY ALL""")
 def cond_density_and_distribution(spark, sf):
@@ -274,7 +275,7 @@ def cond_density_and_distribution(spark, sf):
 
 
 @query(f"""
-    WITH q AS (SELECT unnest([10.0, 25.0, 40.0]) AS q), g AS (SELECT 500.0 * i AS p FROM range(1, 240) t(i)),
+    WITH q AS (SELECT unnest([10.0, 25.0, 40.0]) AS q), g AS (SELECT CAST(500 AS DOUBLE) * i AS p FROM range(1, 240) t(i)),
     d AS (SELECT q, p, sum(kx * {epan_cdf("(p - y) / 8000")}) / sum(kx) AS f FROM (SELECT q.q, g.p, t.l_extendedprice AS y, {epan("(q.q - t.l_quantity) / 2")} AS kx FROM q, lineitem t, g) GROUP BY ALL)
     SELECT q AS l_quantity, min(p) AS quantile FROM d WHERE f >= 0.5 GROUP BY q""")
 def cond_quantile_on_grid(spark, sf):
