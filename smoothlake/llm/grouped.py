@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .scratch import save
 
+SALTS = 16  # tasks among which the edges of one node are shared
+
 Rows = Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]
 
 
@@ -90,7 +92,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = _sum(edges)
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        # a node of very many edges is dealt to several tasks
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = both.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS))).join(salted.hint("merge"), ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = save(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a != b").distinct()

@@ -275,7 +275,8 @@ def _classes(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[
     known = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("sig").alias("sig"))
     classes = save(known, "classes")
     cluster = components(_candidates(classes, s))
-    cluster = save(cluster.join(cluster.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("node").alias("cls"), F.col("component").alias("cluster"), "n"), "clusters")
+    sizes = save(cluster.groupBy("component").agg(F.count("*").alias("n")), "cluster-sizes")  # written, so that the join can split a hot cluster
+    cluster = save(cluster.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("cluster"), "n"), "clusters")
     found = save(_verified(docs, cluster.join(classes.select("cls", "copies"), "cls"), s, text_col), "links")
     part = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
@@ -293,8 +294,7 @@ def join(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     passed over by the least and stay null; repeated rows are copies; other columns are not read.
     """
     signed, classes = _classes(docs, settings, id_col, text_col)
-    named = classes.groupBy("component").agg(F.min("least").alias("class_id"))
-    # component sizes differ without bound, but each class is one row here
+    named = save(classes.groupBy("component").agg(F.min("least").alias("class_id")), "class-ids")
     classes = classes.join(named, "component").select("cls", "class_id", F.col("least").alias("text_class_id"), "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "classes")
     return signed.select("doc_id", "cls").join(classes, "cls", "left").select(
         "doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("text_class_id")).alias("text_class_id"),
