@@ -29,10 +29,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all tables that save() has written; call it when their readers have finished."""
+def mark() -> int:
+    """How many tables save() has written so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Deletes the tables that save() has written since a mark, but for the last one if that is asked; call it when their readers have finished."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    end = len(_written) - but_last
+    for where in _written[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(conf).delete(path, True)
+    del _written[since:end]

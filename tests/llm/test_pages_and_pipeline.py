@@ -6,7 +6,7 @@ import re
 import public_tokenizers
 
 import corpus_pipeline
-from smoothlake.llm import wrappers
+from smoothlake.llm import scratch, wrappers
 
 from .conftest import DATA
 from .test_corpus_operators import _packed_well, plain_join
@@ -88,6 +88,8 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in rows[3]) == sorted({texts[k]["doc_id"] for k in part})
     assert len(rows[4]) == len(rows[3]) and not any("password=" in r["text"] for r in rows[4])
     _packed_well(rows[5], tables[4])
+    before = scratch.mark()
     run = corpus_pipeline.run(spark, DATA).collect()
+    assert scratch.mark() == before + 2  # the last stage's input and its pieces
     assert sorted(r[:5] for r in run) == sorted(r[:5] for r in rows[5])
     assert public_tokenizers.path("word_bpe_49k.json")
