@@ -36,7 +36,6 @@ class Settings:
     least_pages: int = 5
     constant: float = 0.9
     links: float = 0.6
-    children: int = 64
     texts: int = 4
     broadcast_bytes: int = 16 << 20
     parts: int = 64
@@ -146,25 +145,40 @@ def template(block: Block) -> Template:
 
 
 def match(a: list, b: list, key, children) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two nodes' lists of children: the number of matching nodes, and the pairs of children matched."""
-    n, m = len(a), len(b)
-    weight = [[0] * (m + 1) for _ in range(n + 1)]
-    value = {}
-    for i in range(n):
-        for j in range(m):
-            if key(a[i]) == key(b[j]):
-                value[i, j] = 1 + match(children(a[i]), children(b[j]), key, children)[0]
-            weight[i + 1][j + 1] = max(weight[i][j + 1], weight[i + 1][j], weight[i][j] + value.get((i, j), 0))
-    pairs, i, j = [], n, m
-    while i and j:
-        if (i - 1, j - 1) in value and weight[i][j] == weight[i - 1][j - 1] + value[i - 1, j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif weight[i][j] == weight[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return weight[n][m], pairs[::-1]
+    """Simple tree matching of two nodes' lists of children: the number of matching nodes, and the pairs of children matched.
+
+    The heaviest chain of pairs with equal keys, found by prefix maxima in a binary indexed tree, so children whose key the other list lacks cost next to nothing.
+    """
+    wanted = {key(x) for x in a}
+    at: dict[str, list[int]] = {}
+    places = [j for j, y in enumerate(b) if key(y) in wanted]
+    for k, j in enumerate(places):
+        at.setdefault(key(b[j]), []).append(k)
+    best: list[tuple[int, tuple | None]] = [(0, None)] * (len(places) + 1)
+
+    def before(k: int) -> tuple[int, tuple | None]:
+        found = best[0]
+        while k:
+            if best[k][0] > found[0]:
+                found = best[k]
+            k &= k - 1
+        return found
+
+    for i, x in enumerate(a):
+        for k in reversed(at.get(key(x), ())):
+            weight, chain = before(k)
+            new = (weight + 1 + match(children(x), children(b[places[k]]), key, children)[0], (i, places[k], chain))
+            k += 1
+            while k < len(best):
+                if best[k][0] < new[0]:
+                    best[k] = new
+                k += k & -k
+    weight, chain = before(len(places))
+    pairs = []
+    while chain:
+        pairs.append(chain[:2])
+        chain = chain[2]
+    return weight, pairs[::-1]
 
 
 def fold(a: Template, b: Template, s: Settings) -> Template:
@@ -188,9 +202,6 @@ def fold(a: Template, b: Template, s: Settings) -> Template:
         if x < len(mine) and y < len(theirs):
             out.append(fold(mine[x], theirs[y], s))
         i, j = x + 1, y + 1
-    if len(out) > s.children:
-        least = sorted((c[2] for c in out), reverse=True)[s.children - 1]
-        out = [c for c in out if c[2] >= least][: s.children]
     a[6] = out
     return a
 
@@ -200,13 +211,20 @@ def _mass(t: Template) -> int:
     return max(0, t[4] - t[5]) + sum(map(_mass, t[6]))
 
 
+def _own_label(size: int, links: int, s: Settings) -> str:
+    return "m" if size and links >= s.links * size else ""
+
+
 def wrapper(t: Template, s: Settings) -> list:
-    """A node is a list: key, label, children. Labels: t template, m menu, c the root of the content, and none."""
+    """A node is a list: key, label, children. Labels: t template, m menu, c the root of the content, and none.
+
+    Nodes of a single page are left out, but for the way to the content: that page's own blocks say as much.
+    """
 
     def label(node: Template) -> str:
         if node[3] and node[2] >= s.least_pages and max(node[3].values()) >= s.constant * node[2]:
             return "t"
-        return "m" if node[4] and node[5] >= s.links * node[4] else ""
+        return _own_label(node[4], node[5], s)
 
     def find(node: Template, path: tuple[int, ...]) -> tuple[int, tuple[int, ...]] | None:
         here = [(_mass(node), path)] if node[1] in MAIN and _mass(node) else []
@@ -223,7 +241,7 @@ def wrapper(t: Template, s: Settings) -> list:
             node, path = node[6][best], (*path, best)
 
     def shape(node: Template, at: tuple[int, ...]) -> list:
-        return [node[0], "c" if at == path else label(node), [shape(c, (*at, i)) for i, c in enumerate(node[6])]]
+        return [node[0], "c" if at == path else label(node), [shape(c, (*at, i)) for i, c in enumerate(node[6]) if not c[2] == 1 < s.least_pages or path[: len(at) + 1] == (*at, i)]]
 
     return shape(t, ())
 
@@ -231,20 +249,20 @@ def wrapper(t: Template, s: Settings) -> list:
 def extract(page: str, rules: list | None, s: Settings = Settings()) -> str:
     """The text of a page by a wrapper; by the page's own template if there is none, or if it has no content there."""
     tree = reduce(page)
-    return rules and _text(tree, rules) or _text(tree, wrapper(template(tree), s))
+    return rules and _text(tree, rules, s) or _text(tree, wrapper(template(tree), s), s)
 
 
-def _text(tree: Block, rules: list) -> str:
+def _text(tree: Block, rules: list, s: Settings) -> str:
     taken: list[tuple[int, str]] = []
     constant: list[tuple[int, str]] = []
-    _take(tree, rules, False, taken, constant)
+    _take(tree, rules, False, taken, constant, s)
     if sum(len(t) for _, t in constant) > sum(len(t) for _, t in taken):  # copies of one article, not a template
         taken += constant
     return " ".join(t for _, t in sorted(taken))
 
 
-def _take(block: Block, rule: list | None, inside: bool, taken: list, constant: list) -> None:
-    label = rule[1] if rule else ""
+def _take(block: Block, rule: list | None, inside: bool, taken: list, constant: list, s: Settings) -> None:
+    label = rule[1] if rule else _own_label(sum(len(t) for _, t in block.pieces), block.links, s)
     inside = inside or label == "c"
     if label == "m":
         return
@@ -256,7 +274,7 @@ def _take(block: Block, rule: list | None, inside: bool, taken: list, constant:
     else:
         pairs = dict(_match_rules(block.children, rules)) if rules else {}
     for i, child in enumerate(block.children):
-        _take(child, rules[pairs[i]] if i in pairs else None, inside, taken, constant)
+        _take(child, rules[pairs[i]] if i in pairs else None, inside, taken, constant, s)
 
 
 def _match_rules(blocks: list[Block], rules: list) -> list[tuple[int, int]]:
@@ -267,6 +285,21 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+def push(stack: list[Template], t: Template, s: Settings) -> None:
+    """Adds a page's template to those held of its host. Templates of equally many pages fold, so a wide one is gone through as often as pages double, not once for each page."""
+    stack.append(t)
+    while len(stack) > 1 and stack[-1][2] >= stack[-2][2]:
+        last = stack.pop()
+        stack[-1] = fold(stack[-1], last, s)
+
+
+def whole(stack: list[Template], s: Settings) -> Template:
+    while len(stack) > 1:
+        last = stack.pop()
+        stack[-1] = fold(stack[-1], last, s)
+    return stack[0]
+
+
 PART = "host long, part long, template string"
 
 
@@ -278,18 +311,17 @@ def induce(pages: DataFrame, s: Settings = Settings(), url_col: str = "url", htm
     """host (the hash of its name) and wrapper of every host in pages, learnt from all its pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Template] = {}
+        held: dict[int, list[Template]] = {}
         part = TaskContext.get().partitionId() % s.parts
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([part] * len(held), pa.int64()), pa.array(list(map(_dump, held.values())), pa.string())], names=["host", "part", "template"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([part] * len(held), pa.int64()), pa.array([_dump(whole(x, s)) for x in held.values()], pa.string())], names=["host", "part", "template"])
             held.clear()
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = template(reduce(page.as_py() or ""))
-                held[host] = fold(held[host], t, s) if host in held else t
+                push(held.setdefault(host, []), template(reduce(page.as_py() or "")), s)
             if len(held) > 20_000:
                 yield from out()
         yield from out()

@@ -59,6 +59,23 @@ def test_tree_matching_aligns_the_most_nodes():
     assert n == 3 and pairs == [(1, 0), (2, 1)]
 
 
+def _slug(i: int) -> str:
+    return "".join("abcdefghij"[int(d)] for d in str(i))
+
+
+def test_all_kinds_of_children_stay_in_the_template(spark):
+    """A host whose pages each have ids of their own, before and beside what all of them share."""
+    body = '<div id="teaser-{0}"><p>Teaser {0}</p></div><div class="story"><h1>Title {0}</h1><div id="post-{0}"><p>Words of {0}, a longer piece of running text that goes on for a while, so that the story is most of the page, as it is on most pages of most hosts.</p></div><div class="legal">Always the same words here</div></div><div>All rights reserved</div>'
+    rows = [(i, f"https://a.example/{i}", f"<html><body>{body.format(_slug(i))}</body></html>") for i in range(200)]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == 200
+    for r in got:
+        x = _slug(r["page_id"])
+        assert r["text"] == f"Title {x} Words of {x}, a longer piece of running text that goes on for a while, so that the story is most of the page, as it is on most pages of most hosts."
+    a, b = (wrappers.template(wrappers.reduce("".join(f"<div id={k}{_slug(i)}>x</div>" for i in range(100)))) for k in "vw")
+    assert len(wrappers.fold(a, b, wrappers.Settings())[6]) == 200
+
+
 def test_malformed_pages():
     for text in ("<p>a<p>b", "<div><p>a</div>b", "a<b>b", "<article><p><b>a<br><p>b</article>c", "<p>a < b</p>", "<p>a<!-- x > y -->b", "<script>var a='</p>'</script><p>ok", "<p title='>'>a"):
         assert "var" not in wrappers.extract(text, None) and wrappers.extract(text, None)
