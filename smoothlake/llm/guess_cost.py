@@ -11,6 +11,8 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
+
 # Common password words, most common first.
 COMMON = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login princess football baseball shadow sunshine superman "
@@ -57,19 +59,61 @@ def _dates(value: str):
             yield i, m.end(), math.log10(365 * 130) if whole else math.log10(130)
 
 
+def _ranks(codes: np.ndarray) -> list[np.ndarray]:
+    """At level k the rank of each place's next 2**k characters; at the last level all ranks differ."""
+    n = len(codes)
+    levels, width = [np.unique(codes, return_inverse=True)[1].astype(np.int32)], 1
+    while levels[-1].max() < n - 1:
+        key = levels[-1].astype(np.int64) * (n + 1)
+        key[: n - width] += levels[-1][width:] + 1
+        levels.append(np.unique(key, return_inverse=True)[1].astype(np.int32))
+        width *= 2
+    return levels
+
+
+def _common(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many characters from i on equal those from j on, for pairs i < j."""
+    n, out = len(levels[0]), np.zeros(len(i), np.int64)
+    for k in reversed(range(len(levels))):
+        same = levels[k][np.minimum(i + out, n - 1)] == levels[k][np.minimum(j + out, n - 1)]
+        out += (same & (j + out < n)) * (1 << k)
+    return out
+
+
+def _stretches(value: str) -> list[tuple[int, int, int]]:
+    """All maximal stretches that repeat with a least period of half their length or less: start, end and period, in n log n steps.
+
+    Each has, in the order of characters or its reverse, a longest Lyndon word as its root; these are extended both ways.
+    """
+    n = len(value)
+    if n < 3:
+        return [(0, n, 1)] if n == 2 and value[0] == value[1] else []
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    forward, backward = _ranks(codes), _ranks(codes[::-1])
+    found = set()
+    for order in (forward[-1], _ranks(-codes)[-1]):
+        rank, after, open_ = order.tolist(), [n] * n, []
+        for j, r in enumerate(rank):
+            while open_ and rank[open_[-1]] > r:
+                after[open_.pop()] = j
+            open_.append(j)
+        i, j = np.arange(n), np.array(after)
+        right, left = _common(forward, i, j), _common(backward, n - j, n - i)
+        start, end = i - left, j + right
+        yes = end - start >= 2 * (j - i)
+        found.update(zip(start[yes].tolist(), end[yes].tolist(), (j - i)[yes].tolist(), strict=True))
+    return sorted(found)
+
+
 def _repeats(value: str, depth: int, lexicon: int):
-    for unit in range(1, len(value) // 2 + 1):
-        i = 0
-        while i + 2 * unit <= len(value):
-            k = 1
-            while value.startswith(value[i : i + unit], i + k * unit):
-                k += 1
-            if k > 1 and k * unit >= 3:
-                base = sum(map(brute, value[i : i + unit])) if depth else log10_guesses(value[i : i + unit], lexicon, 1)
-                yield i, i + k * unit, base + math.log10(k)
-                i += k * unit - unit + 1
-            else:
-                i += 1
+    """Repeats of a unit: the least period of a stretch, or several of them while a word can lie across their borders; longer ones hold nothing more."""
+    for a, b, period in _stretches(value):
+        for times in range(1, min((b - a) // (2 * period), 1 + -(-LONGEST_WORD // period)) + 1):
+            unit = times * period
+            k = (b - a) // unit
+            if k * unit >= 3:
+                base = sum(map(brute, value[a : a + unit])) if depth else log10_guesses(value[a : a + unit], lexicon, 1)
+                yield a, a + k * unit, base + math.log10(k)
 
 
 def _walks(value: str):
@@ -105,13 +149,10 @@ _lexicons: list[dict[str, int]] = [{w: k for k, w in enumerate(COMMON, 1)}]
 def log10_guesses(value: str, lexicon: int = 0, depth: int = 0) -> float:
     """The least log10 of guesses over all segmentations; 0 for an empty value.
 
-    Long values need no cut by length: brute force adds up character by character, and only the
-    other parts are tried by pattern.
+    Values of every length are costed alike.
     """
     parts: dict[int, list[tuple[int, float]]] = {}
-    found = [*_words(value, _lexicons[lexicon]), *_dates(value), *_walks(value), *_runs(value)]
-    if len(value) <= 256:
-        found += _repeats(value, depth, lexicon)
+    found = [*_words(value, _lexicons[lexicon]), *_dates(value), *_walks(value), *_runs(value), *_repeats(value, depth, lexicon)]
     for a, b, cost in found:
         parts.setdefault(b, []).append((a, cost))
     # the least cost up to i: ending in brute force, and ending in another part, which opens a new segment

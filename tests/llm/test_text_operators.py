@@ -1,6 +1,7 @@
 """Quality rules, secret scans and sentence pieces against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -107,6 +108,25 @@ def test_guess_costs_are_a_least_segmentation():
     assert guess_cost.log10_guesses("") == 0
 
 
+def test_repeats_of_any_length_are_cheap():
+    for unit in ("*", "xK9$", "ab1"):
+        short, long_ = (guess_cost.log10_guesses(unit * (n // len(unit))) for n in (240, 30_000))
+        assert long_ == pytest.approx(short + math.log10(30_000 // len(unit)) - math.log10(240 // len(unit)))
+    assert [s for s in secret_scans.spans("pwd: " + "*" * 257) if s.kind == "guess"] == secret_scans.spans("pwd: " + "*" * 256) == []
+    r = random.Random(7)
+    for n in range(1, 60):
+        value = "".join(r.choices("ab" if n % 2 else "abc", k=n))
+        plain = set()
+        for p in range(1, n // 2 + 1):
+            for a in range(n - 2 * p + 1):
+                b = a + p
+                while b < n and value[b] == value[b - p]:
+                    b += 1
+                if b - a >= 2 * p and not (a and value[a - 1] == value[a - 1 + p]) and not any(value[a : b - q] == value[a + q : b] for q in range(1, p)):
+                    plain.add((a, b, p))
+        assert guess_cost._stretches(value) == sorted(plain)
+
+
 def test_guessed_secrets_and_redaction(spark):
     text = 'db password: "xK9$mQ2!vLpq" and password: qwertyuiop or password: required.'
     found = [s for s in secret_scans.spans(text) if s.kind == "guess"]
