@@ -259,6 +259,17 @@ def test_boundary_estimates(data):
         boundary.npuniden_boundary(data, "x", np.array([0.5]), 0.1, 0.5, 1.0)
 
 
+def test_entropy_tests_take_whole_tables(spark):
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=6000), r.normal(0.2, 1.1, size=7000)
+    x, y = (spark.createDataFrame(pd.DataFrame({"v": v, "w": np.roll(v, 1), "i": np.arange(len(v))})) for v in (a, b))
+    t = inference.npunitest(x, y, "v", "v", bw_x=0.3, bw_y=0.25, boot_num=9)
+    assert np.isclose(t.statistic[0], inference.hellinger(a, b, 0.3, 0.25)) and t.replicates.shape == (9, 1) and t.p[0] == 0
+    assert np.isclose(inference.npsymtest(x, "v", bw=0.3, boot_num=0).statistic[0], inference.hellinger(a, 2 * a.mean() - a, 0.3, 0.3))
+    assert inference.npdeptest(x, "v", "w", 0).statistic[0] < 0.01
+    assert inference.npsdeptest(x, "v", "i", 1, 0).statistic.max() < 0.01
+
+
 def test_tests_have_power_and_size(spark, data, frame):
     same = inference.npdeneqtest(data, data, one(), one(), 19)
     assert same.p[0] > 0.5
