@@ -255,18 +255,18 @@ def extract(page: str, rules: list | None, s: Settings = Settings()) -> str:
 def _text(tree: Block, rules: list, s: Settings) -> str:
     taken: list[tuple[int, str]] = []
     constant: list[tuple[int, str]] = []
-    _take(tree, rules, False, taken, constant, s)
+    _take(tree, rules, False, False, taken, constant, s)
     if sum(len(t) for _, t in constant) > sum(len(t) for _, t in taken):  # copies of one article, not a template
         taken += constant
     return " ".join(t for _, t in sorted(taken))
 
 
-def _take(block: Block, rule: list | None, inside: bool, taken: list, constant: list, s: Settings) -> None:
+def _take(block: Block, rule: list | None, inside: bool, article: bool, taken: list, constant: list, s: Settings) -> None:
+    """A menu's own text is left out, and its children are judged by themselves. An article element has no menus but those that its elements or hints name."""
     label = rule[1] if rule else _own_label(sum(len(t) for _, t in block.pieces), block.links, s)
     inside = inside or label == "c"
-    if label == "m":
-        return
-    if inside:
+    article = article or block.tag == "article"
+    if inside and (label != "m" or article):
         (constant if label == "t" else taken).extend(block.pieces)
     rules = rule[2] if rule else []
     if [c.key for c in block.children] == [r[0] for r in rules]:
@@ -274,7 +274,7 @@ def _take(block: Block, rule: list | None, inside: bool, taken: list, constant:
     else:
         pairs = dict(_match_rules(block.children, rules)) if rules else {}
     for i, child in enumerate(block.children):
-        _take(child, rules[pairs[i]] if i in pairs else None, inside, taken, constant, s)
+        _take(child, rules[pairs[i]] if i in pairs else None, inside, article, taken, constant, s)
 
 
 def _match_rules(blocks: list[Block], rules: list) -> list[tuple[int, int]]:

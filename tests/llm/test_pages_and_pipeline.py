@@ -76,6 +76,19 @@ def test_all_kinds_of_children_stay_in_the_template(spark):
     assert len(wrappers.fold(a, b, wrappers.Settings())[6]) == 200
 
 
+def test_links_do_not_hide_the_text_below_them():
+    def page(i: int, tag: str) -> str:
+        return f'<html><body><div class="top"><a href=/>Home</a></div><{tag}><h1>Title {i}</h1><div class="entry"><a href=c>Category {i}</a><p>First words of {i}, at some length.</p><p>Second words of {i}.</p></div><ul><li><a href=s>Source {i}</a></li></ul></{tag}></body></html>'
+
+    for tag, want in (("article", "Title {0} Category {0} First words of {0}, at some length. Second words of {0}. Source {0}"), ("main", "Title {0} First words of {0}, at some length. Second words of {0}.")):
+        held = []
+        for i in range(10):
+            wrappers.push(held, wrappers.template(wrappers.reduce(page(i, tag))), wrappers.Settings())
+        rules = wrappers.wrapper(wrappers.whole(held, wrappers.Settings()), wrappers.Settings())
+        for i in range(10):
+            assert wrappers.extract(page(i, tag), rules) == want.format(i) == wrappers.extract(page(i, tag), None)
+
+
 def test_malformed_pages():
     for text in ("<p>a<p>b", "<div><p>a</div>b", "a<b>b", "<article><p><b>a<br><p>b</article>c", "<p>a < b</p>", "<p>a<!-- x > y -->b", "<script>var a='</p>'</script><p>ok", "<p title='>'>a"):
         assert "var" not in wrappers.extract(text, None) and wrappers.extract(text, None)
