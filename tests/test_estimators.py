@@ -270,6 +270,19 @@ def test_entropy_tests_take_whole_tables(spark):
     assert inference.npsdeptest(x, "v", "i", 1, 0).statistic.max() < 0.01
 
 
+def test_unknown_methods_are_refused(data):
+    bw = Bandwidth(tuple(variables(data, ["x", "z"])), (0.1, 0.1))
+    for call in (
+        lambda: inference.npsigtest(data, "y", bw, boot_num=9, boot_method="pairwise"),
+        lambda: inference.npcmstest(data, "y", one(), 9, "pairwise"),
+        lambda: inference.npsymtest(data, "x", boot_method="pairwise", boot_num=9),
+        lambda: plotdata.bands(np.zeros(2), np.zeros((9, 2)), kind="all"),
+        lambda: plotdata.block_counts(np.random.default_rng(0), 5, plotdata.BootControl("wild")),
+    ):
+        with pytest.raises(ValueError, match="there are"):
+            call()
+
+
 def test_tests_have_power_and_size(spark, data, frame):
     same = inference.npdeneqtest(data, data, one(), one(), 19)
     assert same.p[0] > 0.5
