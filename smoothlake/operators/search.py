@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +191,7 @@ def evaluate(train: DataFrame, candidates: list[Bandwidth], loss: Loss, extra: d
 
 
 def minimise(batch: Callable[[list[tuple[float, ...]]], list[float]], start: list[tuple[float, ...]], lower: tuple[float, ...], upper: tuple[float, ...], log: tuple[bool, ...], whole: tuple[bool, ...] = (), rounds: int = 16, tolerance: float = 1e-3) -> tuple[tuple[float, ...], float, int]:
-    """A pattern search whose every round tries all steps at once, from several starts that share the first round."""
+    """A pattern search whose every round tries all steps at once, descending from every start."""
     p = len(lower)
     whole = whole or (False,) * p
     up = lambda x: np.array([math.log(v) if f else v for v, f in zip(x, log, strict=True)])
@@ -209,24 +209,36 @@ def minimise(batch: Callable[[list[tuple[float, ...]]], list[float]], start: lis
             seen.update(zip(asked, batch(asked), strict=True))
         return [seen[down(u)] for u in points]
 
-    starts = [up(s) for s in start]
-    first = value(starts)
-    best = starts[int(np.argmin(first))]
-    step = np.where(log, 0.7, (hi - lo) * 0.25)
-    last_move = np.zeros(p)
+    @dataclass
+    class Descent:
+        best: np.ndarray
+        step: np.ndarray
+        last_move: np.ndarray
+        open: bool = True
+
+    descents = [Descent(up(s), np.where(log, 0.7, (hi - lo) * 0.25), np.zeros(p)) for s in start]
+    value([d.best for d in descents])
     for _ in range(rounds):
-        tries = [best + f * step * np.eye(p)[i] for i in range(p) for f in (-1, 1, -0.5, 0.5)]
-        if last_move.any():
-            tries += [best + last_move, best + 2 * last_move]
-        got = value(tries)
-        k = int(np.argmin(got))
-        if got[k] < seen[down(best)]:
-            last_move = np.clip(tries[k], lo, hi) - best
-            best = np.clip(tries[k], lo, hi)
-        else:
-            step = step * 0.35
-            if np.all(step < tolerance):
-                break
+        tries = {}
+        for i, d in enumerate(descents):
+            if d.open:
+                tries[i] = [d.best + f * d.step * e for e in np.eye(p) for f in (-1, 1, -0.5, 0.5)]
+                if d.last_move.any():
+                    tries[i] += [d.best + d.last_move, d.best + 2 * d.last_move]
+        if not tries:
+            break
+        value([u for t in tries.values() for u in t])
+        for i, t in tries.items():
+            d = descents[i]
+            got = value(t)
+            k = int(np.argmin(got))
+            if got[k] < seen[down(d.best)]:
+                d.last_move = np.clip(t[k], lo, hi) - d.best
+                d.best = np.clip(t[k], lo, hi)
+            else:
+                d.step = d.step * 0.35
+                d.open = not np.all(d.step < tolerance)
+    best = min((d.best for d in descents), key=lambda u: seen[down(u)])
     x = down(best)
     return x, seen[x], len(seen)
 

@@ -434,7 +434,7 @@ def dens_hat_applied_to_ones(spark, sf):
 @query()
 def reg_bandwidth_cv(spark, sf):
     """The search over whole tables."""
-    bw = regression.npregbw(table(spark, sf, "supplier"), "s_acctbal", ["s_nationkey"], rounds=5)
+    bw = regression.npregbw(table(spark, sf, "supplier"), "s_acctbal", ["s_nationkey"])
     return spark.createDataFrame([(bw.h[0], bw.value, bw.evaluations)], "h double, value double, evaluations int")
 
 
@@ -591,7 +591,7 @@ def single_index(spark, sf):
 @query()
 def single_index_search(spark, sf):
     data = table(spark, sf, "supplier").select("s_acctbal", F.col("s_nationkey").cast("double").alias("a"), (F.col("s_suppkey") % 7).cast("double").alias("b"))
-    m = semiparametric.npindexbw(data, "s_acctbal", ["a", "b"], rounds=4)
+    m = semiparametric.npindexbw(data, "s_acctbal", ["a", "b"])
     return spark.createDataFrame([(m.beta[1], m.h, m.value)], "beta double, h double, value double")
 
 
@@ -632,7 +632,7 @@ def test_density_equality(spark, sf):
 @query()
 def test_density_equality_bootstrap(spark, sf):
     x, y = table(spark, sf, "supplier").select(F.col("s_acctbal").alias("v")), table(spark, sf, "customer").select(F.col("c_acctbal").alias("v"))
-    return inference.table(x, inference.npdeneqtest(x, y, con("v", 800.0, GAUSS), con("v", 500.0, GAUSS), 19))
+    return inference.table(x, inference.npdeneqtest(x, y, con("v", 800.0, GAUSS), con("v", 500.0, GAUSS)))
 
 
 @query(f"""
@@ -647,20 +647,20 @@ def test_specification(spark, sf):
 @query()
 def test_specification_bootstrap(spark, sf):
     data = table(spark, sf, "supplier")
-    return inference.table(data, inference.npcmstest(data, "s_acctbal", con("s_nationkey", 4.0, GAUSS), 29, "wild"))
+    return inference.table(data, inference.npcmstest(data, "s_acctbal", con("s_nationkey", 4.0, GAUSS), boot_method="wild"))
 
 
 @query()
 def test_quantile_specification(spark, sf):
     data = table(spark, sf, "supplier")
-    return inference.table(data, inference.npqcmstest(data, "s_acctbal", con("s_nationkey", 4.0, GAUSS), 0.5, 19))
+    return inference.table(data, inference.npqcmstest(data, "s_acctbal", con("s_nationkey", 4.0, GAUSS), 0.5))
 
 
 @query()
 def test_significance(spark, sf):
     data = table(spark, sf, "supplier").select("s_acctbal", F.col("s_nationkey").cast("double").alias("a"), (F.col("s_suppkey") % 3).cast("string").alias("b"))
     vs = variables(data, ["a", "b"])
-    return inference.table(data, inference.npsigtest(data, "s_acctbal", Bandwidth(tuple(vs), (4.0, 0.3), GAUSS), boot_num=19))
+    return inference.table(data, inference.npsigtest(data, "s_acctbal", Bandwidth(tuple(vs), (4.0, 0.3), GAUSS)))
 
 
 def _rho(a: str, b: str, h: float) -> str:
@@ -687,19 +687,19 @@ def test_symmetry(spark, sf):
 @query()
 def test_symmetry_bootstrap(spark, sf):
     data = table(spark, sf, "supplier")
-    return inference.table(data, inference.npsymtest(data, "s_acctbal", boot_num=19, boot_method="geom", block=4, order="s_suppkey"))
+    return inference.table(data, inference.npsymtest(data, "s_acctbal", boot_method="geom", block=4, order="s_suppkey"))
 
 
 @query()
 def test_dependence(spark, sf):
     data = table(spark, sf, "supplier")
-    return inference.table(data, inference.npdeptest(data, "s_acctbal", "s_nationkey", 19))
+    return inference.table(data, inference.npdeptest(data, "s_acctbal", "s_nationkey"))
 
 
 @query()
 def test_serial_dependence(spark, sf):
     data = table(spark, sf, "supplier")
-    return inference.table(data, inference.npsdeptest(data, "s_acctbal", "s_suppkey", 2, 19))
+    return inference.table(data, inference.npsdeptest(data, "s_acctbal", "s_suppkey", 2))
 
 
 @query("""SELECT value, lagged FROM (SELECT s_acctbal AS value, lag(s_acctbal, 2) OVER (ORDER BY s_suppkey) AS lagged FROM supplier) WHERE lagged IS NOT NULL""")

@@ -270,6 +270,15 @@ def test_entropy_tests_take_whole_tables(spark):
     assert inference.npsdeptest(x, "v", "i", 1, 0).statistic.max() < 0.01
 
 
+def test_searches_descend_from_every_start():
+    """The better start lies in the worse of two valleys."""
+    f = lambda xs: [min((x[0] - 1) ** 2 + 0.5, 0.1 * (x[0] - 8) ** 2) for x in xs]
+    x, v, _ = search.minimise(f, [(1.0,), (4.5,)], (0.0,), (10.0,), (False,), rounds=1)
+    start = search.minimise(f, [(1.0,)], (0.0,), (10.0,), (False,), rounds=1)
+    other = search.minimise(f, [(4.5,)], (0.0,), (10.0,), (False,), rounds=1)
+    assert v == min(start[1], other[1]) == other[1] < start[1] and x == other[0]
+
+
 def test_unknown_methods_are_refused(data):
     bw = Bandwidth(tuple(variables(data, ["x", "z"])), (0.1, 0.1))
     for call in (
