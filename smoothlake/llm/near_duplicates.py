@@ -4,8 +4,8 @@ A text is the set of its shingles of five words (one shingle of all its words if
 texts with the same words form a text class, and only one of each class is compared. Classes that
 agree in a band of MinHash values are candidates. Their MinHash values are compared a few at a
 time; a pair is dropped as soon as the posterior probability of a similarity of the threshold or
-more, under a uniform prior, falls below a tolerance. What remains is gathered in clusters and
-verified exactly on the shingle sets. Large buckets and clusters are cut into blocks, and pairs of
+more, under a uniform prior, falls below a tolerance. What remains is gathered in clusters, of
+which all pairs are verified exactly on the shingle sets, without pruning. Large buckets and clusters are cut into blocks, and pairs of
 blocks are separate groups, so no task holds an unbounded group, and pairs are counted where they
 are found, never written.
 
@@ -235,16 +235,17 @@ def _verified(docs: DataFrame, members: DataFrame, s: Settings, text_col: str) -
     def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         cls, copies = np.asarray(table.column("cls")), np.asarray(table.column("copies"))
         n = len(cls)
-        sets, sigs = [], []
+        sets = []
         for block in words.blocks(table.column("text").combine_chunks()):
             h, rows, _ = shingles(block, s.words)
-            sigs.append(signatures(h, rows, block.rows, s.hashes))
             cut = np.searchsorted(rows, np.arange(block.rows + 1))
             sets += [np.unique(h[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        sig, sizes = np.concatenate(sigs), np.array([len(x) for x in sets])
+        sizes = np.array([len(x) for x in sets])
         links, classes, ea, eb = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
         for i, j in pairs(np.diff(bounds), bounds[:-1]):
-            i, j = prune(sig, *_across(table, i, j), s)
+            i, j = _across(table, i, j)
+            may = np.minimum(sizes[i], sizes[j]) >= s.similarity * np.maximum(sizes[i], sizes[j]) - 1e-9  # no similarity is over the ratio of sizes
+            i, j = i[may], j[may]
             if not len(i):
                 continue
             both = _shared_counts(sets, i, j) if len(np.unique(np.searchsorted(bounds, i, "right"))) == 1 else np.concatenate([_shared_counts(sets, i[g], j[g]) for g in _by_group(bounds, i)])

@@ -234,6 +234,18 @@ def shingle_set(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_clusters_are_verified_without_pruning(spark):
+    words_ = prose(11, 200).split()
+    texts = [" ".join(w + "x" * (k in at) for k, w in enumerate(words_)) for at in ((), (0, 20, 40), (60, 80, 100), (120, 140), (160, 180))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = near_duplicates.Settings(tolerance=0.99)
+    members = near_duplicates._signed(docs, s, "doc_id", "text").selectExpr("cls", "1L as cluster", "5L as n", "1L as copies")
+    got = near_duplicates._verified(docs, members, s, "text").selectExpr("sum(links)").first()[0]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
+    want = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    assert got == want > 8
+
+
 def plain_join(texts):
     """Links of each row and the components, over all pairs."""
     sets = list(map(shingle_set, texts))
