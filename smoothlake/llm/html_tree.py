@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Elements without an end, elements whose text is not markup, and elements that stand in a line of text.
@@ -74,15 +75,21 @@ def parse(text: str) -> Node:
     """The tree of a page. Elements that are not closed end where their parent does or where the next of their kind begins."""
     root = Node("#root", "#root")
     stack = [root]
+    open_: Counter[str] = Counter()  # elements on the stack by name, so that an end without a beginning is seen at once
+
+    def cut(k: int) -> None:
+        open_.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     for kind, value in tokens(text):
         if kind == "text":
             stack[-1].children.append(Node("", "#text", value))
         elif kind == "raw":
             stack[-1].children.append(Node("", "#raw", value))
         elif kind == "close":
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[value] else ():
                 if stack[k].tag == value:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in FENCES and value in INLINE:
                     break
@@ -92,9 +99,9 @@ def parse(text: str) -> Node:
             hints = " ".join([found.get("class", ""), found.get("id", ""), found.get("role", "")]).strip().lower()
             if name in ENDS_P or name in CLOSES:
                 ends = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(open_[x] for x in ends) else ():
                     if stack[k].tag in ends:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k].tag in FENCES:
                         break
@@ -104,4 +111,5 @@ def parse(text: str) -> Node:
             stack[-1].children.append(node)
             if name not in VOID and not value.endswith("/>"):
                 stack.append(node)
+                open_[name] += 1
     return root
