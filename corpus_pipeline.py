@@ -53,10 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. A stage's own tables and its input are deleted once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    began = scratch.mark()
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.save(docs, f"pipeline-{name}")
-            scratch.release(spark, began, but_last=True)
+    with scratch.owned() as tables:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = scratch.save(docs, f"pipeline-{name}")
+                scratch.release(spark, tables, but=docs)
     return docs
