@@ -5,9 +5,9 @@ most frequent ones are classes of their own, all others share a class with the w
 bytes have the same hash. States emit classes; a word's chance within its class comes from its
 count, with 0.1 added and one place for all unknown words, so that the chances of all texts add up.
 
-Baum-Welch counts come from all training texts: each task adds up the expected counts of its texts,
-cut in segments of equal length so that many run in step, the counts are summed across tasks by
-state and class, and only those sums, of a fixed size, reach the driver. States start as clusters of
+Baum-Welch counts come from all training texts: each task adds up the expected counts of its whole
+texts, many of them in step, the counts are summed across tasks by state and class, and only those
+sums, of a fixed size, reach the driver. States start as clusters of
 frequent words by their neighbours, which are counted over all training texts too. Scores are exact:
 the scaled forward recursion runs over whole texts.
 """
@@ -29,7 +29,7 @@ from .scratch import save
 
 @dataclass(frozen=True)
 class Settings:
-    """own: words with a class of their own. shared: classes of the others. known: words whose counts all tasks hold; others are joined. neighbours: words that are clustered."""
+    """own: words with a class of their own. shared: classes of the others. known: words whose counts all tasks hold; others are joined. neighbours: words that are clustered. stretch, together: steps and sequences that a task holds at once; they change no result."""
 
     states: int = 12
     own: int = 1024
@@ -38,7 +38,7 @@ class Settings:
     known: int = 65_536
     neighbours: int = 256
     rounds: int = 5
-    segment: int = 256
+    stretch: int = 256
     together: int = 512
     add: float = 0.1
 
@@ -248,50 +248,77 @@ def _start_model(counts: np.ndarray, pairs: np.ndarray, s: Settings) -> Model:
 
 
 def expected_counts(seq: np.ndarray, bounds: np.ndarray, model: Model, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions, and the log-likelihood, of sequences cut in segments."""
+    """Expected counts of starts, moves and emissions, and the log-likelihood, of whole sequences.
+
+    Sequences of like length run in step, a stretch of steps at a time: a first pass keeps the
+    forward values at the stretches' edges, then stretches are gone through from the last to the
+    first, forward again from the kept edge and backward from the next stretch. So memory is that of
+    a stretch, and the counts are those of the uncut sequences.
+    """
     k = s.states
     emit = np.concatenate([model.emit, np.ones((1, k))]).astype(np.float32)
     move, start = model.move.astype(np.float32), model.start.astype(np.float32)
-    n = -(-np.diff(bounds) // s.segment)
-    row = np.repeat(np.arange(len(n)), n)
-    begin = bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * s.segment
-    size = np.minimum(bounds[row + 1] - begin, s.segment)
-    head = begin == bounds[row]
+    back = move.T.copy()
+    size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
+    order = order[: int((size > 0).sum())]
     starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((s.classes + 1, k)), 0.0
     for g in range(0, len(order), s.together):
-        pick = order[g : g + s.together]
-        steps = int(size[pick[0]])
-        at = begin[pick][None] + np.arange(steps)[:, None]
-        real = np.arange(steps)[:, None] < size[pick][None]
-        tok = np.where(real, seq[np.minimum(at, len(seq) - 1)], s.classes)
-        b = emit[tok]
-        alpha = np.empty_like(b)
-        scale = np.empty(tok.shape, np.float32)
-        a = start * b[0]
-        for t in range(steps):
-            if t:
-                a = (alpha[t - 1] @ move) * b[t]
-            c = a.sum(1)
-            scale[t] = c
-            np.divide(a, c[:, None], out=alpha[t])
-        beta = np.ones_like(alpha[0])
-        back = move.T.copy()
-        gamma = np.empty_like(alpha)
-        for t in range(steps - 1, -1, -1):
-            np.multiply(alpha[t], beta, out=gamma[t])
-            if t:
+        begin, length = bounds[:-1][order[g : g + s.together]], size[order[g : g + s.together]]
+        stretches = -(-int(length[0]) // s.stretch)
+        alive = [int(np.searchsorted(-length, -c * s.stretch, "left")) for c in range(stretches)]  # sequences of more than so many steps
+
+        def emitted(c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n, steps = alive[c], min(s.stretch, int(length[0]) - c * s.stretch)
+            at = c * s.stretch + np.arange(steps)[:, None]
+            real = at < length[None, :n]
+            tok = np.where(real, seq[np.minimum(begin[None, :n] + at, len(seq) - 1)], s.classes)
+            return tok, real, emit[tok]
+
+        edge = [np.broadcast_to(start, (alive[0], k))]  # what stands for the forward values before each stretch, moved
+        a = None
+        for c in range(stretches - 1):
+            # states of sequences that end before the next stretch are not needed
+            n = alive[c + 1]
+            b = emit[seq[begin[:n] + c * s.stretch + np.arange(s.stretch)[:, None]]]
+            a = edge[c][:n] * b[0]
+            for t in range(1, s.stretch):
+                a = (a @ move) * b[t]
+                if t % 2 == 0:
+                    a /= a.sum(1, keepdims=True)
+            edge.append((a / a.sum(1, keepdims=True)) @ move)
+        after = None  # emission times backward value over scale, at the first step of the next stretch
+        for c in reversed(range(stretches)):
+            tok, real, b = emitted(c)
+            steps = len(tok)
+            alpha = np.empty_like(b)
+            scale = np.empty(tok.shape, np.float32)
+            for t in range(steps):
+                a = (alpha[t - 1] @ move if t else edge[c]) * b[t]
+                scale[t] = a.sum(1)
+                np.divide(a, scale[t][:, None], out=alpha[t])
+            beta = np.ones_like(alpha[0])
+            if after is not None:
+                n = len(after)
+                beta[:n] = after @ back
+                moves += model.move * (alpha[-1][:n].T @ after)
+            gamma = np.empty_like(alpha)
+            for t in range(steps - 1, -1, -1):
+                np.multiply(alpha[t], beta, out=gamma[t])
                 b[t] *= beta
                 b[t] /= scale[t][:, None]
-                beta = b[t] @ back
-        gamma *= real[:, :, None]
-        b *= real[:, :, None]
-        starts += gamma[0][head[pick]].sum(0)
-        moves += model.move * (alpha[:-1].reshape(-1, k).T @ b[1:].reshape(-1, k))
-        flat, each = tok.ravel(), gamma.reshape(-1, k)
-        for j in range(k):
-            emits[:, j] += np.bincount(flat, each[:, j], s.classes + 1)
-        total += float(np.log(scale[real]).sum())
+                if t:
+                    beta = b[t] @ back
+            after = b[0].copy()
+            gamma *= real[:, :, None]
+            b *= real[:, :, None]
+            if c == 0:
+                starts += gamma[0].sum(0)
+            moves += model.move * (alpha[:-1].reshape(-1, k).T @ b[1:].reshape(-1, k))
+            flat, each = tok.ravel(), gamma.reshape(-1, k)
+            for j in range(k):
+                emits[:, j] += np.bincount(flat, each[:, j], s.classes + 1)
+            total += float(np.log(scale[real]).sum())
     return starts, moves, emits[:-1], total
 
 

@@ -42,7 +42,7 @@ def test_language_model(which, request):
 
 
 def _hmm(states=3):
-    s = hidden_markov.Settings(states=states, own=3, shared=2, segment=7, together=2)
+    s = hidden_markov.Settings(states=states, own=3, shared=2, stretch=7, together=2)
     r = np.random.default_rng(3)
     model = hidden_markov.Model(*(x / x.sum(axis, keepdims=True) for x, axis in ((r.random(states), 0), (r.random((states, states)), 1), (r.random((s.classes, states)), 0))))
     return s, model
@@ -87,6 +87,32 @@ def test_expected_counts_are_exact():
         assert np.allclose(a, b, atol=1e-4)
 
 
+def test_stretches_change_no_counts():
+    """Expected counts of texts of up to 1,000 tokens, cut in stretches, against one run over each whole text in doubles."""
+    s, m = _hmm()
+    r = np.random.default_rng(8)
+    seqs = [r.integers(0, s.classes, n) for n in (1000, 257, 256, 255, 14, 7, 8, 1)]
+    starts, moves, emits, total = np.zeros(3), np.zeros((3, 3)), np.zeros((s.classes, 3)), 0.0
+    for seq in seqs:
+        b, n = m.emit[seq], len(seq)
+        alpha, scale, beta = np.zeros((n, 3)), np.zeros(n), np.ones((n, 3))
+        for t in range(n):
+            a = (alpha[t - 1] @ m.move if t else m.start) * b[t]
+            scale[t] = a.sum()
+            alpha[t] = a / scale[t]
+        for t in range(n - 2, -1, -1):
+            beta[t] = m.move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+            moves += m.move * np.outer(alpha[t], b[t + 1] * beta[t + 1] / scale[t + 1])
+        starts += alpha[0] * beta[0]
+        np.add.at(emits, seq, alpha * beta)
+        total += np.log(scale).sum()
+    for stretch, together in ((7, 2), (256, 3), (5000, 50)):
+        own = hidden_markov.Settings(states=3, own=3, shared=2, stretch=stretch, together=together)
+        got = hidden_markov.expected_counts(np.concatenate(seqs).astype(np.uint16), np.cumsum([0, *map(len, seqs)]), m, own)
+        for a, b in zip(got, (starts, moves, emits, total), strict=True):
+            assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
+
+
 @pytest.mark.parametrize("which", ["edge", "documents"])
 def test_sharding(which, request):
     docs = request.getfixturevalue(which).select("doc_id", "text")
