@@ -1,15 +1,20 @@
 """Best-fit packing by a configuration linear program.
 
-A configuration is a multiset of lengths that fits a sequence. The program, to cover the length
-histogram with the fewest configurations, is solved approximately by multiplicative weights: the
-weight of a length falls exponentially with the share of its pieces that is covered, and dynamic
-programming over the capacity finds the configuration of greatest weight. The fractional solution
-is rounded down, and best fit decreasing packs what is left over, on counts of equal sequences. All
-this sees only the histogram, so its cost does not depend on the number of documents.
+A configuration is a multiset of lengths that fits a sequence. The program is to cover the length
+histogram with the fewest configurations; its dual gives each length a price, so that no
+configuration costs more than one sequence, and the prices of all pieces are a bound from below.
+Multiplicative weights solve both: the price of a length starts as its share of a sequence and falls
+exponentially with the share of its pieces that is covered; dynamic programming over the capacity
+finds the configuration of greatest price, which enters the solution, and whose price makes the
+prices feasible. The fractional solution is scaled until it covers all, rounded down, and what is
+left is filled by a bounded knapsack, that gives each longest piece the company that leaves the least
+room. Rounds go on until the best packing found meets the bound, or for a number of rounds. All this
+sees only the histogram, so its cost does not depend on the number of documents.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,25 +34,41 @@ Configuration = tuple[tuple[int, int], ...]  # lengths, longest first, and how o
 
 @dataclass(frozen=True)
 class Settings:
-    """capacity: tokens of a sequence. rounds, batch: prices tried, and so many at once. step: the share of a length that a configuration may cover at once. salt_rows: pieces of one length that are ranked together."""
+    """capacity: tokens of a sequence. least_rounds, rounds: prices tried, at least and, if the bound is not met, at most. batch: so many at once, all but one of them a little shaken by noise. rate, step: of the weights, and of the coverage that a round gives a configuration. salt_rows: pieces of one length that are ranked together."""
 
     capacity: int = 2048
-    rounds: int = 200
+    least_rounds: int = 4
+    rounds: int = 160
     batch: int = 16
-    step: float = 0.5
-    rate: float = 4.0
+    noise: float = 0.02
+    rate: float = 8.0
+    step: float = 0.05
     salt_rows: int = 50_000
     seed: int = 11
 
 
-def price(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of weights by length, 0 included: the greatest weight at each capacity and the length last added."""
-    n, size = weights.shape
-    best, last = np.zeros((n, size)), np.zeros((n, size), np.int64)
-    back = np.zeros((n, size))  # best, from the end on: back[:, size - 1 - c] is best[:, c]
+@dataclass(frozen=True)
+class Plan:
+    """Configurations and how often each is used; the bound from below on their number, the value of the fractional solution, and the rounds it took."""
+
+    configurations: list[tuple[Configuration, int]]
+    bound: int
+    fractional: float
+    rounds: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.configurations)
+
+
+def price(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of whole prices by length, 0 included: the greatest price at each capacity and the length last added. Lengths of price 0 are not used."""
+    n, size = prices.shape
+    best, last = np.zeros((n, size), np.int64), np.zeros((n, size), np.int32)
+    back = np.zeros((n, size), np.int64)  # best, from the end on: back[:, size - 1 - c] is best[:, c]
     rows = np.arange(n)
     for c in range(1, size):
-        total = weights[:, 1 : c + 1] + back[:, size - c : size]
+        total = prices[:, 1 : c + 1] + back[:, size - c : size]
         at = total.argmax(1)
         value = total[rows, at]
         fits = value > best[:, c - 1]
@@ -68,80 +89,102 @@ def _configuration(last: np.ndarray) -> Configuration:
     return tuple(sorted(found.items(), reverse=True))
 
 
-def fractional(counts: np.ndarray, s: Settings) -> dict[Configuration, float]:
-    """Configurations with amounts that together cover no length more than its count, most of each nearly so."""
-    rng = np.random.default_rng(s.seed)
+def fill(counts: np.ndarray, capacity: int) -> dict[Configuration, int]:
+    """All pieces in configurations: again and again the longest one left and, by a bounded knapsack over what else is left, the pieces that leave the least room beside it, long ones first; each configuration as often as its pieces last."""
+    left, out = counts.copy(), {}
+    while True:
+        lengths = np.flatnonzero(left)[::-1].tolist()
+        if not lengths:
+            return out
+        first = lengths[0]
+        room = capacity - first
+        left[first] -= 1
+        # bit c of a number: whether some of the pieces gone through have c tokens together
+        sums, parts, reach = 1, [], [1]
+        mask = (1 << (room + 1)) - 1
+        for length in lengths:
+            n, k = min(int(left[length]), room // length), 1
+            while n > 0:
+                take = min(k, n)
+                sums |= (sums << (length * take)) & mask
+                parts.append((length, take))
+                reach.append(sums)
+                n, k = n - take, 2 * k
+            if sums >> room & 1:
+                break
+        at, found = sums.bit_length() - 1, {first: 1}
+        for k in range(len(parts) - 1, -1, -1):
+            if not reach[k] >> at & 1:
+                length, take = parts[k]
+                at -= length * take
+                found[length] = found.get(length, 0) + take
+                left[length] -= take
+        times = 1 + min(int(left[k]) // a for k, a in found.items())
+        for k, a in found.items():
+            left[k] -= a * (times - 1)
+        p = tuple(sorted(found.items(), reverse=True))
+        out[p] = out.get(p, 0) + times
+
+
+def solve(counts: np.ndarray, s: Settings = Settings()) -> Plan:
+    """A packing of all pieces, counted by length from 0 on, and the bound."""
+    full = int(counts[s.capacity])
+    counts = np.array(counts, np.int64)
+    counts[s.capacity] = 0
+    done = [(((s.capacity, 1),), full)] if full else []
     lengths = np.flatnonzero(counts)
-    covered = np.zeros(len(counts))
-    found: dict[Configuration, float] = {}
-    for _ in range(s.rounds):
-        left = counts - covered
-        open_ = lengths[left[lengths] >= 1]
-        if not len(open_):
-            break
-        share = left[open_] / counts[open_]
-        weights = np.full((s.batch, len(counts)), -np.inf)
-        # the value of a length is its tokens; the weight raises lengths that lag behind
-        weights[:, open_] = open_ * np.exp(s.rate * (share - share.max())) * rng.uniform(0.97, 1.0, (s.batch, len(open_)))
-        _, last = price(weights)
+    if not len(lengths):
+        return Plan(done, full, float(full), 0)
+    rng = np.random.default_rng(s.seed)
+    wanted = counts[lengths].astype(float)
+    best = fill(counts, s.capacity)
+    bound, value, used, rounds = 0, float("inf"), {}, 0
+    covered, mean = np.zeros(len(lengths)), np.zeros(len(lengths))
+    while rounds < s.least_rounds or rounds < s.rounds and sum(best.values()) > bound:
+        rounds += 1
+        lag = np.exp(-s.rate * (covered - covered.min()))
+        prices = np.zeros((s.batch, s.capacity + 1), np.int64)
+        if rounds == 1:  # tokens
+            prices[0, lengths] = lengths
+        else:
+            prices[0, lengths] = np.floor(lengths * lag * (1 << 24))
+        prices[1:, lengths] = np.floor(lengths * lag * rng.uniform(1 - s.noise, 1, (s.batch - 1, len(lengths))) * (1 << 24))
+        mean += lengths * lag / (wanted @ (lengths * lag))  # the mean of all rounds' prices is nearer to the best ones than any of them
+        prices[1, lengths] = np.floor(mean / mean.max() * (1 << 30))
+        top, last = price(prices)
+        # whole numbers, so that the bound is exact: the prices over the greatest one of a configuration are feasible
+        bound = max([bound, *(-(-sum(int(n) * int(p) for n, p in zip(counts[lengths], row[lengths], strict=True)) // int(t)) for row, t in zip(prices[:2], top[:2, -1], strict=True) if t)])
         for row in last:
             p = _configuration(row)
-            if not p:
-                continue
-            amount = min(min(max(1.0, s.step * counts[k]), counts[k] - covered[k]) / a for k, a in p)
-            if amount >= 1:
-                found[p] = found.get(p, 0.0) + amount
-                for k, a in p:
-                    covered[k] += a * amount
-    return found
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> dict[Configuration, int]:
-    """Best fit decreasing over counts: sequences with the same contents are one entry with their number."""
-    rooms: list[dict[Configuration, int]] = [{} for _ in range(capacity + 1)]
-    filled = np.zeros(capacity + 1, bool)
-    rooms[capacity][()] = 1 << 62
-    filled[capacity] = True
-    for length in np.flatnonzero(counts)[::-1].tolist():
-        n = int(counts[length])
-        while n:
-            room = length + int(np.argmax(filled[length:]))
-            contents, have = next(iter(rooms[room].items()))
-            if n < have:
-                k, take = 1, n
-                if room == capacity:  # new sequences, as full of this length as they get
-                    k = min(capacity // length, n)
-                    take = n // k
-            else:
-                take = have
-                k = max(1, min(room // length, n // have))
-            if have - take:
-                rooms[room][contents] = have - take
-            else:
-                del rooms[room][contents]
-                filled[room] = bool(rooms[room])
-            new, rest = (*contents, (length, k)), room - k * length
-            if contents and contents[-1][0] == length:
-                new = (*contents[:-1], (length, contents[-1][1] + k))
-            rooms[rest][new] = rooms[rest].get(new, 0) + take
-            filled[rest] = True
-            n -= k * take
-    return {c: n for part in rooms for c, n in part.items() if c}
-
-
-def plan(counts: np.ndarray, s: Settings = Settings()) -> list[tuple[Configuration, int]]:
-    """Configurations and how often each is used, covering counts, by length from 0 on, exactly."""
-    left = np.array(counts, np.int64)
-    out = []
-    if left[s.capacity]:
-        out.append((((s.capacity, 1),), int(left[s.capacity])))
-        left[s.capacity] = 0
-    for p, amount in fractional(left.astype(float), s).items():
-        if n := min([int(amount + 1e-9), *(int(left[k]) // a for k, a in p)]):
-            out.append((p, n))
+            at = np.searchsorted(lengths, [k for k, _ in p])
+            times = np.array([a for _, a in p])
+            amount = s.step * float((wanted[at] / times).min())
+            used[p] = used.get(p, 0.0) + amount
+            covered[at] += amount * times / wanted[at]
+        if covered.min() > 0:
+            value = min(value, sum(used.values()) / float(covered.min()))
+        if rounds % 8 == 0 or rounds == s.least_rounds:
+            best = min(best, _rounded(used, covered, counts, s), key=lambda x: sum(x.values()))
+    return Plan(done + list(best.items()), bound + full, min(value, float(sum(best.values()))) + full, rounds)
+
+
+def _rounded(used: dict[Configuration, float], covered: np.ndarray, counts: np.ndarray, s: Settings) -> dict[Configuration, int]:
+    """The fractional solution, scaled to the coverage of most lengths and rounded down, with what is left filled."""
+    left, out = counts.copy(), {}
+    scale = 1 / max(float(np.median(covered)), 1e-9)
+    for p, amount in sorted(used.items(), reverse=True):
+        if n := min([int(amount * scale), *(int(left[k]) // a for k, a in p)]):
+            out[p] = n
             for k, a in p:
                 left[k] -= n * a
-    return out + list(best_fit(left, s.capacity).items())
+    for p, n in fill(left, s.capacity).items():
+        out[p] = out.get(p, 0) + n
+    return out
+
+
+# How a tokenizer must prepare text for encode() to cut it before; any other gets whole rows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 class _Vocabulary(UnitCache):
@@ -151,6 +194,10 @@ class _Vocabulary(UnitCache):
 
         super().__init__(most=1_000_000)
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.cuts = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+        self.special = tuple(x["content"].encode() for x in spec["added_tokens"])
 
 
 _loaded: dict[str, _Vocabulary] = {}
@@ -160,19 +207,22 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 
 def encode(block: words.Block, vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, each followed by 0, and where the rows begin.
 
-    The tokenizer drops white space, puts letters in lower case and cuts between letters and marks,
-    so parts between those cuts are encoded alone, each distinct one once. The special tokens'
-    strings have such cuts inside; a block that holds one is cut at white space only.
+    A tokenizer that drops white space, puts letters in lower case and cuts between letters and marks
+    gets the parts between those cuts alone, each distinct one once. The special tokens' strings have
+    such cuts inside; a block that holds one is cut at white space only. Any other tokenizer gets
+    whole rows.
     """
     data = block.data
     raw = data.tobytes()
-    if any(x in raw for x in SPECIAL):
+    if not vocabulary.cuts:
+        found = [vocabulary.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True)]
+        return np.array([x for ids in found for x in (*ids, 0)], np.uint32), np.cumsum([0, *(len(ids) + 1 for ids in found)])
+    if any(x in raw for x in vocabulary.special):
         lower, cuts = data, None
     else:
         lower = _LOWER[data]
@@ -243,18 +293,19 @@ def _cells(found: list[tuple[Configuration, int]]) -> tuple[np.ndarray, ...]:
 def pack(docs: DataFrame, tokenizer: str, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece with its sequence and its place there; sequences are numbered from 0.
 
-    Null texts are empty and take one token; null ids stay null; repeated rows are packed each;
-    other columns are not read. An empty table has no pieces.
+    Null texts are empty and take one token; null ids stay null; repeated rows are packed each, and
+    rows of one id are dealt out like any others; very long texts are cut in pieces; other columns
+    are not read. An empty table has no pieces.
     """
-    cut = save(pieces(docs, tokenizer, s, id_col, text_col), "pieces")
+    cut = save(pieces(docs, tokenizer, s, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")  # written, so a row's number is fixed
     counts = np.zeros(s.capacity + 1, np.int64)
     for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # no more rows than the capacity
         counts[r["length"]] = r["n"]
-    length, rank, sequence, times, place = _cells(plan(counts, s))
+    length, rank, sequence, times, place = _cells(solve(counts, s).configurations)
     salts = int(max(64, -(-int(counts.max()) // s.salt_rows)))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1).join(base, ["length", "salt"])
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1).join(base, ["length", "salt"])
     key = length * (1 << 44)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
