@@ -4,10 +4,11 @@ A text is the set of its shingles of five words (one shingle of all its words if
 texts with the same words form a text class, and only one of each class is compared. Classes that
 agree in a band of MinHash values are candidates. Their MinHash values are compared a few at a
 time; a pair is dropped as soon as the posterior probability of a similarity of the threshold or
-more, under a uniform prior, falls below a tolerance. What remains is gathered in clusters, of
-which all pairs are verified exactly on the shingle sets, without pruning. Large buckets and clusters are cut into blocks, and pairs of
-blocks are separate groups, so no task holds an unbounded group, and pairs are counted where they
-are found, never written.
+more, under a uniform prior, falls below a tolerance. What remains joins classes to clusters. Within
+a cluster pairs are verified exactly on the shingle sets, without pruning: all of them in a small
+cluster; in a large one, cut into blocks by classes and shingles, those of the blocks and classes that
+meet in a band, so a long chain of near copies costs as much as it has neighbours. Pairs are counted
+in the group that verifies them, never written, and no task holds an unbounded group.
 
 A band of four values misses a pair of similarity 0.8 with probability 0.59, all twenty of them
 with 0.00003. Class keys are hashes of 64 bits.
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from . import words
+from . import scratch, words
 from .grouped import components, least_labels, map_groups, pairs
 from .scratch import save
 
 
 @dataclass(frozen=True)
 class Settings:
+    """words, similarity: shingles and what links them. bands, rows: of MinHash values. step, tolerance: of the pruning. bucket_block, cluster_block, cluster_shingles: classes and shingles of a block. broadcast_bytes: tables of up to so many go to all tasks. seen: classes that a task knows again."""
+
     words: int = 5
     similarity: float = 0.8
     bands: int = 20
@@ -40,7 +43,10 @@ class Settings:
     step: int = 8
     tolerance: float = 1e-4
     bucket_block: int = 512
-    cluster_block: int = 256
+    cluster_block: int = 128
+    cluster_shingles: int = 1 << 19
+    broadcast_bytes: int = 16 << 20
+    seen: int = 1_000_000
 
     @property
     def hashes(self) -> int:
@@ -117,25 +123,33 @@ def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> tuple[n
     return i, j
 
 
+def _fresh(keys: np.ndarray, seen: set[int], most: int) -> np.ndarray:
+    """Where a key other than 0 comes for the first time; what is remembered is bounded, so a key may come first again."""
+    fresh = np.zeros(len(keys), bool)
+    for r, k in enumerate(keys.tolist()):
+        if k and k not in seen:
+            if len(seen) >= most:
+                seen.clear()
+            seen.add(k)
+            fresh[r] = True
+    return fresh
+
+
 def _signed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, class key (null without words) and MinHash values of each row; only the first row of a class in a task has values."""
+    """doc_id, class key (null without words), shingles and MinHash values of each row; rows of a class that a task has just seen have no values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for block in words.blocks(batch.column(1)):
                 h, rows, whole = shingles(block, s.words)
-                fresh = np.zeros(block.rows, bool)
-                for r, k in enumerate(whole.tolist()):
-                    if k and k not in seen:
-                        seen.add(k)
-                        fresh[r] = True
+                fresh = _fresh(whole, seen, s.seen)
                 keep = fresh[rows]
                 sig = signatures(h[keep], rows[keep], block.rows, s.hashes)
                 values = [sig[r].tobytes() if f else None for r, f in enumerate(fresh)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(whole.view(np.int64), mask=whole == 0), pa.array(values, pa.binary())], names=["doc_id", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(whole.view(np.int64), mask=whole == 0), pa.array(np.bincount(rows, minlength=block.rows)), pa.array(values, pa.binary())], names=["doc_id", "cls", "size", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, cls long, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, cls long, size long, sig binary")
 
 
 def _bands(classes: DataFrame, s: Settings) -> DataFrame:
@@ -189,23 +203,51 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     return map_groups(rows.select("bucket", "low", "high", "block", "cls", "sig"), ["bucket", "low", "high"], run, "a long, b long")
 
 
-def _texts(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """Class key and text, once for each class in a task."""
+def _small(df: DataFrame, s: Settings) -> DataFrame:
+    """A written table of a few numbers a row, marked to go to all tasks if it is small enough for that."""
+    size = df.count() * 8 * len(df.columns)
+    return F.broadcast(df) if size <= s.broadcast_bytes else df
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sets(docs: DataFrame, members: DataFrame, s: Settings, text_col: str) -> DataFrame:
+    """Class key and shingle set, in order, of the members."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for block in words.blocks(batch.column(0)):
                 whole = shingles(block, s.words)[2]
-                take = []
-                for r, k in enumerate(whole.tolist()):
-                    if k and k not in seen:
-                        seen.add(k)
-                        take.append(r)
-                if take:
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[take].view(np.int64)), batch.column(0).take(pa.array([block.first + r for r in take]))], names=["cls", "text"])
+                take = np.flatnonzero(_fresh(whole, seen, s.seen))
+                if len(take):
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[take].view(np.int64)), batch.column(0).take(pa.array(block.first + take))], names=["cls", "text"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "cls long, text string")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in words.blocks(batch.column(1)):
+                h, rows, _ = shingles(block, s.words)
+                cut = np.searchsorted(rows, np.arange(block.rows + 1)).tolist()
+                found = [np.unique(h[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(found, pa.binary())], names=["cls", "shingles"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(texts, "cls long, text string")
+    rows = rows.join(_small(members.select("cls"), s), "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
+    return rows.mapInArrow(sets, "cls long, shingles binary")
+
+
+def _groups(classes: DataFrame, cluster: DataFrame, s: Settings) -> DataFrame:
+    """cluster, low, high, block and cls: the groups in which classes are compared, for clusters with their numbers of blocks.
+
+    A cluster of one block is a group. Of a larger one, a pair of blocks is a group with the classes
+    of either that share a band with a class of the other.
+    """
+    none = F.lit(0).cast("long")
+    few = cluster.where("blocks = 1").select("cluster", none.alias("low"), none.alias("high"), none.alias("block"), "cls")
+    many = cluster.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    many = many.join(classes.select("cls", "sig"), "cls")
+    rows = save(_bands(many, s).join(many.select("cls", "cluster", "block"), "cls"), "cluster-bands")
+    others = rows.select("bucket", "cluster", F.col("block").alias("other")).distinct()
+    met = rows.join(others, ["bucket", "cluster"]).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls").distinct()
+    return few.unionAll(met)
 
 
 def _shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -227,19 +269,13 @@ def _shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[np.searchsorted(members, i), np.searchsorted(members, j)].astype(np.int64)
 
 
-def _verified(docs: DataFrame, members: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """Of each class and pair of blocks: a class b that it links to or null, and the documents and classes that it links to there."""
-    texts = _texts(docs, s, text_col).join(members, "cls").groupBy("cls").agg(F.min("text").alias("text"), F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("copies").alias("copies"))
-    rows = _block_pairs(texts, "n", s.cluster_block)
+def _verified(rows: DataFrame, s: Settings) -> DataFrame:
+    """Of each class and group: a class b that it links to or itself, and the documents and classes that it links to there. rows: what _groups() returns, with copies and shingles."""
 
     def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         cls, copies = np.asarray(table.column("cls")), np.asarray(table.column("copies"))
         n = len(cls)
-        sets = []
-        for block in words.blocks(table.column("text").combine_chunks()):
-            h, rows, _ = shingles(block, s.words)
-            cut = np.searchsorted(rows, np.arange(block.rows + 1))
-            sets += [np.unique(h[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         sizes = np.array([len(x) for x in sets])
         links, classes, ea, eb = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
         for i, j in pairs(np.diff(bounds), bounds[:-1]):
@@ -261,7 +297,7 @@ def _verified(docs: DataFrame, members: DataFrame, s: Settings, text_col: str) -
         at = np.flatnonzero(classes > 0)
         yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(cls[label[at]]), pa.array(links[at]), pa.array(classes[at])], names=["a", "b", "links", "classes"])
 
-    return map_groups(rows.select("cluster", "low", "high", "block", "cls", "copies", "text"), ["cluster", "low", "high"], run, "a long, b long, links long, classes long", flush=2_000)
+    return map_groups(rows.select("cluster", "low", "high", "block", "cls", "copies", "shingles"), ["cluster", "low", "high"], run, "a long, b long, links long, classes long", flush=2_000)
 
 
 def _by_group(bounds: np.ndarray, i: np.ndarray) -> list[np.ndarray]:
@@ -272,17 +308,24 @@ def _by_group(bounds: np.ndarray, i: np.ndarray) -> list[np.ndarray]:
 
 def _classes(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and of each class with words: cls, least doc_id, copies, component, and the documents and classes that it links to."""
+    spark = docs.sparkSession
     signed = save(_signed(docs, s, id_col, text_col), "signed")
-    known = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("sig").alias("sig"))
-    classes = save(known, "classes")
-    cluster = components(_candidates(classes, s))
-    sizes = save(cluster.groupBy("component").agg(F.count("*").alias("n")), "cluster-sizes")  # written, so that the join can split a hot cluster
-    cluster = save(cluster.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("cluster"), "n"), "clusters")
-    found = save(_verified(docs, cluster.join(classes.select("cls", "copies"), "cls"), s, text_col), "links")
-    part = components(found.select("a", "b"))
-    links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
-    out = classes.select("cls", "least", "copies").join(links, "cls", "left").join(part.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    return signed, save(out.select("cls", "least", "copies", F.coalesce("component", "cls").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("classes", F.lit(0)).alias("classes")), "classes-linked")
+    with scratch.owned() as tables:
+        known = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("sig").alias("sig"))
+        classes = save(known, "classes")
+        cluster = save(components(_candidates(classes, s)).select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(classes.select("cls", "copies", "size"), "cls"), "clusters")
+        blocks = F.ceil(F.greatest(F.count("*") / s.cluster_block, F.sum("size") / s.cluster_shingles)).cast("long")
+        sizes = save(cluster.groupBy("cluster").agg(blocks.alias("blocks")), "cluster-sizes")  # written, so that the join can split a hot cluster
+        members = cluster.join(_small(sizes, s), "cluster")
+        sets = save(_sets(docs, cluster, s, text_col), "sets")
+        rows = _groups(classes, members.select("cluster", "cls", "blocks"), s).join(_small(cluster.select("cls", "copies"), s), "cls").join(sets, "cls")
+        found = save(_verified(rows, s), "links")
+        part = components(found.select("a", "b"))
+        links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
+        out = classes.select("cls", "least", "copies").join(links, "cls", "left").join(part.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        out = save(out.select("cls", "least", "copies", F.coalesce("component", "cls").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("classes", F.lit(0)).alias("classes")), "classes-linked")
+        scratch.release(spark, tables, but=out)
+    return signed, out
 
 
 def join(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +353,10 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     """
     s = settings
     _, classes = _classes(docs, s, id_col, text_col)
-    best = classes.groupBy("component").agg(F.min(F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("id"), "cls")).alias("x")).select(F.col("x.cls").alias("__cls"), F.col("x.id").alias("__id"))
+    taken = {c.lower() for c in docs.columns}
+    cls, id_ = (next(x for k in range(len(taken) + 1) if (x := f"{name}{k}") not in taken) for name in ("cls", "id"))
+    last = F.lit(2**63 - 1)
+    best = classes.groupBy("component").agg(F.min(F.struct(F.coalesce("least", last).alias("id"), "cls")).alias("x")).select(F.col("x.cls").alias(cls), F.col("x.id").alias(id_))
     at = docs.columns.index(text_col)
     worded = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
@@ -319,9 +365,9 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
             for block in words.blocks(batch.column(at)):
                 whole = shingles(block, s.words)[2]
                 part = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(whole.view(np.int64))], names=[*batch.schema.names, "__cls"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(whole.view(np.int64))], names=[*batch.schema.names, cls])
 
-    schema = StructType([*docs.schema.fields, StructField("__cls", LongType())])
-    rows = docs.where(worded).mapInArrow(run, schema).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
-    kept = rows.join(best, ["__cls", "__id"]).dropDuplicates(["__cls", "__id"]).select(*docs.columns)
+    schema = StructType([*docs.schema.fields, StructField(cls, LongType())])
+    rows = docs.where(worded).mapInArrow(run, schema).withColumn(id_, F.coalesce(F.col(id_col).cast("long"), last))
+    kept = rows.join(best, [cls, id_]).dropDuplicates([cls, id_]).select(*docs.columns)
     return kept.unionAll(docs.where(~worded))

@@ -10,10 +10,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from smoothlake.llm import hidden_markov, media, near_duplicates, packing, sharding, toxicity
+from smoothlake.llm import hidden_markov, media, near_duplicates, packing, sharding, toxicity, words
 
 from .conftest import DATA, edge_rows, prose
 
@@ -190,24 +192,105 @@ def test_packing(edge, documents):
     assert n <= least * 1.03 + 1
 
 
+def best_fit_decreasing(counts, capacity):
+    """The number of sequences that best fit, the longest piece first, needs."""
+    rooms = np.zeros(capacity + 1, int)
+    sequences = 0
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        for _ in range(int(counts[length])):
+            fits = np.flatnonzero(rooms[length:])
+            if len(fits):
+                room = length + int(fits[0])
+                rooms[room] -= 1
+            else:
+                room, sequences = capacity, sequences + 1
+            rooms[room - length] += 1
+    return sequences
+
+
 def test_plans_cover_histograms():
     r = np.random.default_rng(5)
-    for counts in (np.zeros(65, int), np.eye(65, dtype=int)[64] * 5, r.integers(0, 40, 65) * (np.arange(65) > 0), r.integers(0, 3, 65) * (np.arange(65) > 30)):
-        s = packing.Settings(capacity=64, rounds=30)
-        found = packing.plan(counts, s)
+    for counts in (np.zeros(65, int), np.eye(65, dtype=int)[64] * 5, r.integers(0, 40, 65) * (np.arange(65) > 0), r.integers(0, 3, 65) * (np.arange(65) > 30), r.integers(0, 9, 65) * (np.arange(65) > 17)):
+        s = packing.Settings(capacity=64, rounds=60)
+        plan = packing.solve(counts, s)
         total = np.zeros(65, int)
-        for p, n in found:
+        for p, n in plan.configurations:
             assert sum(a * b for a, b in p) <= 64 and n > 0
             for a, b in p:
                 total[a] += b * n
         assert (total == counts).all()
-    w = r.random((2, 65))
+        assert plan.bound <= plan.sequences <= best_fit_decreasing(counts, 64) and plan.bound - 1 < plan.fractional <= plan.sequences + 1e-9
+    w = r.integers(0, 1000, (2, 65))
     best, _ = packing.price(w)
     for row, got in zip(w, best, strict=True):
-        plain = [0.0] * 65
+        plain = [0] * 65
         for c in range(1, 65):
             plain[c] = max(plain[c - 1], *(row[k] + plain[c - k] for k in range(1, c + 1)))
-        assert np.allclose(plain, got)
+        assert plain == got.tolist()
+
+
+def _optimum(counts, capacity):
+    """The least number of sequences, by search over what is left."""
+    from functools import cache
+
+    lengths = [k for k in range(capacity + 1) if counts[k]]
+
+    @cache
+    def least(left):
+        if not any(left):
+            return 0
+        first = max(k for k, n in enumerate(left) if n)
+        best = 10**9
+
+        def put(k, room, now):
+            nonlocal best
+            if k < 0:
+                best = min(best, 1 + least(now))
+                return
+            for n in range(min(now[k], room // lengths[k]), -1, -1):
+                put(k - 1, room - n * lengths[k], (*now[:k], now[k] - n, *now[k + 1 :]))
+
+        rest = (*left[:first], left[first] - 1, *left[first + 1 :])
+        put(len(lengths) - 1, capacity - lengths[first], rest)
+        return best
+
+    return least(tuple(int(counts[k]) for k in lengths))
+
+
+def test_plans_against_the_least_number():
+    """Histograms without small pieces, where prices by tokens alone bound badly."""
+    r = np.random.default_rng(1)
+    met = 0
+    for _ in range(12):
+        counts = np.zeros(31, int)
+        counts[r.choice(np.arange(6, 20), 4, replace=False)] = r.integers(1, 5, 4)
+        plan = packing.solve(counts, packing.Settings(capacity=30))
+        least = _optimum(counts, 30)
+        assert plan.bound <= least <= plan.sequences <= least + 1 and plan.sequences <= best_fit_decreasing(counts, 30)
+        met += plan.sequences == least
+    assert met >= 11
+    counts = np.zeros(101, int)
+    counts[[35, 51]] = 600, 10  # three of 35 do not fit, so the tokens' bound is 216
+    assert packing.solve(counts, packing.Settings(capacity=100)).bound >= 300
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_plans_meet_the_bound_on_documents(spark, times):
+    cut = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), TOKENIZER)
+    counts = np.zeros(2049, np.int64)
+    for r in cut.groupBy("length").count().collect():
+        counts[r["length"]] = times * r["count"]
+    plan = packing.solve(counts)
+    assert plan.sequences == plan.bound <= best_fit_decreasing(counts, 2048)
+
+
+def test_tokenizers_that_prepare_text_otherwise():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Hello  World, it's 12.5!", "", " a\nB ", "<|endoftext|> x"]
+    ids, bounds = packing.encode(next(words.blocks(pa.array(texts))), packing._Vocabulary(path))
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_segments_are_maximal():
@@ -265,8 +348,9 @@ def test_clusters_are_verified_without_pruning(spark):
     texts = [" ".join(w + "x" * (k in at) for k, w in enumerate(words_)) for at in ((), (0, 20, 40), (60, 80, 100), (120, 140), (160, 180))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     s = near_duplicates.Settings(tolerance=0.99)
-    members = near_duplicates._signed(docs, s, "doc_id", "text").selectExpr("cls", "1L as cluster", "5L as n", "1L as copies")
-    got = near_duplicates._verified(docs, members, s, "text").selectExpr("sum(links)").first()[0]
+    members = near_duplicates._signed(docs, s, "doc_id", "text").selectExpr("cls", "1L as cluster", "1L as copies")
+    rows = members.join(near_duplicates._sets(docs, members, s, "text"), "cls").selectExpr("*", "0L as low", "0L as high", "0L as block")
+    got = near_duplicates._verified(rows, s).selectExpr("sum(links)").first()[0]
     sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
     want = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
     assert got == want > 8
@@ -308,7 +392,7 @@ def test_near_duplicates_equal_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     links, part = plain_join(texts)
     # small blocks, so that buckets and clusters are cut
-    for s in (near_duplicates.Settings(), near_duplicates.Settings(bucket_block=8, cluster_block=8)):
+    for s in (near_duplicates.Settings(), near_duplicates.Settings(bucket_block=8, cluster_block=8), near_duplicates.Settings(cluster_shingles=500, broadcast_bytes=0, seen=3)):
         got = {r["doc_id"]: r for r in near_duplicates.join(docs, s).collect()}
         assert [got[i]["n_links"] for i in range(len(texts))] == links
         assert [got[i]["class_id"] for i in range(len(texts))] == part
@@ -316,6 +400,43 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert kept == sorted(set(part))
 
 
+def test_a_long_chain_of_near_copies(spark):
+    """Each text is near the two before and after it only; the whole chain is one class, at a cost in proportion to its length."""
+    n, step = 5000, 4
+    chain = [f"w{k}" for k in range(80 + n * step)]
+    docs = spark.range(n).withColumn("text", F.expr(f"concat_ws(' ', transform(sequence(id * {step}, id * {step} + 79), x -> concat('w', x)))"))
+    assert docs.where("id = 3").first()["text"] == " ".join(chain[12:92])
+    held = []
+    real = near_duplicates._verified
+    near_duplicates._verified = lambda rows, s: held.append(rows.count()) or real(rows, s)
+    try:
+        got = {r["doc_id"]: r for r in near_duplicates.join(docs, id_col="id").collect()}
+    finally:
+        near_duplicates._verified = real
+    sets = [set(range(i * step, i * step + 76)) for i in range(20)]
+    near = max(k for k in range(20) if len(sets[0] & sets[k]) >= 0.8 * len(sets[0] | sets[k]))
+    assert near == 2 and {r["class_id"] for r in got.values()} == {0}
+    assert [got[i]["n_links"] for i in range(n)] == [min(i, near) + min(n - 1 - i, near) for i in range(n)]
+    assert held[0] < 40 * n  # all pairs of its 40 blocks would be 200,000
+
+
+def test_links_of_queries_against_all_rows(spark):
+    """Recall of links between the rows whose id is divisible by 50 and all others, on documents with near copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r["doc_id"]: shingle_set(r["text"]) for r in docs.collect()}
+    got = {r["doc_id"]: r for r in near_duplicates.join(docs).collect()}
+    for q in rows:
+        near = [i for i, x in rows.items() if i != q and x and rows[q] and min(len(x), len(rows[q])) >= 0.8 * max(len(x), len(rows[q])) and len(x & rows[q]) >= 0.8 * len(x | rows[q]) - 1e-9] if q % 50 == 0 else None
+        if near is not None:
+            assert got[q]["n_links"] == len(near) and all(got[i]["class_id"] == got[q]["class_id"] for i in near)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, "x", 1), (2, "a b c", 7, 8, "y", 2), (3, None, 9, 9, "z", 3)], "doc_id long, text string, __cls int, __id int, cls0 string, ID0 int")
+    got = near_duplicates.keep_one(docs)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(1, "a b c", 5, 6, "x", 1), (3, None, 9, 9, "z", 3)]
+
+
 def test_near_duplicates_edges(edge, no_rows):
     got = near_duplicates.join(edge).collect()
     assert len(got) == len(edge_rows())
