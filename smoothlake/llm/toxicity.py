@@ -1,16 +1,18 @@
 """Toxicity by maximum-scoring segments.
 
-Training takes a bounded sample of labelled documents, one of each sketch of near copies, and
-counts in how many toxic and other documents each feature occurs. A feature is a word or the first
-four, five or six bytes of one. Its score is the log of the odds with a Dirichlet prior in the
-proportion of all documents; features with a significant score form the lexicon. All other words
-have one small negative score, the log-ratio of meeting a word outside the lexicon.
-
-The maximal scoring segments of a text (Ruzzo and Tompa) are found in linear time. For log-odds
-scores the extreme-value law of the best segment of n words has a scale of 1, so that a segment of
-score S has an expectation of K * n * exp(-S) under clean text; K comes from clean training texts.
-Segments with an expectation below a level are passages. A logistic curve, fitted to the training
-labels, maps the log-expectation of all passages to a score from 0 to 1.
+Training takes a bounded sample of labelled documents and counts in how many toxic and other ones
+each feature occurs; near copies of one sketch count as one together. A feature is a word or the
+first four, five or six bytes of one. Its score is the log-ratio of its odds to those of all
+documents, with a Dirichlet prior in the proportion that the feature above it has: a word leans on
+its first six bytes, these on five, and so on. It is the end nearest to 0 of the posterior's interval,
+so that what was seen once or twice says little. Every token has the score of its most specific
+feature that training has seen, less a drift, such that the mean of exp(score) is 1 in clean text.
+
+The maximal scoring segments of a text (Ruzzo and Tompa) are found in linear time. With that drift
+the extreme-value law of the best segment of n words of clean text has a scale of 1, so that a
+segment of score S has an expectation of K * n * exp(-S). Segments with an expectation below a level
+are passages. A logistic curve maps the log-expectation of all passages to a score from 0 to 1. Drift,
+K and curve come from rows scored by features of the other folds of the sample, never of their own.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import scratch, words
 from .scratch import save
 
 _LETTER = np.zeros(256, bool)
@@ -34,26 +36,27 @@ _SEPARATORS = ~_LETTER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 PREFIXES = (6, 5, 4)
+FOLDS = 3
+ONE = 1 << 20  # the weight of a document
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows to learn from, at most. prior: weight of the Dirichlet prior in documents. The rest: what makes a lexicon entry or a passage."""
+    """sample: labelled rows to learn from, at most. prior: weight of the Dirichlet prior in documents. width: deviations by which a score is drawn to 0. expectation: what a passage has at most."""
 
     sample: int = 20_000
-    prior: float = 20.0
-    least_documents: int = 4
-    least_odds: float = 2.0
-    least_z: float = 3.0
-    lexicon: int = 8192
+    prior: float = 3.0
+    width: float = 2.0
     expectation: float = 0.01
 
 
 @dataclass(frozen=True)
 class Model:
+    """keys of features in order and their scores; what is taken from each token's score; the extreme-value law and the curve."""
+
     keys: np.ndarray
     scores: np.ndarray
-    other: float
+    drift: float
     log_k: float
     slope: float
     intercept: float
@@ -85,7 +88,7 @@ def _sketch(block: words.Block) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """Sketch, text and label of the sampled rows, one of each sketch and label."""
+    """Text, label, weight and fold of the sampled rows. Rows of one sketch and label weigh one together and have one fold."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
         .where("id is not null and toxic in (0, 1) and crc32(cast(id as string)) % 5 != 0")
@@ -105,90 +108,109 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str,
 
     # the sample's size is a parameter, so it may be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").select("text", "toxic")
-    found = rows.mapInArrow(run, "sketch long, text string, toxic int").groupBy("sketch", "toxic").agg(F.min("text").alias("text"))
-    return save(found, "toxicity-sample")
+    found = save(rows.mapInArrow(run, "sketch long, text string, toxic int"), "toxicity-sample")
+    copies = found.groupBy("sketch", "toxic").agg(F.count("*").alias("copies"))
+    return found.join(F.broadcast(copies), ["sketch", "toxic"]).select("text", "toxic", F.round(F.lit(float(ONE)) / F.col("copies")).cast("long").alias("weight"), F.pmod("sketch", F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """Of each feature, the toxic and the other documents with it, and their words."""
+    """Of each feature: the one above it, 0 for none, and the weights of the documents with it, by label and fold."""
+    names = [f"n{k}" for k in range(2 * FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.asarray(batch.column(1))
+            toxic, weight, fold = (np.asarray(batch.column(k)) for k in (1, 2, 3))
             for block in words.blocks(batch.column(0), 2 << 20):
                 features, rows = _features(block)
-                h, r = np.concatenate(features), np.tile(rows, len(features))
-                keep = h != 0
-                h, r = h[keep], r[keep]
+                above, up = np.zeros(len(rows), np.uint64), []
+                for h in features[:0:-1]:  # from the shortest prefix on
+                    up.append(above)
+                    above = np.where(h != 0, h, above)
+                up.append(above)
+                h, r, u = np.concatenate(features), np.tile(rows, len(features)), np.concatenate(up[::-1])
+                h, r, u = h[h != 0], r[h != 0], u[h != 0]
                 order = np.lexsort((r, h))
-                h, r = h[order], r[order]
+                h, r, u = h[order], r[order], u[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])][: len(h)]
-                bad = toxic[block.first + r] == 1
                 keys, at = np.unique(h, return_index=True)
                 if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.add.reduceat((new & bad).astype(np.int64), at)), pa.array(np.add.reduceat((new & ~bad).astype(np.int64), at))], names=["key", "bad", "good"])
-
-    return sample.select("text", "toxic").mapInArrow(run, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-
-
-def _hits(features: list[np.ndarray], keys: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words with a feature in the lexicon and the entry of the most specific one."""
-    entry = np.full(len(features[0]), -1, np.int64)
-    for h in features:
-        at = np.flatnonzero(bitmap[(h & np.uint64(0xFFFFF)).astype(np.int64)] & (entry < 0))
-        k = np.searchsorted(keys, h[at])
-        k[k == len(keys)] = 0
-        good = keys[k] == h[at] if len(keys) else np.zeros(len(at), bool)
+                    doc = block.first + r
+                    cell = toxic[doc] * FOLDS + fold[doc]
+                    sums = [np.add.reduceat(np.where(new & (cell == k), weight[doc], 0), at) for k in range(2 * FOLDS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(u[at].view(np.int64)), *map(pa.array, sums)], names=["key", "above", *names])
+
+    found = sample.select("text", "toxic", "weight", "fold").mapInArrow(run, "key long, above long, " + ", ".join(f"{x} long" for x in names))
+    return found.groupBy("key").agg(F.max("above").alias("above"), *(F.sum(x).alias(x) for x in names))
+
+
+def odds(keys: np.ndarray, above: np.ndarray, bad: np.ndarray, good: np.ndarray, n1: float, n0: float, prior: float, width: float) -> np.ndarray:
+    """The score of each feature, keys being in order: the log-ratio of its documents, with a prior of so many that part as those of the feature above it do, drawn to 0 by so many of its deviations. One without documents has the score of that above it."""
+    score = np.zeros(len(keys))
+    parent = np.searchsorted(keys, above)
+    parent[above == 0] = -1
+    done = np.zeros(len(keys), bool)
+    now = np.flatnonzero(parent < 0)
+    while len(now):
+        base = np.where(parent[now] >= 0, score[parent[now]], 0.0)
+        share = 1 / (1 + np.exp(-base) * n0 / n1)  # of toxic documents among those with the feature above
+        y1, y0 = bad[now] + prior * share, good[now] + prior * (1 - share)
+        middle = np.log(y1 / y0) - math.log(n1 / n0)
+        drawn = np.sign(middle) * np.maximum(np.abs(middle) - width * np.sqrt(1 / y1 + 1 / y0), 0)
+        score[now] = np.where(bad[now] + good[now] > 0, drawn, base)
+        done[now] = True
+        now = np.flatnonzero(~done & done[parent])
+    return score
+
+
+def values(block: words.Block, keys: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The score of each word, 0 for one without a known feature, and its row. scores may have several columns."""
+    features, rows = _features(block)
+    _, one, which = np.unique(features[0], return_index=True, return_inverse=True)
+    entry = np.full(len(one), -1, np.int64)
+    for h in features if len(keys) else ():
+        at = np.flatnonzero(entry < 0)
+        k = np.minimum(np.searchsorted(keys, h[one[at]]), len(keys) - 1)
+        good = keys[k] == h[one[at]]
         entry[at[good]] = k[good]
-    at = np.flatnonzero(entry >= 0)
-    return at, entry[at]
-
-
-def segments(at: list[int], scores: list[float], other: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of a sequence in which the positions at score as given, all positive, and every other one scores other, below 0."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, sums before and after
-    total, last = 0.0, -1
-    for i, s in zip(at, scores, strict=True):
-        total += other * (i - last - 1)
-        left, right, begin = total, total + s, i
-        total, last = right, i
+    found = np.where((entry >= 0).reshape(-1, *[1] * (scores.ndim - 1)), scores[entry] if len(keys) else 0.0, 0.0)
+    return found[which] if len(which) else np.zeros((0, *scores.shape[1:])), rows
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a sequence, in order: start, end and score."""
+    total = np.zeros(len(scores) + 1)
+    np.cumsum(scores, out=total[1:])
+    plus = np.zeros(len(scores) + 2, bool)
+    plus[1:-1] = scores > 0
+    begin, end = np.flatnonzero(plus[1:] & ~plus[:-1]), np.flatnonzero(plus[:-1] & ~plus[1:])
+    # of each segment so far: start, end, sums before and after, and the nearest earlier one with a lower sum before
+    found: list[tuple[int, int, float, float, int]] = []
+    for a, b, left, right in zip(begin.tolist(), end.tolist(), total[begin].tolist(), total[end].tolist(), strict=True):
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
-                found.append((begin, i + 1, left, right))
+                found.append((a, b, left, right, j))
                 break
-            begin, left = found[j][0], found[j][2]
+            a, left = found[j][0], found[j][2]
             del found[j:]
-    return [(a, b, r - q) for a, b, q, r in found]
+    return [(a, b, r - q) for a, b, q, r, _ in found]
 
 
-def _bitmap(keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 20, bool)
-    out[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    return out
+Evidence = tuple[float, int, float, list[tuple[int, int, float]]]
 
 
-def _evidence(block: words.Block, model: Model, bitmap: np.ndarray) -> list[tuple[float, int, list[tuple[int, int, float]]]]:
-    """Of each row: minus the log-expectation of its passages together, its words, and the passages."""
-    features, rows = _features(block)
-    n = np.bincount(rows, minlength=block.rows)
-    first = np.searchsorted(rows, np.arange(block.rows + 1))
-    at, entry = _hits(features, model.keys, bitmap)
-    cut = np.searchsorted(at, first).tolist()
-    scores = model.scores[entry].tolist()
-    at = at.tolist()
+def _evidence(scores: np.ndarray, rows: np.ndarray, n_rows: int, log_k: float, expectation: float) -> list[Evidence]:
+    """Of each row: minus the log-expectation of its passages together, its words, its best segment's score, and the passages."""
+    first = np.searchsorted(rows, np.arange(n_rows + 1)).tolist()
+    limit = math.log(expectation) if expectation < math.inf else math.inf
     out = []
-    for i in range(block.rows):
-        size = int(n[i])
-        level = model.log_k + math.log(max(size, 1))
-        passages = []
-        if cut[i + 1] > cut[i]:
-            origin = int(first[i])
-            found = segments([x - origin for x in at[cut[i] : cut[i + 1]]], scores[cut[i] : cut[i + 1]], model.other)
-            passages = [x for x in found if level - x[2] < math.log(model.expectation)]
-        out.append((sum(s for *_, s in passages) - level, size, passages))
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        level = log_k + math.log(max(b - a, 1))
+        found = segments(scores[a:b])
+        passages = [x for x in found if level - x[2] < limit]
+        out.append((sum(s for *_, s in passages) - level, b - a, max((s for *_, s in found), default=0.0), passages))
     return out
 
 
@@ -196,66 +218,74 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     """Learns from the labelled rows whose crc32 of the id as text, modulo 5, is not 0.
 
     No more than settings.sample labelled rows are used, those with the least hash of the id. Rows
-    with a null id, text or label are left out. Without toxic or without other rows the lexicon is
-    empty and every score is the share of toxic rows, smoothed.
+    with a null id, text or label are left out; an id with both labels is toxic. Without toxic or
+    without other rows there are no features and every score is the share of toxic rows, smoothed.
     """
-    sample = _sample(docs, labels, settings, id_col, text_col)
-    total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = total.get(1, 0), total.get(0, 0)
+    with scratch.owned() as tables:
+        model = _fit(_sample(docs, labels, settings, id_col, text_col), settings)
+        scratch.release(docs.sparkSession, tables)
+    return model
+
+
+def _fit(sample: DataFrame, settings: Settings) -> Model:
+    total = np.zeros((2, FOLDS))
+    for r in sample.groupBy("toxic", "fold").agg(F.sum("weight").alias("n")).collect():
+        total[r["toxic"], r["fold"]] = r["n"] / ONE
+    n0, n1 = total.sum(1)
     rate = (n1 + 0.5) / (n1 + n0 + 1)
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), -0.01, 0.0, 0.0, math.log(rate / (1 - rate)), settings.expectation)
-    if not n1 or not n0:
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.01, 0.0, 0.0, math.log(rate / (1 - rate)), settings.expectation)
+    others = total.sum(1, keepdims=True) - total
+    if not n1 or not n0 or not others.all():
         return empty
-    a = F.lit(settings.prior)
-    y1, y0 = F.col("bad") + a * F.col("share"), F.col("good") + a * F.col("share")
-    odds = F.log(y1 / (n1 + a - y1)) - F.log(y0 / (n0 + a - y0))
-    counts = (
-        _counts(sample).where(F.col("bad") >= settings.least_documents)
-        .withColumn("share", (F.col("bad") + F.col("good") + 0.5) / (n1 + n0 + 1)).withColumn("odds", odds)
-        .withColumn("z", F.col("odds") / F.sqrt(1 / y1 + 1 / y0)).where((F.col("odds") >= settings.least_odds) & (F.col("z") >= settings.least_z))
-        .orderBy(F.desc("z"), "key").limit(settings.lexicon).select("key", "odds").toPandas()
-    )
+    counts = _counts(sample).toPandas()  # the features of a sample of so many rows
     keys = counts["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, scores = keys[order], counts["odds"].to_numpy()[order]
-    if not len(keys):
-        return empty
-    bitmap = _bitmap(keys)
-
-    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, above = keys[order], counts["above"].to_numpy().view(np.uint64)[order]
+    cells = counts[[f"n{k}" for k in range(2 * FOLDS)]].to_numpy(float)[order].reshape(-1, 2, FOLDS) / ONE
+    del counts
+    both = cells.sum(2)
+    scores = odds(keys, above, both[:, 1], both[:, 0], n1, n0, settings.prior, settings.width).astype(np.float32)
+    # a column for each fold, from the others
+    apart = np.stack([odds(keys, above, both[:, 1] - cells[:, 1, j], both[:, 0] - cells[:, 0, j], others[1, j], others[0, j], settings.prior, settings.width) for j in range(FOLDS)], 1).astype(np.float32)
+
+    def own(block: words.Block, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, rows = values(block, keys, apart)
+        return found[np.arange(len(rows)), fold[block.first + rows]].astype(float), rows
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.asarray(batch.column(1))
+            fold = np.asarray(batch.column(1))
             for block in words.blocks(batch.column(0)):
-                features, rows = _features(block)
-                at, entry = _hits(features, keys, bitmap)
-                n, k = np.bincount(rows, minlength=block.rows), np.bincount(rows[at], minlength=block.rows)
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[block.first : block.first + block.rows]), pa.array(n), pa.array(k)], names=["toxic", "n", "k"])
+                found, rows = own(block, fold)
+                n = np.bincount(rows, minlength=block.rows)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(np.bincount(rows, np.exp(found), block.rows) / np.maximum(n, 1))], names=["n", "mean"])
 
-    share = {r["toxic"]: (r["k"], r["n"]) for r in sample.select("text", "toxic").mapInArrow(rates, "toxic int, n long, k long").groupBy("toxic").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).collect()}
-    q1, q0 = ((share[t][0] + 0.5) / (share[t][1] + 1) for t in (1, 0))
-    other = min(math.log((1 - q1) / (1 - q0)), -1e-3)
-    first = Model(keys, scores, other, 0.0, 1.0, 0.0, math.inf)
+    clean = sample.where("toxic = 0").select("text", "fold").mapInArrow(means, "n long, mean double").where("n > 0").agg(F.sum(F.col("mean") * F.col("n")).alias("sum"), F.sum("n").alias("n")).first()
+    drift = max(math.log(clean["sum"] / clean["n"]) if clean["n"] else 0.0, 1e-3)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.asarray(batch.column(1))
+            toxic, weight, fold = (np.asarray(batch.column(k)) for k in (1, 2, 3))
             for block in words.blocks(batch.column(0)):
-                found = _evidence(block, first, bitmap)
-                best = [max((s for *_, s in p), default=0.0) for *_, p in found]
-                both = [sum(s for *_, s in p) for *_, p in found]
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[block.first : block.first + block.rows]), pa.array([n for _, n, _ in found], pa.int64()), pa.array(best, pa.float64()), pa.array(both, pa.float64())], names=["toxic", "n", "best", "total"])
+                found, rows = own(block, fold)
+                part = slice(block.first, block.first + block.rows)
+                _, n, best, passages = zip(*_evidence(found - drift, rows, block.rows, 0.0, math.inf), strict=True)
+                kept = [[s for *_, s in p] for p in passages]
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[part]), pa.array(weight[part]), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(kept, pa.list_(pa.float64()))], names=["toxic", "weight", "n", "best", "scores"])
 
-    seen = sample.select("text", "toxic").mapInArrow(evidence, "toxic int, n long, best double, total double").toPandas()  # as many rows as the sample, a parameter
-    n, toxic = np.maximum(seen["n"].to_numpy(), 1), seen["toxic"].to_numpy()
+    seen = sample.select("text", "toxic", "weight", "fold").mapInArrow(evidence, "toxic int, weight long, n long, best double, scores array<double>")
     # the expectation of clean texts' best segments: K is the mean of exp(S) / n, robustly from their upper tail
-    clean = seen["best"].to_numpy()[toxic == 0] - np.log(n[toxic == 0])
-    log_k = float(np.clip(np.quantile(clean, 0.99) + math.log(0.01), -12, 2))
-    x = np.where(seen["best"] - np.log(n) - log_k > -math.log(settings.expectation), seen["total"], 0.0) - np.log(n) - log_k
-    slope, intercept = _logistic(x, toxic)
-    return Model(keys, scores, other, log_k, slope, intercept, settings.expectation)
+    seen = seen.withColumn("level", F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")))
+    log_k = seen.where("toxic = 0").agg(F.percentile(F.col("best") - F.col("level"), 0.99)).first()[0] + math.log(0.01)
+    log_k = float(np.clip(log_k, -12, 2))
+    level = F.col("level") + log_k
+    kept = F.aggregate(F.filter("scores", lambda x: level - x < math.log(settings.expectation)), F.lit(0.0), lambda a, x: a + x)
+    table = seen.select("toxic", "weight", (kept - level).alias("x")).toPandas()  # as many rows as the sample, a parameter
+    slope, intercept = _logistic(table["x"].to_numpy(), table["toxic"].to_numpy(), table["weight"].to_numpy() / ONE)
+    return Model(keys, scores, drift, log_k, slope, intercept, settings.expectation)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
     """Slope, at least 0, and intercept by Newton's method with a ridge on the standardised slope."""
     mean, sd = float(np.mean(x)), float(np.std(x)) or 1.0
     z = np.stack([(x - mean) / sd, np.ones(len(x))], 1)
@@ -263,7 +293,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     penalty = np.diag([ridge, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (y - p) - penalty @ b)
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + penalty, z.T @ (weight * (y - p)) - penalty @ b)
         b += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
@@ -271,6 +301,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return slope, float(b[1] - slope * mean)
 
 
+def _judged(block: words.Block, model: Model) -> list[Evidence]:
+    found, rows = values(block, model.keys, model.scores)
+    return _evidence(found.astype(float) - model.drift, rows, block.rows, model.log_k, model.expectation)
+
+
 def _score(evidence: float, model: Model) -> float:
     return 1 / (1 + math.exp(-min(max(model.slope * evidence + model.intercept, -30), 30)))
 
@@ -282,18 +317,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """A row per row of docs with its score and passages, as a JSON list of first word, word after the last and score.
 
     A null or empty text has no passages and the score of that. A null id stays null and is not held
-    out. Repeated rows each get a row; other columns are not read.
+    out. Repeated rows each get a row; very long texts are scored whole, in time linear in their
+    words; of equal segments the longer is one passage; other columns are not read.
     """
-    bitmap = _bitmap(model.keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column(1)):
-                found = _evidence(block, model, bitmap)
+                found = _judged(block, model)
                 value = [_score(e, model) for e, *_ in found]
                 part = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(value, pa.float64()), pa.array([int(v >= 0.5) for v in value], pa.int32()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([len(p) for *_, p in found], pa.int64()), pa.array([json.dumps([[a, b, round(s, 3)] for a, b, s in p]) for *_, p in found], pa.string())],
+                    [part.column(0), part.column(2), pa.array(value, pa.float64()), pa.array([int(v >= 0.5) for v in value], pa.int32()), pa.array([n for _, n, *_ in found], pa.int64()), pa.array([len(p) for *_, p in found], pa.int64()), pa.array([json.dumps([[a, b, round(s, 3)] for a, b, s in p]) for *_, p in found], pa.string())],
                     names=[x.split()[0] for x in SCHEMA.split(", ")],
                 )
 
@@ -304,12 +339,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs with a score below one half, with all their columns."""
-    schema, at, bitmap = docs.schema, docs.columns.index(text_col), _bitmap(model.keys)
+    schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column(at)):
-                clean = [_score(e, model) < 0.5 for e, *_ in _evidence(block, model, bitmap)]
+                clean = [_score(e, model) < 0.5 for e, *_ in _judged(block, model)]
                 yield batch.slice(block.first, block.rows).filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
