@@ -1,11 +1,13 @@
 """Sharding by histogram sort.
 
-Rows are ordered by a key of 62 bits: the high bits come from a hash of the text, the low ones from
-a hash of the id, so that equal texts stand together and yet even a group of copies that outgrows a
-shard can be split. Splitters cut the order into shards of near equal bytes. They are found by
-rounds: each counts the exact bytes below probe keys, between the two probes that enclose a target,
-until the nearer of the two is within the tolerance. The first rounds probe group edges only, so a
-group of equal texts is split only if no edge is near enough. Then the rows are exchanged once.
+Rows are ordered by a key of 62 bits: the high ones come from a hash of the text, the next from a
+hash of the id, the lowest from the row's place in the table, so that equal texts stand together and
+yet even a group of copies, or of equal rows, that outgrows a shard can be split. Splitters cut the
+order into shards of near equal bytes. They are found by rounds: each counts the exact bytes below
+probe keys, between the two probes that enclose a target, until the nearer of the two is within the
+tolerance. The first rounds probe group edges only, so a group of equal texts is split only if no
+edge is near enough. Then the rows are exchanged once, by ranges of the key, and sorted; slots follow
+the key.
 """
 
 from __future__ import annotations
@@ -15,30 +17,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from .scratch import save
 
-KEY_BITS, TEXT_BITS, ROUND_BITS = 62, 40, 8
+KEY_BITS, TEXT_BITS, ID_BITS, ROUND_BITS = 62, 32, 15, 8
 
 
 @dataclass(frozen=True)
 class Settings:
-    """tolerance: bytes by which a splitter may miss its target, as a share of a shard. bucket_rows: rows that are numbered together."""
+    """tolerance: bytes by which a splitter may miss its target, as a share of a shard. range_rows: rows that a task sorts."""
 
     shards: int = 16
     tolerance: float = 0.005
-    bucket_rows: int = 20_000
+    range_rows: int = 500_000
+    broadcast_rows: int = 100_000
 
 
-def _key(text: Column, id_: Column) -> Column:
-    low = KEY_BITS - TEXT_BITS
-    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 64 - TEXT_BITS), low).bitwiseOR(F.shiftrightunsigned(F.xxhash64(id_, text), 64 - low))
+def _key(text: Column, id_: Column, row: Column) -> Column:
+    high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 64 - TEXT_BITS), KEY_BITS - TEXT_BITS)
+    middle = F.shiftleft(F.shiftrightunsigned(F.xxhash64(id_, text), 64 - ID_BITS), KEY_BITS - TEXT_BITS - ID_BITS)
+    return high.bitwiseOR(middle).bitwiseOR(F.shiftrightunsigned(F.xxhash64(row), 64 - (KEY_BITS - TEXT_BITS - ID_BITS)))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and key of each row."""
+    """doc_id, size, text_crc32 and key of each row. To be written at once: the key holds the row's place."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_ = F.col(id_col).cast("long")
-    return docs.select(id_.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _key(text, id_).alias("key"))
+    return docs.select(id_.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _key(text, id_, F.monotonically_increasing_id()).alias("key"))
 
 
 def splitters(rows: DataFrame, s: Settings = Settings()) -> list[int]:
@@ -83,18 +88,23 @@ def shard(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
     """A row per row of docs with its shard and its place there; shards hold near equal bytes.
 
     A null text counts as empty, so every row has a size of 1 or more; null ids stay null. Equal rows
-    are interchangeable. An empty table gives no rows. Other columns are not read.
+    are interchangeable and may be dealt to several shards. One row longer than a shard is a shard of
+    its own, at the cost of its neighbours. An empty table gives no rows. Other columns are not read.
     """
-    rows = save(keyed(docs, id_col, text_col), "keyed")
-    at = splitters(rows, s)
-    place = F.lit(0)
-    for key in at:
-        place = place + (F.col("key") >= key).cast("int")
-    n = rows.count()
-    buckets = max(8, -(-n // (s.shards * s.bucket_rows)))
-    rows = rows.withColumn("shard", place).withColumn("bucket", F.pmod(F.xxhash64("key", "doc_id"), F.lit(buckets)))
-    order = Window.partitionBy("shard", "bucket").orderBy("key", "doc_id", "size", "text_crc32")
-    base = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
-    return rows.withColumn("rank", F.row_number().over(order) - 1).join(base, ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    with scratch.owned() as tables:
+        rows = save(keyed(docs, id_col, text_col), "keyed")
+        place = F.lit(0)
+        for key in splitters(rows, s):
+            place = place + (F.col("key") >= key).cast("int")
+        ranges = max(s.shards, -(-rows.count() // s.range_rows))
+        ordered = rows.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id", "size", "text_crc32")
+        # the numbers of a range's rows follow one another, in order
+        ordered = save(ordered.select("doc_id", "size", "text_crc32", place.cast("int").alias("shard"), F.monotonically_increasing_id().alias("at")), "ordered")
+        scratch.release(docs.sparkSession, tables, but=ordered)
+    part = F.shiftright("at", 33)
+    base = ordered.groupBy("shard", part.alias("range")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    base = base.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).drop("n")
+    base = F.broadcast(base) if ranges <= s.broadcast_rows else base  # a row for each shard and range that meet
+    return ordered.withColumn("range", part).join(base, ["shard", "range"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard"), (F.col("base") + F.col("at") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

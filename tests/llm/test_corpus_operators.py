@@ -138,6 +138,27 @@ def test_shards_are_even_though_a_third_is_copies(spark):
     assert len(size) == 16 and max(abs(x - mean) for x in size.values()) < 0.02 * mean
 
 
+def test_shards_of_equal_rows_are_even(spark):
+    same = spark.range(2000).selectExpr("7L as doc_id", "'one text' as text")
+    empty = spark.range(2000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    for docs in (same, empty, same.unionAll(empty)):
+        size = Counter()
+        for r in sharding.shard(docs.repartition(5)).collect():
+            size[r["shard"]] += r["size"]
+        mean = sum(size.values()) / 16
+        assert len(size) == 16 and max(abs(x - mean) for x in size.values()) < 0.1 * mean
+
+
+def test_slots_follow_the_key(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id % 700) as text").repartition(6)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for s in (sharding.Settings(), sharding.Settings(range_rows=50, broadcast_rows=0)):
+        got = sorted((r["shard"], r["slot"], texts[r["doc_id"]]) for r in sharding.shard(docs, s).collect())
+        runs = [t for t, _ in itertools.groupby(x[2] for x in got)]
+        assert len(runs) == len(set(runs)) == 700  # equal texts stand together
+        assert len({(a, t) for a, _, t in got}) <= 715  # all but those at a splitter in one shard
+
+
 def test_media(edge, documents):
     for docs in (edge, documents):
         want = Counter()
