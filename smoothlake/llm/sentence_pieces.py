@@ -1,16 +1,18 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-Text is cut into units, each a run of spaces and what follows up to the next space; no piece of the
-model crosses such a cut. The distinct units of a batch that are not yet known stand one after
-another in one index text. Its suffixes are sorted; binary search finds the range of suffixes that
-begin with each piece, which are the piece's occurrences. The occurrences are edges; sorted by
-position they are relaxed: for a unigram model, by the best path to each position; for a merge
-model, by joining, in each unit, the two neighbours whose joint edge has the best score, until none
-is left. All units are relaxed in step. Bytes without an edge fall back to byte pieces.
+The texts of a batch, a megabyte of them, stand one after another in one index text. They are cut
+into units, each a run of spaces and what follows up to the next space; no piece of the model crosses
+such a cut. The suffixes of the index text, each up to the end of its unit, are sorted as far as the
+longest piece tells them apart; binary search finds the range of suffixes that begin with each piece,
+which are the piece's occurrences. The occurrences are edges; sorted by position they are relaxed:
+for a unigram model, by the best path to each position; for a merge model, by joining, in each unit,
+the two neighbours whose joint edge has the best score, until none is left. All units are relaxed in
+step; a very long one has a heap of its own. Bytes without an edge fall back to byte pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .unit_cache import UnitCache
 
 BAR = "▁".encode()
 UNIGRAM, MERGES = 1, 2
-LONGEST = 63  # bytes; a longer piece is refused
+WIDTH = 10  # bits of a piece's bytes in the key of an edge
+LONGEST = (1 << WIDTH) - 1  # bytes; a longer piece is refused
+INDEX_BYTES = 1 << 20  # units that are indexed together, or one longer unit
+IN_STEP = 256  # characters of a unit up to which it is relaxed in step with others; it changes no result
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -77,7 +81,7 @@ class Model:
                 found.append((self.out[i], i, library.get_score(i)))
         self.pieces, ids, scores = zip(*sorted(found), strict=True)
         if max(map(len, self.pieces)) > LONGEST or any(b" " in p.lstrip(b" ") for p in self.pieces):
-            raise ValueError("pieces across words or of over 63 bytes are not supported")
+            raise ValueError(f"pieces across words or of over {LONGEST} bytes are not supported")
         self.ids, self.scores = np.array(ids, np.uint32), np.array(scores)
         self.sizes = np.array(list(map(len, self.pieces)))
         self.levels = -(-int(self.sizes.max()) // 8)
@@ -90,7 +94,6 @@ class Model:
         self.out_sizes = np.array(list(map(len, self.out)))
         self.out_at = np.cumsum(self.out_sizes) - self.out_sizes
         self.out_bytes = np.frombuffer(b"".join(self.out), np.uint8)
-        self.cache = UnitCache(chunk=16_384)
 
 
 @lru_cache(2)
@@ -144,7 +147,7 @@ def _bound(key: np.ndarray, low: np.ndarray, high: np.ndarray, sought: np.ndarra
 
 
 def edges(text: np.ndarray, rest: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """All occurrences of pieces as 64 * position + bytes, in order, and the pieces' numbers in the model."""
+    """All occurrences of pieces, each as its position and bytes in one number, in order, and the pieces' numbers in the model."""
     order, keys = suffixes(text, rest, model.levels)
     low = np.searchsorted(keys[0], model.keys[:, 0], "left")
     high = np.searchsorted(keys[0], model.upper[:, 0], "right")
@@ -155,7 +158,7 @@ def edges(text: np.ndarray, rest: np.ndarray, model: Model) -> tuple[np.ndarray,
     n = high - low
     piece = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(piece)) + np.repeat(low - (np.cumsum(n) - n), n)
-    key = order[at] * 64 + model.sizes[piece]
+    key = (order[at] << WIDTH) + model.sizes[piece]
     by = np.argsort(key)
     return key[by], piece[by]
 
@@ -169,7 +172,7 @@ class _Edges:
         if not len(self.key):
             return np.full(len(start), -1)
         size = end - start
-        k = start * 64 + np.minimum(size, LONGEST)
+        k = (start << WIDTH) + np.minimum(size, LONGEST)
         at = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
         return np.where((self.key[at] == k) & (size <= LONGEST), self.piece[at], -1)
 
@@ -177,6 +180,16 @@ class _Edges:
 def _merge(starts: np.ndarray, ends: np.ndarray, unit: np.ndarray, found: _Edges, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends after joining, in each unit, the best pair of neighbours, the first of equals, again and again."""
     done_s, done_e = [], []
+    first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])[: len(starts)]
+    size = np.diff(np.append(first, len(starts)))
+    for k in np.flatnonzero(size > IN_STEP).tolist():
+        part = slice(first[k], first[k] + size[k])
+        a, b = _merge_long(starts[part], ends[part], found, model)
+        done_s.append(a)
+        done_e.append(b)
+    if done_s:
+        short = np.repeat(size <= IN_STEP, size)
+        starts, ends, unit = starts[short], ends[short], unit[short]
 
     def scores(i: np.ndarray) -> np.ndarray:
         out = np.full(len(i), -np.inf)
@@ -214,6 +227,44 @@ def _merge(starts: np.ndarray, ends: np.ndarray, unit: np.ndarray, found: _Edges
     return starts[order], ends[order]
 
 
+def _merge_long(starts: np.ndarray, ends: np.ndarray, found: _Edges, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one unit, by a heap of neighbours: n log n steps."""
+    n, score = len(starts), model.scores.tolist()
+    low = np.searchsorted(found.key, starts << WIDTH).tolist()
+    high = np.searchsorted(found.key, (starts + 1) << WIDTH).tolist()
+    key, piece = found.key[low[0] : high[-1]].tolist(), found.piece[low[0] : high[-1]].tolist()
+    low, high = [x - low[0] for x in low], [x - low[0] for x in high]
+    start, end = starts.tolist(), ends.tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n:
+            sought = (start[i] << WIDTH) + end[j] - start[i]
+            for k in range(low[i], high[i]):
+                if key[k] == sought:
+                    heapq.heappush(heap, (-score[piece[k]], i, end[j]))
+                    break
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= n or end[j] != stop:
+            continue
+        end[i], alive[j], after[i] = stop, False, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    kept = [i for i in range(n) if alive[i]]
+    return starts[kept], np.array([end[i] for i in kept], np.int64)
+
+
 def _best_path(starts: np.ndarray, unit_start: np.ndarray, rank: np.ndarray, n: int, found: _Edges, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces on the best path through each unit; rank counts the characters before a position in its unit.
 
@@ -223,8 +274,8 @@ def _best_path(starts: np.ndarray, unit_start: np.ndarray, rank: np.ndarray, n:
     chars_end = np.append(starts[1:], n)
     single = found.find(starts, chars_end)
     missing = np.flatnonzero(single < 0)
-    a = np.concatenate([found.key >> 6, starts[missing]])
-    b = np.concatenate([(found.key >> 6) + (found.key & 63), chars_end[missing]])
+    a = np.concatenate([found.key >> WIDTH, starts[missing]])
+    b = np.concatenate([(found.key >> WIDTH) + (found.key & LONGEST), chars_end[missing]])
     value = np.concatenate([model.scores[found.piece], np.full(len(missing), model.scores.min() - 10)])
     step = rank[b - 1] + 1  # characters of the unit up to the edge's end
     order = np.lexsort((a, b, step))
@@ -299,14 +350,17 @@ def encode_block(block: words.Block, model: Model) -> tuple[np.ndarray, np.ndarr
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], n)
 
-    def ids_of(part: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = starts[one[part]], ends[one[part]]
-        size = b - a
-        first = np.cumsum(size) - size
-        return encode_units(data[np.repeat(a - first, size) + np.arange(int(size.sum()))], first, model)
-
-    ids, total = model.cache.spread(spaced.hashes(starts, ends), ids_of)
-    return ids, total[np.searchsorted(starts, spaced.bounds)], spaced
+    ids, counts = [], []
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + INDEX_BYTES, "right")))
+        part, size = encode_units(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], model)
+        ids.append(part)
+        counts.append(size)
+        a = b
+    total = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.concatenate(counts), out=total[1:])
+    return np.concatenate(ids), total[np.searchsorted(starts, spaced.bounds)], spaced
 
 
 def decode_ids(ids: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -353,7 +407,8 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ids_crc32 is over little-endian numbers of 32 bits. A text with the model's bar in it comes back
     with spaces there, so its round trip fails. A null text is empty; a null id stays null; repeated
-    rows each get a row; other columns are not read.
+    rows each get a row; very long texts are indexed by parts that end between units; of equal scores
+    the first pair is joined; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

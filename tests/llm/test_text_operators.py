@@ -150,6 +150,24 @@ def test_sentence_pieces_equal_the_library(spark, edge, documents):
     assert back == {r["doc_id"]: r["text"] for r in more.collect()}
 
 
+def test_very_long_units_equal_the_library():
+    """Units of a megabyte, of characters that join in many ways, in one, and not at all."""
+    import time
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentence_pieces.load(path)
+    r = random.Random(6)
+    made = ["".join(r.choices("etaoinshrdlu", k=1_000_000)), "a" * 300_000, "=" * 5000 + "é" * 5000, "x" + "".join(r.choices(["th", "er", "ing", "ß", "7", "_"], k=700)), "\x00" * 3000]
+    began = time.time()
+    got = [sentence_pieces.encode_block(next(words.blocks(pa.array([t]))), model)[0].tolist() for t in made]
+    assert time.time() - began < 60
+    assert got == [library.encode(t) for t in made]
+    mixed = [" ".join(t[k : k + 400] for t in made for k in range(0, 4000, 400)), "", made[3] + " " + made[3]]
+    ids, bounds, _ = sentence_pieces.encode_block(next(words.blocks(pa.array(mixed))), model)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [library.encode(t) for t in mixed]
+
+
 def test_sentence_pieces_best_path():
     raw = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
     at = raw.index(b"\x18\x02\x20\x80\xfa\x01")
