@@ -1,9 +1,10 @@
 """Quality rules by compression bands.
 
-Each text is compressed by zstandard as a whole and in fixed chunks. A band of allowed ratios
-(bytes in for a byte out) depends on the length: short texts compress little, long ones more. A
-text above its band is repetitive, one below it is incompressible noise; a text is also rejected
-when over a share of its chunks leave the band of full chunks.
+Each text is compressed by zstandard as a whole and in fixed chunks, of which the last may be
+shorter. A band of allowed ratios (bytes in for a byte out) depends on the length: short texts
+compress little, long ones more. A text above its band is repetitive, one below it is incompressible
+noise; a text is also rejected when over a share of its chunks leave their bands, that of full chunks
+or, for the last one, that of its length. A text of one chunk is judged as a whole only.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from . import words
 class Bands:
     """Bytes up to which a band holds, its least and its greatest ratio; the last holds beyond."""
 
-    upto: tuple[int, ...] = (256, 1024, 2048, 4096, 8192, 1 << 62)
-    least: tuple[float, ...] = (0.0, 1.2, 1.4, 1.45, 1.5, 1.5)
-    most: tuple[float, ...] = (2.4, 2.2, 2.3, 2.35, 2.45, 2.6)
+    upto: tuple[int, ...] = (64, 128, 256, 512, 1024, 2048, 4096, 8192, 1 << 62)
+    least: tuple[float, ...] = (0.0, 1.0, 1.1, 1.2, 1.25, 1.4, 1.45, 1.5, 1.5)
+    most: tuple[float, ...] = (2.4, 2.4, 2.4, 2.2, 2.2, 2.3, 2.35, 2.45, 2.6)
     chunk_bytes: int = 4096
     chunk_least: float = 1.45
     chunk_most: float = 2.6
@@ -74,40 +75,48 @@ def _band(sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compressed(block: words.Block, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row: the ratio, and the chunks in all and outside the band; only full chunks count."""
+    """Of each row: the ratio, 1 for an empty text, and the chunks in all and outside their bands."""
     press = zstandard.ZstdCompressor(level=bands.level, write_content_size=False, write_checksum=False)
-    view = memoryview(np.ascontiguousarray(block.data))
-    ratio, chunks, bad = np.ones(block.rows), np.zeros(block.rows, np.int64), np.zeros(block.rows, np.int64)
+    view, most = memoryview(np.ascontiguousarray(block.data)), bands.chunk_bytes
+    sizes = np.diff(block.bounds)
+    chunks = -(-sizes // most)
+    ratio, bad = np.ones(block.rows), np.zeros(block.rows, np.int64)
+    tail_least, tail_most = _band(sizes - (chunks - 1) * most, bands)
     for i, (a, b) in enumerate(zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True)):
         if b > a:
             ratio[i] = (b - a) / len(press.compress(view[a:b]))
-        full = (b - a) // bands.chunk_bytes
-        chunks[i] = full
-        for k in range(full):
-            c = a + k * bands.chunk_bytes
-            r = bands.chunk_bytes / len(press.compress(view[c : c + bands.chunk_bytes]))
-            bad[i] += not bands.chunk_least <= r <= bands.chunk_most
+        for c in range(a, b, most) if b - a > most else ():
+            d = min(b, c + most)
+            low, high = (bands.chunk_least, bands.chunk_most) if d - c == most else (tail_least[i], tail_most[i])
+            bad[i] += not low <= (d - c) / len(press.compress(view[c:d])) <= high
     return ratio, chunks, bad
 
 
+def _verdict(block: words.Block, bands: Bands) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The base counts, whether they fail, ratio, chunks, bad chunks and verdict of each row."""
+    base = _base(block)
+    failed = (base[0] < 20) | (100 * base[4] > 30 * base[0])
+    ratio, chunks, bad = _compressed(block, bands)
+    least, most = _band(np.diff(block.bounds), bands)
+    verdict = np.select([failed, ratio > most, ratio < least, bad > bands.bad_chunks * np.maximum(chunks, 1)], ["base", "repetitive", "noise", "chunks"], "ok")
+    return base, failed, ratio, chunks, bad, verdict
+
+
 def measure(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs with its base counts, ratios, verdict and whether it is kept.
 
     A null text counts as one without words, which fails the base rules, as does an empty one; a
-    null id stays null. Repeated rows each get their row. Columns besides the two are not read.
-    verdict: base, repetitive, noise, chunks or ok.
+    null id stays null. Repeated rows each get their row. Very long texts are compressed whole and in
+    all their chunks; a ratio on the edge of a band is inside. Columns besides the two are not read.
+    verdict: base, repetitive, noise, chunks or ok, the first that holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column(1)):
-                n, letters, symbols, lines, repeat = _base(block)
-                failed = (n < 20) | (100 * repeat > 30 * n)
-                ratio, chunks, bad = _compressed(block, bands)
-                least, most = _band(np.diff(block.bounds), bands)
-                verdict = np.select([failed, ratio > most, ratio < least, bad > bands.bad_chunks * np.maximum(chunks, 1)], ["base", "repetitive", "noise", "chunks"], "ok")
+                base, failed, ratio, chunks, bad, verdict = _verdict(block, bands)
                 ids = batch.column(0).slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (n, letters, symbols, lines, repeat, failed, ratio, chunks, bad, verdict, verdict == "ok"))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (*base, failed, ratio, chunks, bad, verdict, verdict == "ok"))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -120,10 +129,6 @@ def keep(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch.column(at)):
-                n, *_, repeat = _base(block)
-                ratio, chunks, bad = _compressed(block, bands)
-                least, most = _band(np.diff(block.bounds), bands)
-                ok = (n >= 20) & (100 * repeat <= 30 * n) & (ratio >= least) & (ratio <= most) & (bad <= bands.bad_chunks * np.maximum(chunks, 1))
-                yield batch.slice(block.first, block.rows).filter(pa.array(ok))
+                yield batch.slice(block.first, block.rows).filter(pa.array(_verdict(block, bands)[-1] == "ok"))
 
     return docs.mapInArrow(run, schema)

@@ -61,6 +61,51 @@ def test_quality_bands(spark):
     assert [r["doc_id"] for r in quality_rules.keep(docs).collect()] == [1]
 
 
+def plain_verdict(text, b):
+    """Ratio, chunks, bad chunks and verdict of a text, one step after another."""
+    import zstandard
+
+    def ratio(data):
+        return len(data) / len(zstandard.ZstdCompressor(level=b.level, write_content_size=False, write_checksum=False).compress(data)) if data else 1.0
+
+    def limits(n):
+        k = next(k for k, most in enumerate(b.upto) if n <= most)
+        return b.least[k], b.most[k]
+
+    data = (text or "").encode()
+    parts = [data[k : k + b.chunk_bytes] for k in range(0, len(data), b.chunk_bytes)]
+    bad = 0
+    for p in parts if len(parts) > 1 else []:
+        low, high = (b.chunk_least, b.chunk_most) if len(p) == b.chunk_bytes else limits(len(p))
+        bad += not low <= ratio(p) <= high
+    low, high = limits(len(data))
+    n, *_, again = base(text)
+    if n < 20 or 100 * again > 30 * n:
+        verdict = "base"
+    elif ratio(data) > high:
+        verdict = "repetitive"
+    elif ratio(data) < low:
+        verdict = "noise"
+    else:
+        verdict = "chunks" if bad > b.bad_chunks * max(len(parts), 1) else "ok"
+    return ratio(data), len(parts), bad, verdict
+
+
+def test_quality_verdicts_equal_a_plain_run(spark, edge, documents):
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = lambda n: "".join(r.choices(letters + " ", k=n))
+    made = [prose(9, 2000)[:4096] + noise(n) for n in (0, 1, 64, 65, 3000, 4095, 4096, 9000)] + [noise(n) for n in (120, 250, 500)] + [(prose(1, 30) + " ") * 200, noise(4096) + " ".join(f"{w} apple pie number" for w in prose(7, 400).split())[:4096]]
+    more = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    seen = set()
+    for docs in (edge, documents, more):
+        want = Counter((r["doc_id"], *(round(x, 9) if isinstance(x, float) else x for x in plain_verdict(r["text"], quality_rules.Bands()))) for r in docs.collect())
+        got = quality_rules.measure(docs).collect()
+        assert Counter((r["doc_id"], round(r["ratio"], 9), r["n_chunks"], r["n_bad_chunks"], r["verdict"]) for r in got) == want
+        seen |= {r["verdict"] for r in got}
+    assert {"base", "noise", "chunks", "ok"} <= seen
+
+
 def test_quality_keep_has_all_columns(edge):
     kept = quality_rules.keep(edge)
     assert kept.schema == edge.schema
