@@ -2,13 +2,14 @@
 
 A value is cut into words, dates, repeats, keyboard walks, runs of neighbouring characters and
 brute-force spans; each part has a number of guesses, and dynamic programming finds the cut with the
-least product. All costs are log10 of a number of guesses.
+least product. All costs are log10 of a number of guesses. Words are those of a ranked dictionary.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -39,19 +40,6 @@ def brute(c: str) -> float:
     return math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def _words(value: str, ranks: dict[str, int]):
-    low = value.lower()
-    for text, extra in ((low, 0.0), (low.translate(LEET), 0.3), (low[::-1], 0.3)):
-        if extra and text == low:
-            continue
-        for i in range(len(text)):
-            for j in range(i + 3, min(len(text), i + LONGEST_WORD) + 1):
-                if rank := ranks.get(text[i:j]):
-                    a, b = (len(text) - j, len(text) - i) if text is not low and text == low[::-1] else (i, j)
-                    upper = sum(c.isupper() for c in value[a:b])
-                    yield a, b, math.log10(rank) + extra + (upper > 0) * 0.3 + (1 < upper < b - a) * math.log10(math.comb(b - a, upper))
-
-
 def _dates(value: str):
     for i in range(len(value)):
         if m := DATE.match(value, i):
@@ -105,17 +93,6 @@ def _stretches(value: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _repeats(value: str, depth: int, lexicon: int):
-    """Repeats of a unit: the least period of a stretch, or several of them while a word can lie across their borders; longer ones hold nothing more."""
-    for a, b, period in _stretches(value):
-        for times in range(1, min((b - a) // (2 * period), 1 + -(-LONGEST_WORD // period)) + 1):
-            unit = times * period
-            k = (b - a) // unit
-            if k * unit >= 3:
-                base = sum(map(brute, value[a : a + unit])) if depth else log10_guesses(value[a : a + unit], lexicon, 1)
-                yield a, a + k * unit, base + math.log10(k)
-
-
 def _walks(value: str):
     low = value.lower()
     i = 0
@@ -142,22 +119,60 @@ def _runs(value: str):
         i = max(i + 1, j - 1)
 
 
-_lexicons: list[dict[str, int]] = [{w: k for k, w in enumerate(COMMON, 1)}]
-
-
-@lru_cache(4096)
-def log10_guesses(value: str, lexicon: int = 0, depth: int = 0) -> float:
-    """The least log10 of guesses over all segmentations; 0 for an empty value.
-
-    Values of every length are costed alike.
-    """
-    parts: dict[int, list[tuple[int, float]]] = {}
-    found = [*_words(value, _lexicons[lexicon]), *_dates(value), *_walks(value), *_runs(value), *_repeats(value, depth, lexicon)]
-    for a, b, cost in found:
-        parts.setdefault(b, []).append((a, cost))
-    # the least cost up to i: ending in brute force, and ending in another part, which opens a new segment
-    opened = math.log10(2)
-    best = [0.0]
-    for i, c in enumerate(value, 1):
-        best.append(min([best[-1] + brute(c), *(best[a] + cost + opened * (a > 0) for a, cost in parts.get(i, ()))]))
-    return best[-1]
+class Guesser:
+    """Costs by a dictionary: the common password words, then further words, most common first."""
+
+    def __init__(self, further: Iterable[str] = ()):
+        self.ranks: dict[str, int] = {}
+        for w in (*COMMON, *further):
+            if 3 <= len(w) <= LONGEST_WORD:
+                self.ranks.setdefault(w, len(self.ranks) + 1)
+        self.beginnings = {w[:k] for w in self.ranks for k in range(3, len(w) + 1)}
+        self.log10_guesses = lru_cache(4096)(self._log10_guesses)
+
+    def __reduce__(self):
+        return Guesser, (list(self.ranks),)
+
+    def words(self, value: str):
+        """Start, end and cost of each dictionary word, as it is, with letters for look-alikes, and backwards."""
+        low, n = value.lower(), len(value)
+        if len(low) != n:  # letters whose lower case is longer
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        back = low[::-1]
+        for text, extra, turned in ((low, 0.0, False), (low.translate(LEET), 0.3, False), (back, 0.3, True)):
+            if extra and text == low:
+                continue
+            for i in range(n - 2):
+                for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+                    part = text[i:j]
+                    if part not in self.beginnings:
+                        break
+                    if rank := self.ranks.get(part):
+                        a, b = (n - j, n - i) if turned else (i, j)
+                        upper = sum(c.isupper() for c in value[a:b])
+                        yield a, b, math.log10(rank) + extra + (upper > 0) * 0.3 + (1 < upper < b - a) * math.log10(math.comb(b - a, upper))
+
+    def repeats(self, value: str, depth: int = 0):
+        """Repeats of a unit: the least period of a stretch, or several of them while a word can lie across their borders; longer ones hold nothing more."""
+        for a, b, period in _stretches(value):
+            for times in range(1, min((b - a) // (2 * period), 1 + -(-LONGEST_WORD // period)) + 1):
+                unit = times * period
+                k = (b - a) // unit
+                if k * unit >= 3:
+                    base = sum(map(brute, value[a : a + unit])) if depth else self.log10_guesses(value[a : a + unit], 1)
+                    yield a, a + k * unit, base + math.log10(k)
+
+    def parts(self, value: str, depth: int = 0):
+        return [*self.words(value), *_dates(value), *_walks(value), *_runs(value), *self.repeats(value, depth)]
+
+    def _log10_guesses(self, value: str, depth: int = 0) -> float:
+        """The least log10 of guesses over all segmentations; 0 for an empty value. Values of every length are costed alike."""
+        ends: dict[int, list[tuple[int, float]]] = {}
+        for a, b, cost in self.parts(value, depth):
+            ends.setdefault(b, []).append((a, cost))
+        # the least cost up to i: ending in brute force, and ending in another part, which opens a new segment
+        opened = math.log10(2)
+        best = [0.0]
+        for i, c in enumerate(value, 1):
+            best.append(min([best[-1] + brute(c), *(best[a] + cost + opened * (a > 0) for a, cost in ends.get(i, ()))]))
+        return best[-1]

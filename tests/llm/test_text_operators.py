@@ -134,9 +134,11 @@ def test_secret_base_spans(spark, edge, documents):
 
 
 def test_guess_costs_are_a_least_segmentation():
+    guesser = guess_cost.Guesser(["thanedble", "ñandú"])
+
     def brute_force(value):
         parts = {}
-        for a, b, c in [*guess_cost._words(value, guess_cost._lexicons[0]), *guess_cost._dates(value), *guess_cost._walks(value), *guess_cost._runs(value), *guess_cost._repeats(value, 0, 0)]:
+        for a, b, c in guesser.parts(value):
             parts.setdefault(a, []).append((b, c))
 
         def least(i):
@@ -148,16 +150,28 @@ def test_guess_costs_are_a_least_segmentation():
         return least(0)
 
     for v in ("password1", "qwerty2024", "aaaa99", "xK9$mQ2!", "abcabcabc", "P@ssw0rd!", "19-12-2021x"):
-        assert guess_cost.log10_guesses(v) == pytest.approx(brute_force(v))
-    assert guess_cost.log10_guesses("qwertyuiop") < 4 < 8 < guess_cost.log10_guesses("xK9$mQ2!vLpq")
-    assert guess_cost.log10_guesses("") == 0
+        assert guesser.log10_guesses(v) == pytest.approx(brute_force(v))
+    assert guesser.log10_guesses("qwertyuiop") < 4 < 8 < guesser.log10_guesses("xK9$mQ2!vLpq")
+    assert guesser.log10_guesses("") == 0
+    assert guesser.log10_guesses("Thanedble") < 4 < 8 < guess_cost.Guesser().log10_guesses("Thanedble")
+    ranks = {w: k for k, w in enumerate(dict.fromkeys([*guess_cost.COMMON, "thanedble", "ñandú"]), 1)}
+    for v in ("password1", "drowssap", "P455w0rd", "NoSecretHere", "ñandúñandú", "İstanbul password"):  # every substring, looked up
+        want = set()
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
+        for i in range(len(v)):
+            for j in range(i + 3, min(len(v), i + 24) + 1):
+                for text in dict.fromkeys((low[i:j], low[i:j].translate(guess_cost.LEET), low[i:j][::-1])):
+                    if text in ranks:
+                        want.add((i, j))
+        assert {(a, b) for a, b, _ in guesser.words(v)} == want
 
 
 def test_repeats_of_any_length_are_cheap():
     for unit in ("*", "xK9$", "ab1"):
-        short, long_ = (guess_cost.log10_guesses(unit * (n // len(unit))) for n in (240, 30_000))
+        short, long_ = (guess_cost.Guesser().log10_guesses(unit * (n // len(unit))) for n in (240, 30_000))
         assert long_ == pytest.approx(short + math.log10(30_000 // len(unit)) - math.log10(240 // len(unit)))
-    assert [s for s in secret_scans.spans("pwd: " + "*" * 257) if s.kind == "guess"] == secret_scans.spans("pwd: " + "*" * 256) == []
+    plain = guess_cost.Guesser()
+    assert all(secret_scans.spans("pwd: " + "*" * n, plain) == [] for n in (255, 256, 257, 5000))
     r = random.Random(7)
     for n in range(1, 60):
         value = "".join(r.choices("ab" if n % 2 else "abc", k=n))
@@ -174,7 +188,7 @@ def test_repeats_of_any_length_are_cheap():
 
 def test_guessed_secrets_and_redaction(spark):
     text = 'db password: "xK9$mQ2!vLpq" and password: qwertyuiop or password: required.'
-    found = [s for s in secret_scans.spans(text) if s.kind == "guess"]
+    found = [s for s in secret_scans.spans(text, guess_cost.Guesser()) if s.kind == "guess"]
     assert [text[s.start : s.end] for s in found] == ["xK9$mQ2!vLpq"]
     docs = spark.createDataFrame([(1, text, 5), (2, None, None), (3, "token=0123456789abcdef0123 ok", 29)], "doc_id long, text string, n_chars int")
     got = {r["doc_id"]: r for r in secret_scans.redact(docs).collect()}
@@ -182,6 +196,31 @@ def test_guessed_secrets_and_redaction(spark):
     assert got[3]["text"] == "[SECRET] ok"
 
 
+def test_the_dictionary_is_built_from_the_documents(spark):
+    words_ = [f"{a}{b}{c}blen" for a in ("than", "here", "ding") for b in ("or", "sti") for c in ("wh", "ou")]
+    rows = [(k, " ".join(words_[: 1 + k % len(words_)]) + f" password: {words_[0]} and pwd: qmvkzpwtrxjg") for k in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    guesser = secret_scans.dictionary(docs)
+    counts = Counter(w for _, t in rows for w in re.findall("[a-z]{3,24}", re.sub("password: [a-z]+| qmvkzpwtrxjg", "", t or "")))
+    want = sorted(counts, key=lambda w: (-counts[w], w))
+    assert [w for w in guesser.ranks if w not in guess_cost.COMMON] == [w for w in want if w not in guess_cost.COMMON]
+    assert "qmvkzpwtrxjg" not in guesser.ranks  # a secret does not vouch for itself, however often it is copied
+    got = {r["doc_id"]: r["spans"] for r in secret_scans.scan(docs).collect()}
+    text = rows[5][1]
+    at = text.index("qmvk")
+    assert f"guess:{at}:{at + 12}" in got[5] and got[5].count("guess") == got[5].count("assign") == 1
+    few = secret_scans.dictionary(docs, secret_scans.Settings(dictionary=3))
+    assert len(few.ranks) <= len(guess_cost.Guesser().ranks) + 3
+
+
+def test_texts_of_very_many_secrets(spark):
+    import time
+
+    began = time.time()
+    text = "token: abcdefghijklmnop " * 20_000
+    assert len(secret_scans.spans(text, guess_cost.Guesser())) == 20_000 and time.time() - began < 5
+
+
 def test_sentence_pieces_equal_the_library(spark, edge, documents):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
