@@ -1,8 +1,11 @@
 """Media columns: interleaved document sequences.
 
-A page with media references becomes an ordered list of items: texts, and references with their
-digest and caption. Media are stored once for each task and digest, as grey images; a join on
-digests resolves the references, and every item keeps its position and caption.
+A page becomes an ordered list of items: texts, and references to media with their digest and
+caption. Media are stored once for each digest and task, as grey images; a join on digests resolves
+the references, and every item keeps its position and caption. sequences() gives each page's whole
+list with the stored bytes in it. text_media() takes every document as a page of its own, with a
+heading, its text as an image and its text as paragraphs; it joins what is computed from the stored
+bytes, read back, so that bytes are not exchanged.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from .scratch import save
 
 WIDTH = 64
 SCHEME = "sha256:"
+SEEN = 500_000  # digests that a task knows again; others may be stored twice
 
 
 def payload(text: bytes) -> bytes:
@@ -78,6 +82,8 @@ def stored_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 key = hashlib.sha256(text).digest()
                 if key in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
                 media = store(payload(text))
                 rows.append((key.hex(), len(text), media))
@@ -124,7 +130,7 @@ ITEM = "position int, kind string, text string, digest string, caption string"
 def items(page: str) -> list[tuple[int, str, str | None, str | None, str | None]]:
     """The texts and media references of a page in order: position, kind, text, digest and caption.
 
-    A figure's caption belongs to each of its images, and is not a text of its own. White space in a
+    A figure's captions belong to each of its images, and are no texts of their own. White space in a
     text becomes one space; character references are decoded; scripts and styles are left out.
     """
     out: list[list] = []
@@ -136,40 +142,47 @@ def items(page: str) -> list[tuple[int, str, str | None, str | None, str | None]
             out.append(["text", text, None, None])
         held.clear()
 
-    def visit(node: html_tree.Node) -> None:
-        if node.tag == "figure":
-            flush()
-            first = len(out)
-            captions = [" ".join(html.unescape(_all_text(c)).split()) for c in node.children if c.tag == "figcaption"]
-            visit(html_tree.Node("#figure", children=[c for c in node.children if c.tag != "figcaption"]))
+    # children still to come; whether a text ends with them; of a figure, its first item and its caption
+    stack: list[tuple] = [(iter(html_tree.parse(page).children), True, None)]
+    while stack:
+        rest, ends, figure = stack[-1]
+        child = next(rest, None)
+        if child is None:
+            stack.pop()
+            if ends:
+                flush()
+            if figure and figure[1]:
+                for item in out[figure[0] :]:
+                    if item[0] == "media" and item[3] is None:
+                        item[3] = figure[1]
+        elif child.key == "#text":
+            held.append(child.text)
+        elif child.key == "#raw" or child.tag in ("script", "style"):
+            continue
+        elif child.tag == "figure":
             flush()
-            for item in out[first:]:
-                if item[0] == "media" and captions:
-                    item[3] = " ".join(captions)
-            return
-        for child in node.children:
-            if child.key == "#text":
-                held.append(child.text)
-            elif child.key == "#raw":
-                continue
-            elif child.tag == "img":
-                if child.text.startswith(SCHEME):
-                    flush()
-                    out.append(["media", None, child.text[len(SCHEME) :], None])
-            elif child.tag in html_tree.INLINE:
-                visit(child)
-            elif child.tag != "script":
+            caption = " ".join(" ".join(html.unescape(_all_text(c)).split()) for c in child.children if c.tag == "figcaption")
+            stack.append((iter([c for c in child.children if c.tag != "figcaption"]), True, (len(out), caption)))
+        elif child.tag == "img":
+            if child.text.startswith(SCHEME):
                 flush()
-                visit(child)
+                out.append(["media", None, child.text[len(SCHEME) :], None])
+        else:
+            block = child.tag not in html_tree.INLINE
+            if block:
                 flush()
-
-    visit(html_tree.parse(page))
-    flush()
+            stack.append((iter(child.children), block, None))
     return [(k, *item) for k, item in enumerate(out)]
 
 
 def _all_text(node: html_tree.Node) -> str:
-    return node.text if node.key == "#text" else "".join(map(_all_text, node.children))
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if n.key == "#text":
+            out.append(n.text)
+        todo += reversed(n.children)
+    return "".join(out)
 
 
 def interleave(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
@@ -189,6 +202,19 @@ def interleave(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html")
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, f"id long, {ITEM}")
 
 
+def sequences(pages: DataFrame, media: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """A row per row of pages: its id and items, an array in page order of position, kind, text, digest, caption and the stored media, null for a digest that media lack.
+
+    media has a row per digest. A null or empty page has no items; null ids stay null, and repeated
+    rows each get a row. References are joined without their texts; hot digests are split by the
+    adaptive join; a page's items come together by the page's place in a written table.
+    """
+    rows = save(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html")), "media-pages")
+    found = save(interleave(rows, "row", "html").withColumnRenamed("id", "row"), "media-items")
+    lists = resolve(found, media.select("digest", "media")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "digest", "caption", "media"))).alias("items"))
+    return rows.select("row", "id").join(lists, "row", "left").select("id", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)).alias("items"))
+
+
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     """The items with what is known of their media, null for texts and for digests that no media have.
 
@@ -200,19 +226,42 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A page per row of docs that shows its text as an image, with a caption."""
+    """A page per row of docs: a heading, its text as an image with a caption, and its lines as paragraphs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_ = F.col(id_col).cast("long")
-    figure = F.concat(F.lit(f'<article><figure><img src="{SCHEME}'), F.sha2(text, 256), F.lit('"><figcaption>Text of document '), F.coalesce(id_.cast("string"), F.lit("?")), F.lit(", "), F.octet_length(text).cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    return docs.select(id_.alias("doc_id"), figure.alias("html"))
+    name = F.concat(F.lit("Document "), F.coalesce(id_.cast("string"), F.lit("?")))
+    caption = F.concat(name, F.lit(", "), F.octet_length(text).cast("string"), F.lit(" bytes"))
+    lines = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>"))
+    page = F.concat(F.lit("<article><h1>"), name, F.lit(f'</h1><figure><img src="{SCHEME}'), F.sha2(text, 256), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure><p>"), lines, F.lit("</p></article>"))
+    return docs.select(id_.alias("doc_id"), page.alias("html"))
+
+
+SEQUENCE = "id long, position int, digest string, caption string, n_items long, n_texts long, text_chars long"
+
+
+def references(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+    """A row per media reference of each page, with its place among the page's items and what the texts around it are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for id_, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = items(page.as_py() or "")
+                texts = [x[2] for x in found if x[1] == "text"]
+                out += [(id_, x[0], x[3], x[4], len(found), len(texts), sum(map(len, texts))) for x in found if x[1] == "media"]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SEQUENCE.split(", ")])
+
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, SEQUENCE)
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs with the facts of the media that its page refers to.
+    """A row per row of docs with the facts of the media that its page refers to, and the reference's place and caption.
 
     Null texts are empty and take one row of zeros; equal texts share their media; null ids stay
-    null; repeated rows each get a row; other columns are not read.
+    null; repeated rows each get a row; very long texts are stored whole; other columns are not read.
     """
     stored = save(stored_texts(docs, text_col), "media")
-    found = resolve(interleave(text_pages(docs, id_col, text_col)).where("kind = 'media'"), save(facts(stored), "media-facts"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = references(text_pages(docs, id_col, text_col)).join(save(facts(stored), "media-facts"), "digest", "left")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "n_texts", "text_chars")

@@ -171,7 +171,12 @@ def test_media(edge, documents):
         values = defaultdict(set)
         for r in got:
             values[r["payload_sha256"], r["n_bytes"]].add((r["media_sha256"], r["media_bytes"], r["feature"]))
-            assert r["caption"].endswith(f"{r['n_bytes']} bytes")
+            assert r["caption"] == f"Document {'?' if r['doc_id'] is None else r['doc_id']}, {r['n_bytes']} bytes" and r["position"] == 1 and r["n_items"] == r["n_texts"] + 1
+        lines = Counter()
+        for r in docs.collect():
+            texts = [" ".join(x.split()) for x in (r["text"] or "").split("\n")]
+            lines[r["doc_id"], 1 + sum(map(bool, texts)), len(f"Document {'?' if r['doc_id'] is None else r['doc_id']}") + sum(map(len, texts))] += 1
+        assert Counter((r["doc_id"], r["n_texts"], r["text_chars"]) for r in got) == lines
         assert all(len(x) == 1 for x in values.values())
 
 
@@ -182,10 +187,38 @@ def test_interleaved_items(spark):
     known = spark.createDataFrame([("ab", 5)], "digest string, n_bytes long")
     got = {(r["id"], r["position"]): r["n_bytes"] for r in media.resolve(media.interleave(pages), known).collect()}
     assert got == {(1, 0): None, (1, 1): 5, (1, 2): None, (1, 3): None}
+    deep = "<div>" * 5000 + "x<figure>" * 3000 + "<img src=sha256:ab>" + "<i>" * 2000 + "y"
+    assert [(k, d) for _, k, _, d, _ in media.items(deep)][-2:] == [("media", "ab"), ("text", None)]
     data = np.random.default_rng(0).integers(0, 256, 640, np.uint8)
     assert (media.load(media.store(data.tobytes())).ravel() == data).all()
 
 
+def test_sequences_of_real_pages_hold_their_media(spark):
+    """Pages with images put between their paragraphs: texts and images come back in order, with payloads and captions."""
+    r = random.Random(12)
+    texts = [prose(k, 1 + 7 * k) for k in range(8)]
+    digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    rows = []
+    for x in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        parts = re.split(r"(?<=</p>)", x["html"])
+        for k in range(1, len(parts)):
+            if r.random() < 0.5:
+                which = r.choice([0, 0, 0, r.randrange(8), 99])  # one image is hot, one has no media
+                parts[k] = f'<figure><img src="sha256:{digests[which] if which < 99 else "ff"}"><figcaption>No. <b>{which}</b></figcaption></figure>' + parts[k]
+        rows.append((x["page_id"], "".join(parts)))
+    rows += [(None, rows[0][1]), rows[0], (-1, None), (-2, "")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(3)
+    stored = media.stored_texts(spark.createDataFrame([(t,) for t in texts], "text string")).dropDuplicates(["digest"])
+    got = media.sequences(pages, stored).collect()
+    payload = {d: media.store(media.payload(t.encode())) for d, t in zip(digests, texts, strict=True)}
+    want = Counter()
+    for i, page in rows:
+        want[i, tuple((p, k, t, d, c, payload.get(d)) for p, k, t, d, c in media.items(page or ""))] += 1
+    assert Counter((x["id"], tuple((y["position"], y["kind"], y["text"], y["digest"], y["caption"], y["media"] and bytes(y["media"])) for y in x["items"])) for x in got) == want
+    held = [y for x in got for y in x["items"] if y["kind"] == "media"]
+    assert held and any(y["media"] is None for y in held) and all(y["caption"].startswith("No. ") for y in held) and max(y["position"] for y in held) > 3
+
+
 def _packed_well(rows, docs):
     t = Tokenizer.from_file(TOKENIZER)
     want = Counter()
