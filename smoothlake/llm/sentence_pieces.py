@@ -1,13 +1,12 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The texts of a batch, a megabyte of them, stand one after another in one index text. They are cut
-into units, each a run of spaces and what follows up to the next space; no piece of the model crosses
-such a cut. The suffixes of the index text, each up to the end of its unit, are sorted as far as the
+The texts of a batch stand one after another in index texts of a fixed size. They are cut into units, each
+a run of spaces and what follows up to the next space; no piece of the model crosses such a cut. The suffixes of the index text, each up to the end of its unit, are sorted as far as the
 longest piece tells them apart; binary search finds the range of suffixes that begin with each piece,
 which are the piece's occurrences. The occurrences are edges; sorted by position they are relaxed:
 for a unigram model, by the best path to each position; for a merge model, by joining, in each unit,
 the two neighbours whose joint edge has the best score, until none is left. All units are relaxed in
-step; a very long one has a heap of its own. Bytes without an edge fall back to byte pieces.
+step, equal ones once; a very long one has a heap of its own. Bytes without an edge fall back to byte pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ BAR = "▁".encode()
 UNIGRAM, MERGES = 1, 2
 WIDTH = 10  # bits of a piece's bytes in the key of an edge
 LONGEST = (1 << WIDTH) - 1  # bytes; a longer piece is refused
-INDEX_BYTES = 1 << 20  # units that are indexed together, or one longer unit
+INDEX_BYTES = 1 << 18  # text that is indexed together, so that its arrays stay in a core's cache; a longer unit stands alone
 IN_STEP = 256  # characters of a unit up to which it is relaxed in step with others; it changes no result
 
 
@@ -117,7 +116,7 @@ def _word(text: np.ndarray, rest: np.ndarray, level: int) -> np.ndarray:
 def suffixes(text: np.ndarray, rest: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffixes in order of their first 8 * levels bytes within their unit, and their keys in that order by level."""
     first = _word(text, rest, 0)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     keys = [first[order]]
     same = np.r_[False, keys[0][1:] == keys[0][:-1]]
     for level in range(1, levels):
@@ -146,8 +145,8 @@ def _bound(key: np.ndarray, low: np.ndarray, high: np.ndarray, sought: np.ndarra
         high[open_[~below]] = mid[~below]
 
 
-def edges(text: np.ndarray, rest: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """All occurrences of pieces, each as its position and bytes in one number, in order, and the pieces' numbers in the model."""
+def edges(text: np.ndarray, rest: np.ndarray, model: Model, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All occurrences of pieces, each as its position and bytes in one number, in order, and the pieces' numbers in the model. wanted: positions whose edges are sorted."""
     order, keys = suffixes(text, rest, model.levels)
     low = np.searchsorted(keys[0], model.keys[:, 0], "left")
     high = np.searchsorted(keys[0], model.upper[:, 0], "right")
@@ -158,7 +157,11 @@ def edges(text: np.ndarray, rest: np.ndarray, model: Model) -> tuple[np.ndarray,
     n = high - low
     piece = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(piece)) + np.repeat(low - (np.cumsum(n) - n), n)
-    key = (order[at] << WIDTH) + model.sizes[piece]
+    at = order[at]
+    if wanted is not None:
+        here = wanted[at]
+        at, piece = at[here], piece[here]
+    key = (at << WIDTH) + model.sizes[piece]
     by = np.argsort(key)
     return key[by], piece[by]
 
@@ -220,7 +223,9 @@ def _merge(starts: np.ndarray, ends: np.ndarray, unit: np.ndarray, found: _Edges
         keep[hit + 1] = False
         hit = hit - np.arange(len(hit))
         starts, ends, unit, score = starts[keep], ends[keep], unit[keep], score[keep]
-        again = np.unique(np.concatenate([hit, hit[hit > 0] - 1]))
+        changed = np.zeros(len(starts), bool)
+        changed[hit] = changed[hit[hit > 0] - 1] = True
+        again = np.flatnonzero(changed)
         score[again] = scores(again)
     starts, ends = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_s, done_e))
     order = np.argsort(starts)
@@ -265,13 +270,13 @@ def _merge_long(starts: np.ndarray, ends: np.ndarray, found: _Edges, model: Mode
     return starts[kept], np.array([end[i] for i in kept], np.int64)
 
 
-def _best_path(starts: np.ndarray, unit_start: np.ndarray, rank: np.ndarray, n: int, found: _Edges, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _best_path(starts: np.ndarray, chars_end: np.ndarray, unit_start: np.ndarray, unit_end: np.ndarray, rank: np.ndarray, found: _Edges, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces on the best path through each unit; rank counts the characters before a position in its unit.
 
     A character without a piece costs ten more than the worst piece. Of equal paths, the one whose
     last piece begins first is taken.
     """
-    chars_end = np.append(starts[1:], n)
+    n = len(rank)
     single = found.find(starts, chars_end)
     missing = np.flatnonzero(single < 0)
     a = np.concatenate([found.key >> WIDTH, starts[missing]])
@@ -292,7 +297,7 @@ def _best_path(starts: np.ndarray, unit_start: np.ndarray, rank: np.ndarray, n:
         hit = np.flatnonzero(total == np.repeat(top, size))
         hit = hit[np.r_[True, b[i:j][hit][1:] != b[i:j][hit][:-1]]]
         best[b[i:j][hit]], back[b[i:j][hit]] = total[hit], a[i:j][hit]
-    at, out_s, out_e = np.append(unit_start[1:], n), [], []
+    at, out_s, out_e = unit_end, [], []
     floor = unit_start
     while len(at):
         out_s.append(back[at])
@@ -304,27 +309,36 @@ def _best_path(starts: np.ndarray, unit_start: np.ndarray, rank: np.ndarray, n:
     return s[order], e[order]
 
 
-def encode_units(text: np.ndarray, unit_start: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of units that stand one after another, and how many each has."""
+def encode_units(text: np.ndarray, unit_start: np.ndarray, model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units that stand one after another, and how many each has. Units of one key are equal, and one of them is relaxed."""
     n = len(text)
     unit_end = np.append(unit_start[1:], n)
     size = unit_end - unit_start
-    rest = np.repeat(unit_end, size) - np.arange(n)
-    found = _Edges(*edges(text, rest, model))
-    starts = np.flatnonzero((text & 0xC0) != 0x80)
+    _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    first = np.zeros(len(unit_start), bool)
+    first[one] = True
+    wanted = np.repeat(first, size)
+    found = _Edges(*edges(text, np.repeat(unit_end, size) - np.arange(n), model, wanted))
+    chars = (text & 0xC0) != 0x80
+    starts = np.flatnonzero(chars)
+    ends = np.append(starts[1:], n)
+    starts, ends = starts[wanted[starts]], ends[wanted[starts]]
     if model.kind == MERGES:
-        unit = np.searchsorted(unit_start, starts, "right") - 1
-        starts, ends = _merge(starts, np.append(starts[1:], n), unit, found, model)
+        starts, ends = _merge(starts, ends, np.searchsorted(unit_start, starts, "right") - 1, found, model)
     else:
-        count = np.cumsum((text & 0xC0) != 0x80)
-        rank = count - np.repeat(count[unit_start], size)
-        starts, ends = _best_path(starts, unit_start, rank, n, found, model)
+        count = np.cumsum(chars)
+        starts, ends = _best_path(starts, ends, unit_start[first], unit_end[first], count - np.repeat(count[unit_start], size), found, model)
     piece = found.find(starts, ends)
     times = np.where(piece >= 0, 1, ends - starts)
-    which = np.repeat(np.arange(len(starts)), times)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-    ids = np.where(piece[which] >= 0, model.ids[piece[which]], model.byte_ids[text[np.minimum(starts[which] + step, n - 1)]])
-    return ids.astype(np.uint32), np.bincount(np.searchsorted(unit_start, starts[which], "right") - 1, minlength=len(unit_start)).astype(np.int32)
+    part = np.repeat(np.arange(len(starts)), times)
+    step = np.arange(len(part)) - np.repeat(np.cumsum(times) - times, times)
+    ids = np.where(piece[part] >= 0, model.ids[piece[part]], model.byte_ids[text[np.minimum(starts[part] + step, n - 1)]]).astype(np.uint32)
+    of = np.bincount(np.searchsorted(unit_start, starts[part], "right") - 1, minlength=len(unit_start))
+    # from the relaxed units, in order of their places, to all that are equal
+    begin = (np.cumsum(of) - of)[one][which]
+    counts = of[one][which]
+    bounds = np.cumsum(counts) - counts
+    return ids[np.repeat(begin - bounds, counts) + np.arange(int(counts.sum()))], counts.astype(np.int32)
 
 
 def _spaced(block: words.Block, model: Model) -> words.Block:
@@ -351,10 +365,11 @@ def encode_block(block: words.Block, model: Model) -> tuple[np.ndarray, np.ndarr
     ends = np.append(starts[1:], n)
 
     ids, counts = [], []
+    keys = spaced.hashes(starts, ends)
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + INDEX_BYTES, "right")))
-        part, size = encode_units(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], model)
+        part, size = encode_units(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], model, keys[a:b])
         ids.append(part)
         counts.append(size)
         a = b
