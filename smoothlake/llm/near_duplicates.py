@@ -244,9 +244,13 @@ def _groups(classes: DataFrame, cluster: DataFrame, s: Settings) -> DataFrame:
     few = cluster.where("blocks = 1").select("cluster", none.alias("low"), none.alias("high"), none.alias("block"), "cls")
     many = cluster.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     many = many.join(classes.select("cls", "sig"), "cls")
-    rows = save(_bands(many, s).join(many.select("cls", "cluster", "block"), "cls"), "cluster-bands")
-    others = rows.select("bucket", "cluster", F.col("block").alias("other")).distinct()
-    met = rows.join(others, ["bucket", "cluster"]).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls").distinct()
+    rows = save(_bands(many, s).join(many.select("cls", "cluster", "block", "blocks"), "cls"), "cluster-bands")
+    # the blocks of each bucket, null for all of the cluster's, so that a dense cluster's rows stay short
+    met = rows.groupBy("bucket", "cluster").agg(F.collect_set("block").alias("others"), F.max("blocks").alias("blocks"))
+    met = met.select("bucket", "cluster", F.when(F.size("others") < F.col("blocks"), F.col("others")).alias("others"))
+    met = rows.join(met, ["bucket", "cluster"]).groupBy("cluster", "block", "blocks", "cls").agg(F.max(F.col("others").isNull()).alias("all"), F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    other = F.explode(F.when(F.col("all"), F.sequence(none, F.col("blocks") - 1)).otherwise(F.col("others")))
+    met = met.withColumn("other", other).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls")
     return few.unionAll(met)
 
 
