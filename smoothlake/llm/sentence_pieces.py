@@ -102,19 +102,19 @@ def load(path: str) -> Model:
 
 
 def _word(text: np.ndarray, rest: np.ndarray, level: int) -> np.ndarray:
-    """Eight bytes of each suffix from 8 * level on as a number, 0 beyond the unit."""
-    n, out = len(text), np.zeros(len(text), np.uint64)
+    """Eight bytes of each suffix from 8 * level on as a number, 0 beyond the unit. text has 8 bytes more than there are suffixes."""
+    out = np.zeros(len(rest), np.uint64)
     at = np.flatnonzero(rest > 8 * level)
-    part = np.zeros(len(at), np.uint64)
-    for k in range(8 * level, 8 * level + 8):
-        part <<= np.uint64(8)
-        part |= np.where(rest[at] > k, text[np.minimum(at + k, n - 1)], 0).astype(np.uint64)
+    part = np.lib.stride_tricks.sliding_window_view(text, 8)[at + 8 * level].view(">u8").ravel().astype(np.uint64)
+    over = 8 * level + 8 - rest[at]
+    part &= np.left_shift(np.uint64(2**64 - 1), (8 * np.clip(over, 0, 7)).astype(np.uint64))
     out[at] = part
     return out
 
 
 def suffixes(text: np.ndarray, rest: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffixes in order of their first 8 * levels bytes within their unit, and their keys in that order by level."""
+    text = np.concatenate([text, np.zeros(8, np.uint8)])
     first = _word(text, rest, 0)
     order = np.argsort(first)
     keys = [first[order]]
