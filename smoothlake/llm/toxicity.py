@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, words
+from .grouped import map_groups
 from .scratch import save
 
 _LETTER = np.zeros(256, bool)
@@ -114,7 +115,7 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str,
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """Of each feature: the one above it, 0 for none, and the weights of the documents with it, by label and fold."""
+    """Of each feature: the one above it, 0 for none, the topmost one, and the weights of the documents with it, by label and fold."""
     names = [f"n{k}" for k in range(2 * FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,20 +128,23 @@ def _counts(sample: DataFrame) -> DataFrame:
                     up.append(above)
                     above = np.where(h != 0, h, above)
                 up.append(above)
-                h, r, u = np.concatenate(features), np.tile(rows, len(features)), np.concatenate(up[::-1])
-                h, r, u = h[h != 0], r[h != 0], u[h != 0]
-                order = np.lexsort((r, h))
-                h, r, u = h[order], r[order], u[order]
+                top = features[0].copy()
+                for h in features[1:]:  # to the shortest prefix
+                    top[h != 0] = h[h != 0]
+                h, r, u, t = np.concatenate(features), np.tile(rows, len(features)), np.concatenate(up[::-1]), np.tile(top, len(features))
+                real = np.flatnonzero(h)
+                order = real[np.lexsort((r[real], h[real]))]
+                h, r, u, t = h[order], r[order], u[order], t[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])][: len(h)]
                 keys, at = np.unique(h, return_index=True)
                 if len(keys):
                     doc = block.first + r
                     cell = toxic[doc] * FOLDS + fold[doc]
                     sums = [np.add.reduceat(np.where(new & (cell == k), weight[doc], 0), at) for k in range(2 * FOLDS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(u[at].view(np.int64)), *map(pa.array, sums)], names=["key", "above", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(u[at].view(np.int64)), pa.array(t[at].view(np.int64)), *map(pa.array, sums)], names=["key", "above", "top", *names])
 
-    found = sample.select("text", "toxic", "weight", "fold").mapInArrow(run, "key long, above long, " + ", ".join(f"{x} long" for x in names))
-    return found.groupBy("key").agg(F.max("above").alias("above"), *(F.sum(x).alias(x) for x in names))
+    found = sample.select("text", "toxic", "weight", "fold").mapInArrow(run, "key long, above long, top long, " + ", ".join(f"{x} long" for x in names))
+    return found.groupBy("key").agg(F.max("above").alias("above"), F.max("top").alias("top"), *(F.sum(x).alias(x) for x in names))
 
 
 def odds(keys: np.ndarray, above: np.ndarray, bad: np.ndarray, good: np.ndarray, n1: float, n0: float, prior: float, width: float) -> np.ndarray:
@@ -162,6 +166,27 @@ def odds(keys: np.ndarray, above: np.ndarray, bad: np.ndarray, good: np.ndarray,
     return score
 
 
+def scored(counts: DataFrame, total: np.ndarray, settings: Settings) -> DataFrame:
+    """key and scores of the features: s from all folds, s0, s1, ... from all but that one. A feature that scores as the one above it in each of them is left out, since a word without it has that score anyway."""
+    n0, n1 = total.sum(1).tolist()
+    others = total.sum(1, keepdims=True) - total
+
+    def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys = np.asarray(table.column("key")).view(np.uint64)
+        order = np.argsort(keys)
+        keys, above = keys[order], np.asarray(table.column("above")).view(np.uint64)[order]
+        cells = np.stack([np.asarray(table.column(f"n{k}"))[order] for k in range(2 * FOLDS)], 1).reshape(-1, 2, FOLDS) / ONE
+        good, bad = cells.sum(2).T
+        score = [odds(keys, above, bad, good, n1, n0, settings.prior, settings.width)]
+        score += [odds(keys, above, bad - cells[:, 1, j], good - cells[:, 0, j], others[1, j], others[0, j], settings.prior, settings.width) for j in range(FOLDS)]
+        both = np.stack(score, 1)
+        base = np.where((above != 0)[:, None], both[np.minimum(np.searchsorted(keys, above), len(keys) - 1)], 0.0)
+        keep = np.flatnonzero((both != base).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *(pa.array(both[keep, k]) for k in range(FOLDS + 1))], names=["key", "s", *(f"s{k}" for k in range(FOLDS))])
+
+    return map_groups(counts, ["top"], run, "key long, s double, " + ", ".join(f"s{k} double" for k in range(FOLDS)))
+
+
 def values(block: words.Block, keys: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The score of each word, 0 for one without a known feature, and its row. scores may have several columns."""
     features, rows = _features(block)
@@ -233,24 +258,19 @@ def _fit(sample: DataFrame, settings: Settings) -> Model:
         total[r["toxic"], r["fold"]] = r["n"] / ONE
     n0, n1 = total.sum(1)
     rate = (n1 + 0.5) / (n1 + n0 + 1)
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.01, 0.0, 0.0, math.log(rate / (1 - rate)), settings.expectation)
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 0.01, 0.0, 0.0, math.log(rate / (1 - rate)), settings.expectation)
     others = total.sum(1, keepdims=True) - total
     if not n1 or not n0 or not others.all():
         return empty
-    counts = _counts(sample).toPandas()  # the features of a sample of so many rows
-    keys = counts["key"].to_numpy().view(np.uint64)
+    table = scored(_counts(sample), total, settings).toPandas()  # features of a sample of so many rows that say something
+    keys = table["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, above = keys[order], counts["above"].to_numpy().view(np.uint64)[order]
-    cells = counts[[f"n{k}" for k in range(2 * FOLDS)]].to_numpy(float)[order].reshape(-1, 2, FOLDS) / ONE
-    del counts
-    both = cells.sum(2)
-    scores = odds(keys, above, both[:, 1], both[:, 0], n1, n0, settings.prior, settings.width).astype(np.float32)
-    # a column for each fold, from the others
-    apart = np.stack([odds(keys, above, both[:, 1] - cells[:, 1, j], both[:, 0] - cells[:, 0, j], others[1, j], others[0, j], settings.prior, settings.width) for j in range(FOLDS)], 1).astype(np.float32)
+    keys, scores = keys[order], table["s"].to_numpy()[order]
+    apart = table[[f"s{k}" for k in range(FOLDS)]].to_numpy()[order]  # a column for each fold, from the others
 
     def own(block: words.Block, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, rows = values(block, keys, apart)
-        return found[np.arange(len(rows)), fold[block.first + rows]].astype(float), rows
+        return found[np.arange(len(rows)), fold[block.first + rows]], rows
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +323,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def _judged(block: words.Block, model: Model) -> list[Evidence]:
     found, rows = values(block, model.keys, model.scores)
-    return _evidence(found.astype(float) - model.drift, rows, block.rows, model.log_k, model.expectation)
+    return _evidence(found - model.drift, rows, block.rows, model.log_k, model.expectation)
 
 
 def _score(evidence: float, model: Model) -> float:
