@@ -192,7 +192,7 @@ class _Vocabulary(UnitCache):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each worker has one core
         from tokenizers import Tokenizer
 
-        super().__init__(most=1_000_000)
+        super().__init__(most=1_500_000)
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
