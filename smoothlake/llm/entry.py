@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hidden_markov, media, near_duplicates, packing, quality_rules, secret_scans, sentence_pieces, sharding, toxicity, wrappers
+from . import hidden_markov, media, near_duplicates, oracles, packing, quality_rules, secret_scans, sentence_pieces, sharding, toxicity, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_hidden_markov_lm, op4_wrapper_induction, op5_sentence_pieces, op6_histogram_sort, op7_media_columns, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)}
+    found = (op1_quality_rules, op2_secret_scans, op3_hidden_markov_lm, op4_wrapper_induction, op5_sentence_pieces, op6_histogram_sort, op7_media_columns, op8_best_fit_packing, op9_toxicity, op10_jaccard_join)
+    return {f.__name__: f for f in found} | oracles.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
