@@ -8,6 +8,7 @@ density times the polynomial of that degree, for which the moments up to 2r - 2
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -96,7 +97,34 @@ def _epanechnikov_convolution(order: int) -> Polynomial:
     return Polynomial(np.polynomial.chebyshev.cheb2poly(fit))(Polynomial([-1, 1 / ROOT5]))
 
 
+class UserKernel:
+    """A kernel of the user's own: its density at z, and a column expression of it for plans in the JVM.
+
+    The integral, the convolution and the derivative may be given too; else they are numerical, on so
+    many points of the support.
+    """
+
+    def __init__(self, pdf: Callable[[np.ndarray], np.ndarray], support: float, *, column: Callable[[Column], Column] | None = None, cdf: Callable | None = None, convolution: Callable | None = None, derivative: Callable | None = None, points: int = 4001):
+        self.given = {"normal": pdf, "integral": cdf, "convolution": convolution, "derivative": derivative}
+        self.support, self.column, self.points = float(support), column, points
+
+    def __call__(self, operator: str, z: np.ndarray) -> np.ndarray:
+        z = np.asarray(z, float)
+        if self.given[operator] is not None:
+            return np.asarray(self.given[operator](z), float)
+        x = np.linspace(-self.support, self.support, self.points)
+        k, step = self.given["normal"](x), x[1] - x[0]
+        if operator == "integral":
+            return np.interp(z, x, np.concatenate([[0.0], np.cumsum((k[1:] + k[:-1]) / 2) * step]), 0.0, 1.0)
+        if operator == "derivative":
+            return np.interp(z, x, np.gradient(k, step), 0.0, 0.0)
+        both = np.convolve(k, k) * step
+        return np.interp(z, np.linspace(-2 * self.support, 2 * self.support, len(both)), both, 0.0, 0.0)
+
+
 def pdf(z: np.ndarray, kind: str = "gaussian", order: int = 2) -> np.ndarray:
+    if isinstance(kind, UserKernel):
+        return kind("normal", z)
     _check(kind, order)
     z = np.asarray(z, float)
     if kind == "gaussian":
@@ -108,6 +136,8 @@ def pdf(z: np.ndarray, kind: str = "gaussian", order: int = 2) -> np.ndarray:
 
 
 def cdf(z: np.ndarray, kind: str = "gaussian", order: int = 2) -> np.ndarray:
+    if isinstance(kind, UserKernel):
+        return kind("integral", z)
     _check(kind, order)
     z = np.asarray(z, float)
     if kind == "gaussian":
@@ -119,6 +149,8 @@ def cdf(z: np.ndarray, kind: str = "gaussian", order: int = 2) -> np.ndarray:
 
 
 def convolution(z: np.ndarray, kind: str = "gaussian", order: int = 2) -> np.ndarray:
+    if isinstance(kind, UserKernel):
+        return kind("convolution", z)
     _check(kind, order)
     z = np.abs(np.asarray(z, float))
     if kind == "gaussian":
@@ -130,6 +162,8 @@ def convolution(z: np.ndarray, kind: str = "gaussian", order: int = 2) -> np.nda
 
 def derivative(z: np.ndarray, kind: str = "gaussian", order: int = 2) -> np.ndarray:
     """In z; the uniform kernel's is 0."""
+    if isinstance(kind, UserKernel):
+        return kind("derivative", z)
     _check(kind, order)
     z = np.asarray(z, float)
     if kind == "gaussian":
@@ -160,6 +194,13 @@ def unordered(same: np.ndarray, lam: float, kind: str = "aitchisonaitken", level
     raise ValueError(f"no unordered kernel {kind}")
 
 
+def unordered_cdf(x: np.ndarray, y: np.ndarray, lam: float, kind: str = "aitchisonaitken", levels: int = 2) -> np.ndarray:
+    """Weights of a training level y summed over the levels up to x, in their order; levels are 1, 2, ..., and one that training lacks, below 1, has none."""
+    a, b = unordered(np.array([True, False]), lam, kind, levels)
+    n, own = np.maximum(x, 0), (y <= x) & (x >= 1)
+    return (n - own) * b + own * a
+
+
 def unordered_convolution(same: np.ndarray, lam: float, kind: str = "aitchisonaitken", levels: int = 2) -> np.ndarray:
     """The sum over levels of products of weights."""
     a, b = unordered(np.array([True, False]), lam, kind, levels)
@@ -243,6 +284,10 @@ def _poly(z: Column, p: Polynomial) -> Column:
 
 
 def pdf_column(z: Column, kind: str = "gaussian", order: int = 2) -> Column:
+    if isinstance(kind, UserKernel):
+        if kind.column is None:
+            raise ValueError("the user's kernel has no column form")
+        return kind.column(z)
     _check(kind, order)
     if kind == "gaussian":
         k = F.exp(z * z * -0.5) * (1 / math.sqrt(2 * math.pi))
@@ -254,6 +299,8 @@ def pdf_column(z: Column, kind: str = "gaussian", order: int = 2) -> Column:
 
 def cdf_column(z: Column, kind: str = "epanechnikov", order: int = 2) -> Column:
     """Of compact kernels; the Gaussian one needs erf, which Spark lacks."""
+    if isinstance(kind, UserKernel):
+        raise ValueError("a user's kernel has a column form of its density only")
     _check(kind, order)
     if kind == "uniform":
         return F.when(z <= -1, 0.0).when(z >= 1, 1.0).otherwise((z + 1) / 2)
@@ -264,6 +311,8 @@ def cdf_column(z: Column, kind: str = "epanechnikov", order: int = 2) -> Column:
 
 
 def convolution_column(z: Column, kind: str = "gaussian", order: int = 2) -> Column:
+    if isinstance(kind, UserKernel):
+        raise ValueError("a user's kernel has a column form of its density only")
     _check(kind, order)
     if kind == "gaussian":
         return F.exp(z * z * -0.25) * (1 / (2 * math.sqrt(math.pi))) * _poly(z, _gaussian_convolution(order))
@@ -273,6 +322,8 @@ def convolution_column(z: Column, kind: str = "gaussian", order: int = 2) -> Col
 
 
 def derivative_column(z: Column, kind: str = "gaussian", order: int = 2) -> Column:
+    if isinstance(kind, UserKernel):
+        raise ValueError("a user's kernel has a column form of its density only")
     _check(kind, order)
     if kind == "gaussian":
         q = gaussian_polynomial(order)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
+from numpy.polynomial import Legendre, Polynomial
 
 from ..plans.ksum import Points
 from ..plans.spec import Bandwidth
 
 
 def terms(degree: tuple[int, ...], basis: str = "glp") -> list[tuple[int, ...]]:
-    """Exponents of the basis: additive has one variable a term, tensor all products, and glp the products up to the greatest degree."""
+    """Exponents of the basis: additive has one variable a term, tensor all products, and glp the products up to the greatest degree. After a colon, the family of the polynomials, see family()."""
+    basis = basis.partition(":")[0]
     full = itertools.product(*(range(d + 1) for d in degree))
     if basis == "tensor":
         return list(full)
@@ -27,15 +30,31 @@ def dimension(degree: tuple[int, ...], basis: str = "additive") -> int:
     return len(terms(degree, basis))
 
 
+@lru_cache
+def family(name: str, degree: int) -> tuple[Polynomial, ...]:
+    """The polynomials of one variable of degrees 0 to degree: raw powers, Legendre's, or, with 1 for the first, Bernstein's of that degree, on three deviations about the mean."""
+    if name in ("", "raw"):
+        return tuple(Polynomial([0.0] * e + [1.0]) for e in range(degree + 1))
+    to = Polynomial([0.0, 1 / 3])
+    if name == "legendre":
+        return tuple(Legendre.basis(e).convert(kind=Polynomial)(to) for e in range(degree + 1))
+    if name == "bernstein":
+        t = (1 + to) / 2
+        return (Polynomial([1.0]), *(math.comb(degree, e) * t**e * (1 - t) ** (degree - e) for e in range(1, degree + 1)))
+    raise ValueError(f"no polynomials {name}")
+
+
 def powers(columns: list[np.ndarray], degree: tuple[int, ...], basis: str, by: tuple[int, ...] = ()) -> np.ndarray:
     """The basis at points, or its derivative of so many times by each variable."""
     n = len(columns[0]) if columns else 0
     by = by or (0,) * len(degree)
+    kind = basis.partition(":")[2]
+    value = [[p.deriv(d)(c) if d else p(c) for p in family(kind, e)] for c, e, d in zip(columns, degree, by, strict=True)]
     out = []
     for t in terms(degree, basis):
         v = np.ones(n)
-        for c, e, d in zip(columns, t, by, strict=True):
-            v = v * (math.perm(e, d) * c ** (e - d) if e >= d else 0.0)
+        for each, e in zip(value, t, strict=True):
+            v = v * each[e]
         out.append(v)
     return np.stack(out, 1)
 

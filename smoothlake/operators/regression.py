@@ -121,11 +121,11 @@ def lc_gradients(data: DataFrame, bw: Bandwidth, y: str, points: pd.DataFrame |
     r = {"s0": F.lit(1.0), "s1": F.col(y).cast("double")}
     if isinstance(points, pd.DataFrame):
         points = data.sparkSession.createDataFrame(points.assign(at=np.arange(len(points))) if "at" not in points else points)
-    out = ksum(data, bw, points, r)
+    out = ksum(data, bw, points, r, permute="derivative")
     for i in bw.continuous:
         name = bw.variables[i].name
-        part = ksum(data, bw, points, r, operators={name: "derivative"}).select("at", F.col("s0").alias("d0"), F.col("s1").alias("d1"))
-        out = out.join(part, "at").withColumn(f"grad_{name}", (F.col("d1") * F.col("s0") - F.col("s1") * F.col("d0")) / (F.col("s0") * F.col("s0"))).drop("d0", "d1")
+        d0, d1 = F.col(f"{name}_s0"), F.col(f"{name}_s1")
+        out = out.withColumn(f"grad_{name}", (d1 * F.col("s0") - F.col("s1") * d0) / (F.col("s0") * F.col("s0"))).drop(f"{name}_s0", f"{name}_s1")
     return out.withColumn("mean", F.col("s1") / F.col("s0")).drop("s0", "s1")
 
 

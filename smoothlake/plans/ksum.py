@@ -126,6 +126,8 @@ def factor(bw: Bandwidth, i: int, x: np.ndarray, X: np.ndarray, h: np.ndarray |
     if v.kind == UNORDERED:
         if operator == "normal":
             return kernels.unordered(x == X, bw.h[i], k.unordered, len(v.levels))
+        if operator == "integral":
+            return kernels.unordered_cdf(x, X, bw.h[i], k.unordered, len(v.levels))
         if operator == "convolution":
             return kernels.unordered_convolution(x == X, bw.h[i], k.unordered, len(v.levels))
     elif v.kind == ORDERED:
@@ -159,6 +161,18 @@ def product(bw: Bandwidth, x: list[np.ndarray], X: list[np.ndarray], h: list[np.
     return np.broadcast_to(out, (len(x[0]), len(X[0]))) if bw.variables else np.ones((0, 0))
 
 
+def products(bw: Bandwidth, x: list[np.ndarray], X: list[np.ndarray], h: list[np.ndarray | float], operators: dict[str, str], divide: bool, powers: tuple[int, ...], permute: str | None) -> Iterator[np.ndarray]:
+    """The product kernel to each power, then, for each continuous variable in turn, the product with that variable's operator exchanged; each factor is worked out once."""
+    shape = len(x[0]), len(X[0])
+    parts = [np.broadcast_to(factor(bw, i, x[i][:, None], X[i][None], h[i], operators.get(v.name, "normal"), divide), shape) for i, v in enumerate(bw.variables)]
+    K = math.prod(parts[1:], start=parts[0])
+    for p in powers:
+        yield K if p == 1 else K**p
+    for i in bw.continuous if permute else ():
+        other = np.broadcast_to(factor(bw, i, x[i][:, None], X[i][None], h[i], permute, divide), shape)
+        yield math.prod((p for j, p in enumerate(parts) if j != i), start=other)
+
+
 def _sorted_training(train: DataFrame, bw: Bandwidth) -> list[np.ndarray | None]:
     if bw.kind == "fixed":
         return [None] * len(bw.variables)
@@ -189,26 +203,35 @@ def folded(X: list[np.ndarray], R: np.ndarray) -> tuple[list[np.ndarray], np.nda
     return [c[first] for c in X], np.stack([np.bincount(which, r, len(first)) for r in R.T], 1)
 
 
-def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, responses: dict[str, Column] | None = None, *, operators: dict[str, str] | None = None, power: int = 1, divide: bool = True, compress: bool = True, leave_one_out: bool = False, engine: str = "blocks", expand: Expand | None = None, outputs: list[str] | None = None) -> DataFrame:
+def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, responses: dict[str, Column] | None = None, *, operators: dict[str, str] | None = None, power: int | tuple[int, ...] = 1, divide: bool = True, compress: bool = True, leave_one_out: bool = False, engine: str = "blocks", expand: Expand | None = None, outputs: list[str] | None = None, weights: dict[str, Column] | None = None, permute: str | None = None) -> DataFrame:
     """at, the number of the evaluation row, its variables, and a sum for each response.
 
     points: evaluation rows, with the variables' columns; at is their order, or a column of that name.
     responses: columns of train; by default one of ones, n. leave_one_out: each training row is an
     evaluation row too, and its own term is left out; points is ignored. expand: makes more responses
     from the variables and the given ones inside the tasks, which are then called outputs; it must be
-    linear in the given ones, since rows may have been added up.
+    linear in the given ones, since rows may have been added up. power: of the kernel; of several, the
+    sums of those after the first are called name_p2 and so on, all from one pass. weights: columns of
+    train; there is a sum weight_response for each of them and each response. permute: an operator; the
+    same pass gives variable_name, the sums with that continuous variable's operator exchanged for it.
     """
     responses = responses or {"n": F.lit(1.0)}
     operators = operators or {}
-    if power < 1 or power != int(power):
+    powers = (power,) if isinstance(power, int) else tuple(power)
+    if not powers or any(p < 1 or p != int(p) for p in powers):
         raise ValueError("the power must be a whole number of 1 or more")
+    if weights:
+        responses = {f"{w}_{k}": a.cast("double") * c.cast("double") for w, a in weights.items() for k, c in responses.items()}
+    if (len(powers) > 1 or permute) and (leave_one_out or engine != "blocks"):
+        raise ValueError("several powers and permutations are for the blocks engine")
+    power = powers[0]
     spark = train.sparkSession
     rows = encoded(train, bw, **{k: c.cast("double") for k, c in responses.items()})
     names, keys = list(responses), [f"v{i}" for i in range(len(bw.variables))]
     if expand and (leave_one_out or engine != "blocks"):
         raise ValueError("responses are expanded by the blocks engine")
     if leave_one_out:
-        return _leave_one_out(train, bw, responses, operators, power, divide)
+        return _leave_one_out(train, bw, responses, operators, power, divide, engine)
     if isinstance(points, pd.DataFrame):
         points = points.copy()
         if "at" not in points:
@@ -227,7 +250,9 @@ def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, resp
     step = max(1, TILE // max(1, at.n))
     if expand:
         names = list(outputs)
-    d, r = len(keys), len(names)
+    d, base = len(keys), list(names)
+    names = [*names, *(f"{n}_p{p}" for p in powers[1:] for n in base), *(f"{bw.variables[i].name}_{n}" for i in (bw.continuous if permute else ()) for n in base)]
+    r, b = len(names), len(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((at.n, r))
@@ -248,8 +273,8 @@ def ksum(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, resp
                     R = expand(X, R)
                 if h is None or bw.kind == "adaptive_nn":
                     h = lengths(bw, at.columns, X, sorted_values, False)
-                K = product(bw, at.columns, X, h, operators, divide)
-                total += (K if power == 1 else K**power) @ R
+                for j, K in enumerate(products(bw, at.columns, X, h, operators, divide, powers, permute)):
+                    total[:, j * b : (j + 1) * b] += K @ R
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(at.extra["at"].astype(np.int64)), *(pa.array(np.ascontiguousarray(total[:, j])) for j in range(r))], names=["at", *names])
 
@@ -264,15 +289,27 @@ def permuted(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame,
 
     operator: normal, derivative, integral or score, the derivative by the variable's bandwidth.
     """
-    responses = responses or {"n": F.lit(1.0)}
+    return ksum(train, bw, points, responses, permute=operator, **options)
+
+
+def kernel_weights(train: DataFrame, bw: Bandwidth, points: pd.DataFrame | DataFrame, row: str, *, operators: dict[str, str] | None = None, power: int = 1, divide: bool = True) -> DataFrame:
+    """at, row and weight, the kernel's value, for each evaluation row and training row where it is not 0. row: a column of train that tells its rows apart."""
     if isinstance(points, pd.DataFrame):
         points = train.sparkSession.createDataFrame(points.assign(at=np.arange(len(points))) if "at" not in points else points)
-    out = ksum(train, bw, points, responses, **options)
-    for i in bw.continuous:
-        name = bw.variables[i].name
-        part = ksum(train, bw, points, responses, operators={name: operator}, **options)
-        out = out.join(F.broadcast(part.select("at", *(F.col(r).alias(f"{name}_{r}") for r in responses))), "at")  # as many rows as points, which are bounded
-    return out
+    at = collect(points, bw, at=F.col("at").cast("long"))
+    sorted_values = _sorted_training(train, bw)
+    step, d, ids = max(1, TILE // max(1, at.n)), len(bw.variables), at.extra["at"].astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for k in range(0, batch.num_rows, step):
+                X = [c[k : k + step] for c in columns[:d]]
+                K = product(bw, at.columns, X, lengths(bw, at.columns, X, sorted_values, False), operators or {}, divide) ** power
+                i, j = np.nonzero(K)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(columns[d][k : k + step][j].astype(np.int64)), pa.array(K[i, j])], names=["at", "row", "weight"])
+
+    return encoded(train, bw, row=F.col(row).cast("double")).mapInArrow(run, "at long, row long, weight double")
 
 
 def at_reference(train: DataFrame, bw: Bandwidth, points: pd.DataFrame, name: str, level, responses: dict[str, Column] | None = None, **options) -> DataFrame:
@@ -374,12 +411,51 @@ def map_points(points: DataFrame, train: Points, bw: Bandwidth, run: Tile, outpu
     return rows.mapInArrow(tiles, ", ".join(f"`{c}` double" for c in [*names, *carry, *outputs]))
 
 
-def _leave_one_out(train: DataFrame, bw: Bandwidth, responses: dict[str, Column], operators: dict[str, str], power: int, divide: bool) -> DataFrame:
-    """Sums at each training row without its own term, with the responses under the names own_*."""
-    table, points = numbered(train, bw, responses)
+def _leave_one_out(train: DataFrame, bw: Bandwidth, responses: dict[str, Column], operators: dict[str, str], power: int, divide: bool, engine: str) -> DataFrame:
+    """Sums at each training row without its own term, with the responses under the names own_*.
+
+    Up to MOST_POINTS rows go to all tasks. Beyond, or with the engine buckets, a compact kernel of one
+    variable joins buckets; any other is summed at the distinct values of the variables, so many at a
+    time, and the own term, the kernel at no distance, is taken off.
+    """
     names = list(responses)
-    R = np.stack([points.extra[n] for n in names], 1)
-    return map_points(table, points, bw, lambda K, c, t, x: K @ R, names, {"row": F.col("row")} | {f"own_{n}": F.col(n) for n in names}, operators=operators, divide=divide, power=power, leave_one_out=True)
+    rows = encoded(train, bw, **{n: c.cast("double") for n, c in responses.items()})
+    small = engine != "buckets" and rows.limit(MOST_POINTS + 1).count() <= MOST_POINTS
+    if small or bw.kind != "fixed":
+        table, points = numbered(train, bw, responses)
+        R = np.stack([points.extra[n] for n in names], 1)
+        return map_points(table, points, bw, lambda K, c, t, x: K @ R, names, {"row": F.col("row")} | {f"own_{n}": F.col(n) for n in names}, operators=operators, divide=divide, power=power, leave_one_out=True)
+    keys = [f"v{i}" for i in range(len(bw.variables))]
+    plain = bw.kernel.continuous in ("epanechnikov", "uniform") and len(keys) == 1 and bw.continuous == [0] and not bw.kernel.bounds and not operators and power == 1
+    if plain:
+        decoded = rows.withColumnRenamed("v0", bw.names[0])
+        points = decoded.groupBy(bw.names[0]).agg(F.count("*").alias("at")).withColumn("at", F.col(bw.names[0]))
+        sums = bucket_ksum(decoded, bw, points, {n: F.col(n) for n in names}).drop("at")
+        scale = 1.0 if divide else bw.h[0]
+        sums = sums.select(F.col(bw.names[0]).alias("v0"), *((F.col(n) * scale).alias(n) for n in names), F.lit(float(kernels.pdf(np.zeros(1), bw.kernel.continuous, bw.kernel.order)[0]) * scale / bw.h[0]).alias("k0"))
+    else:
+        parts = -(-rows.select(*keys).distinct().count() // (MOST_POINTS // 2))
+        sums = None
+        for k in range(parts):  # bounded parts of the evaluation rows, each one pass over the training rows
+            here = rows.select(*keys).distinct().where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == k).toPandas()
+            X = [here[c].to_numpy(float) for c in keys]
+            own = np.concatenate([_own(bw, [c[i : i + 1000] for c in X], operators, divide, power) for i in range(0, len(here), 1000)]) if len(here) else np.zeros(0)
+            frame = pd.DataFrame({v.name: _decode(v, c) for v, c in zip(bw.variables, X, strict=True)} | {"at": np.arange(len(here))})
+            got = ksum(train, bw, frame, responses, operators=operators, power=power, divide=divide)
+            extra = train.sparkSession.createDataFrame(pd.DataFrame(dict(zip(keys, X, strict=True)) | {"at": np.arange(len(here)), "k0": own}))
+            got = got.select("at", *names).join(extra, "at").select(*keys, *names, "k0")
+            sums = got if sums is None else sums.unionAll(got)
+    carried = rows.select(*keys, *(F.col(n).alias(f"own_{n}") for n in names))
+    return carried.join(sums, keys).select(*(F.col(k).alias(n) for k, n in zip(keys, bw.names, strict=True)), *(f"own_{n}" for n in names), *((F.col(n) - F.col("k0") * F.col(f"own_{n}")).alias(n) for n in names))
+
+
+def _own(bw: Bandwidth, x: list[np.ndarray], operators: dict[str, str], divide: bool, power: int) -> np.ndarray:
+    """The kernel of each row with itself."""
+    out = np.ones(len(x[0]))
+    for i, v in enumerate(bw.variables):
+        f = factor(bw, i, x[i][:, None], x[i][:, None], bw.h[i], operators.get(v.name, "normal"), divide)
+        out = out * np.broadcast_to(f, (len(x[0]), 1))[:, 0]
+    return out**power
 
 
 def numbered(train: DataFrame, bw: Bandwidth, extra: dict[str, Column]) -> tuple[DataFrame, Points]:

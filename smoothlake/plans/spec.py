@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.kernels import UserKernel
+
 CONTINUOUS, UNORDERED, ORDERED = "continuous", "unordered", "ordered"
 MAX_LEVELS = 10_000
 
@@ -78,9 +80,9 @@ def variables(df: DataFrame, names: list[str | Variable]) -> list[Variable]:
 
 @dataclass(frozen=True)
 class Kernel:
-    """Types and orders of the kernels. bounds: of continuous variables, by name, finite or not."""
+    """Types and orders of the kernels; continuous may be a UserKernel. bounds: of continuous variables, by name, finite or not."""
 
-    continuous: str = "gaussian"
+    continuous: str | UserKernel = "gaussian"
     order: int = 2
     unordered: str = "aitchisonaitken"
     ordered: str = "geometric"

@@ -105,6 +105,46 @@ def kernel_integrals_convolutions_derivatives(spark, sf):
     )
 
 
+HIGHER = {
+    "gaussian4": lambda z: f"{gauss(z)} * (1.5 - 0.5*({z})*({z}))",
+    "gaussian6": lambda z: f"{gauss(z)} * (1.875 - 1.25*({z})*({z}) + 0.125*power({z}, 4))",
+    "gaussian8": lambda z: f"{gauss(z)} * (2.1875 - 2.1875*({z})*({z}) + 0.4375*power({z}, 4) - power({z}, 6)/48)",
+    "epanechnikov4": lambda z: f"{epan(z)} * (1.875 - 0.875*({z})*({z}))",
+    "epanechnikov6": lambda z: f"{epan(z)} * (2.734375 - 3.28125*({z})*({z}) + 0.721875*power({z}, 4))",
+    "epanechnikov8": lambda z: f"{epan(z)} * (3.5888671875 - 7.8955078125*({z})*({z}) + 4.1056640625*power({z}, 4) - 0.5865234375*power({z}, 6))",
+}
+
+
+@query(f"""
+    WITH g AS {series(-5.05, 5.05, 16, "z")}, u AS (SELECT -9.0 + i * 18.0 / 36000 AS u FROM range(36001) t(i)), k AS (
+      {" UNION ALL ".join(f"SELECT '{n}' AS kernel, z, sum(CASE WHEN u <= z THEN {f('u')} ELSE 0 END) * 18.0 / 36000 AS cdf, sum({f('u')} * {f('(z - u)')}) * 18.0 / 36000 AS conv, max({f('(z + 1e-5)')} - {f('(z - 1e-5)')}) / 2e-5 AS d FROM g, u GROUP BY z" for n, f in HIGHER.items())})
+    SELECT kernel, round(z, 6) AS z, round(cdf, 2) + 0.0 AS cdf, round(conv, 4) + 0.0 AS conv, round(d, 4) + 0.0 AS derivative FROM k""")
+def kernel_higher_orders(spark, sf):
+    """Integrals, convolutions and derivatives of orders 4, 6 and 8; SQL integrates by sums."""
+    z = np.linspace(-5.05, 5.05, 16)
+    rows = [pd.DataFrame({"kernel": n, "z": z} | {c: f(z, n[:-1], int(n[-1])) for c, f in (("cdf", kernels.cdf), ("conv", kernels.convolution), ("derivative", kernels.derivative))}) for n in HIGHER]
+    got = spark.createDataFrame(pd.concat(rows))
+    return got.select("kernel", F.round("z", 6).alias("z"), (F.round("cdf", 2) + 0.0).alias("cdf"), *((F.round(c, 4) + 0.0).alias(c) for c in ("conv", "derivative")))
+
+
+@query(f"""
+    WITH u AS (SELECT -9.0 + i * 18.0 / 36000 AS u FROM range(36001) t(i))
+    {" UNION ALL ".join(f"SELECT '{n}' AS kernel, round(sum(power({f('u')}, 2)) * 18.0 / 36000, 5) AS roughness FROM u" for n, f in (HIGHER | {"gaussian2": gauss, "epanechnikov2": epan}).items())}""")
+def kernel_roughness(spark, sf):
+    return spark.createDataFrame([(n, round(kernels.roughness(n[:-1], int(n[-1])), 5)) for n in [*HIGHER, "gaussian2", "epanechnikov2"]], "kernel string, roughness double")
+
+
+@query("""
+    WITH l AS (SELECT CAST(i AS DOUBLE) AS x FROM range(1, 6) t(i)), s AS (SELECT CAST(i AS DOUBLE) AS s FROM range(1, 6) t(i)),
+    o AS (SELECT a.x, b.x AS y, s, CASE WHEN a.x = s THEN 0.6 ELSE 0.4 / 4 END AS ua, CASE WHEN b.x = s THEN 0.6 ELSE 0.4 / 4 END AS ub, power(0.4, abs(a.x - s)) * 0.6 / 1.4 AS oa, power(0.4, abs(b.x - s)) * 0.6 / 1.4 AS ob, CASE WHEN a.x = s THEN 0.6 ELSE 0.3 * power(0.4, abs(a.x - s)) END AS wa, CASE WHEN b.x = s THEN 0.6 ELSE 0.3 * power(0.4, abs(b.x - s)) END AS wb FROM l a, l b, s)
+    SELECT x, y, round(sum(ua * ub), 8) AS "unordered", round(sum(oa * ob), 8) AS ngeometric, round(sum(wa * wb), 8) AS wangvanryzin, round(sum(CASE WHEN s <= x THEN ub ELSE 0 END), 8) AS unordered_cdf FROM o GROUP BY x, y""")
+def kernel_category_convolutions(spark, sf):
+    x, y = (m.ravel() for m in np.meshgrid(np.arange(1.0, 6), np.arange(1.0, 6), indexing="ij"))
+    support = np.arange(1.0, 6)
+    columns = {"unordered": kernels.unordered_convolution(x == y, 0.4, levels=5), "unordered_cdf": kernels.unordered_cdf(x, y, 0.4, levels=5)} | {k: kernels.ordered_convolution(x, y, 0.4, k, support) for k in ("ngeometric", "wangvanryzin")}
+    return rounded(spark.createDataFrame(pd.DataFrame({"x": x, "y": y} | columns)), *columns, digits=8)
+
+
 LEVELS = "(SELECT i AS x FROM range(1, 8) t(i))"
 
 
@@ -239,6 +279,104 @@ def ksum_leave_one_out(spark, sf):
     return got.select(F.col("own_key").cast("long").alias("p_partkey"), F.round("loo", 5).alias("loo"))
 
 
+@query(f"""
+    WITH g AS {series(5.0, 45.0, 9, "x")}
+    SELECT CAST(g.at AS BIGINT) AS at, round(sum({epan_cdf("(g.x - l_quantity) / 4")} * (CASE WHEN abs(0.05 - l_discount) * abs(0.05 - l_discount) < 5 * 0.0004 THEN -0.4 * 0.33541019662496845446 * (0.05 - l_discount) / 0.02 ELSE 0 END)) / 1000, 6) AS n FROM g, lineitem GROUP BY g.at""")
+def ksum_operator_by_column(spark, sf):
+    """The integral of one variable's kernel times the derivative of another's."""
+    bw = Bandwidth((Variable("l_quantity"), Variable("l_discount")), (4.0, 0.02), EPAN)
+    points = numbers(5, 45, 9, "l_quantity").assign(l_discount=0.05)
+    got = plans.ksum(table(spark, sf, "lineitem"), bw, points, operators={"l_quantity": "integral", "l_discount": "derivative"}, divide=False)
+    return got.select("at", F.round(F.col("n") / 1000, 6).alias("n"))
+
+
+@query(f"""
+    WITH g AS {series(-500.0, 9500.0, 8, "x")}, l AS (SELECT CAST(count(DISTINCT c_mktsegment) AS DOUBLE) AS c, min(c_mktsegment) AS ref FROM customer)
+    SELECT CAST(g.at AS BIGINT) AS at, round(sum({gauss("(g.x - c_acctbal) / 700")} * CASE WHEN c_mktsegment = ref THEN 0.8 ELSE 0.2 / (c - 1) END), 6) AS n FROM g, customer, l GROUP BY g.at""")
+def ksum_at_reference(spark, sf):
+    """Sums with the category's evaluation level set to a reference."""
+    data = table(spark, sf, "customer")
+    bw = Bandwidth(tuple(variables(data, ["c_acctbal", "c_mktsegment"])), (700.0, 0.2), GAUSS)
+    levels = bw.variables[1].levels
+    got = plans.at_reference(data, bw, numbers(-500, 9500, 8, "c_acctbal").assign(c_mktsegment=levels[-1]), "c_mktsegment", levels[0], divide=False)
+    return got.select("at", F.round("n", 6).alias("n"))
+
+
+LOO_SQL = """
+    WITH t AS (SELECT {column} AS x, count(*) AS n FROM {table} GROUP BY 1), s AS (SELECT a.x, sum(b.n * {kernel}) AS s FROM t a JOIN t b ON b.x BETWEEN a.x - {h} * 2.2360679775 AND a.x + {h} * 2.2360679775 GROUP BY a.x)
+    SELECT CAST({key} AS BIGINT) AS key, round(s - 0.33541019662496845446, 5) AS loo FROM {table} JOIN s ON {column} = x"""
+
+
+@query(LOO_SQL.format(column="o_totalprice", table="orders", key="o_orderkey", h=200.0, kernel=epan("(a.x - b.x) / 200.0")))
+def ksum_leave_one_out_orders(spark, sf):
+    """Every row against all others, by buckets, so for tables of any size."""
+    got = plans.ksum(table(spark, sf, "orders"), con("o_totalprice", 200.0), pd.DataFrame(), {"loo": F.lit(1.0), "key": F.col("o_orderkey")}, divide=False, leave_one_out=True, engine="buckets")
+    return got.select(F.col("own_key").cast("long").alias("key"), F.round("loo", 5).alias("loo"))
+
+
+@query(LOO_SQL.format(column="l_extendedprice", table="lineitem", key="l_orderkey * 10 + l_linenumber", h=20.0, kernel=epan("(a.x - b.x) / 20.0")))
+def ksum_leave_one_out_lineitem(spark, sf):
+    got = plans.ksum(table(spark, sf, "lineitem"), con("l_extendedprice", 20.0), pd.DataFrame(), {"loo": F.lit(1.0), "key": F.col("l_orderkey") * 10 + F.col("l_linenumber")}, divide=False, leave_one_out=True, engine="buckets")
+    return got.select(F.col("own_key").cast("long").alias("key"), F.round("loo", 5).alias("loo"))
+
+
+TRIWEIGHT = kernels.UserKernel(lambda z: np.where(np.abs(z) < 1, 35 / 32 * (1 - z * z) ** 3, 0.0), 1.0, column=lambda z: F.when(F.abs(z) < 1, 35 / 32 * F.pow(1 - z * z, F.lit(3.0))).otherwise(0.0))
+
+
+def triweight(z: str) -> str:
+    return f"(CASE WHEN abs({z}) < 1 THEN 1.09375 * power(1 - ({z})*({z}), 3) ELSE 0 END)"
+
+
+def triweight_cdf(z: str) -> str:
+    t = f"greatest(-1.0, least(1.0, {z}))"
+    return f"(0.5 + 1.09375 * ({t} - power({t}, 3) + 0.6 * power({t}, 5) - power({t}, 7) / 7))"
+
+
+@query(f"""
+    WITH g AS {series(0.0, 52.0, 14, "x")}
+    SELECT CAST(g.at AS BIGINT) AS at, round(sum({triweight("(g.x - l_quantity) / 6.0")}), 4) AS n, round(sum({triweight("(g.x - l_quantity) / 6.0")}), 4) AS native, round(avg({triweight_cdf("(g.x - l_quantity) / 6.0")}), 5) AS dist FROM g, lineitem GROUP BY g.at""")
+def ksum_user_kernel(spark, sf):
+    """A kernel of the user's own, in Python tasks and in the JVM; its distribution function is numerical."""
+    data, bw, points = table(spark, sf, "lineitem"), con("l_quantity", 6.0, Kernel(TRIWEIGHT)), numbers(0, 52, 14, "l_quantity")
+    blocks, native = (plans.ksum(data, bw, points, divide=False, engine=e) for e in ("blocks", "native"))
+    both = blocks.select("at", F.round("n", 4).alias("n")).join(native.select("at", F.round("n", 4).alias("native")), "at")
+    return both.join(density.npudist(data, bw, points).select("at", F.round("dist", 5).alias("dist")), "at")
+
+
+@query(f"""
+    WITH g AS {series(900.0, 2100.0, 25, "x")}, k AS (SELECT g.at, p_size AS y, {gauss("(g.x - p_retailprice) / 60")} AS k FROM g, part)
+    SELECT CAST(at AS BIGINT) AS at, round(sum(k), 5) AS n, round(sum(k * y), 4) AS y, round(sum(k * k), 5) AS n_p2, round(sum(k * k * y), 4) AS y_p2, round(sum(k * k * k), 5) AS n_p3, round(sum(k * k * k * y), 4) AS y_p3 FROM k GROUP BY at""")
+def ksum_powers_in_one_pass(spark, sf):
+    got = plans.ksum(table(spark, sf, "part"), con("p_retailprice", 60.0, GAUSS), numbers(900, 2100, 25, "p_retailprice"), {"n": F.lit(1.0), "y": F.col("p_size")}, divide=False, power=(1, 2, 3))
+    return got.select("at", *(F.round(c, 5 if c[0] == "n" else 4).alias(c) for c in ("n", "y", "n_p2", "y_p2", "n_p3", "y_p3")))
+
+
+@query(f"""
+    WITH g AS {series(1.0, 50.0, 8, "x")}, k AS (SELECT g.at, l_discount AS a, l_tax AS b, l_extendedprice / 1000 AS y, {gauss("(g.x - l_quantity) / 4")} AS k FROM g, lineitem)
+    SELECT CAST(at AS BIGINT) AS at, round(sum(k * a), 4) AS a_one, round(sum(k * a * y), 3) AS a_y, round(sum(k * b), 4) AS b_one, round(sum(k * b * y), 3) AS b_y FROM k GROUP BY at""")
+def ksum_weights_by_responses(spark, sf):
+    got = plans.ksum(table(spark, sf, "lineitem"), con("l_quantity", 4.0, GAUSS), numbers(1, 50, 8, "l_quantity"), {"one": F.lit(1.0), "y": F.col("l_extendedprice") / 1000}, divide=False, weights={"a": F.col("l_discount"), "b": F.col("l_tax")})
+    return got.select("at", *(F.round(c, 4 if c.endswith("one") else 3).alias(c) for c in ("a_one", "a_y", "b_one", "b_y")))
+
+
+@query(f"""
+    WITH g AS {series(0.0, 9000.0, 10, "x")}
+    SELECT CAST(at AS BIGINT) AS at, CAST(s_suppkey AS BIGINT) AS "row", round(weight, 8) AS weight FROM (SELECT g.at, s_suppkey, {epan("(g.x - s_acctbal) / 500")} AS weight FROM g, supplier) WHERE weight <> 0""")
+def ksum_kernel_weights(spark, sf):
+    return rounded(plans.kernel_weights(table(spark, sf, "supplier"), con("s_acctbal", 500.0), numbers(0, 9000, 10, "s_acctbal"), "s_suppkey", divide=False), "weight", digits=8)
+
+
+@query("""
+    WITH l AS (SELECT DISTINCT c_mktsegment AS x FROM customer), c AS (SELECT CAST(count(*) AS DOUBLE) AS c FROM l)
+    SELECT l.x AS c_mktsegment, round(sum(CASE WHEN m.x = c_mktsegment THEN 0.7 ELSE 0.3 / (c - 1) END), 6) AS n FROM l JOIN l m ON m.x <= l.x, customer, c GROUP BY l.x""")
+def ksum_unordered_cdf(spark, sf):
+    data = table(spark, sf, "customer")
+    v = variables(data, ["c_mktsegment"])[0]
+    got = plans.ksum(data, Bandwidth((v,), (0.3,)), pd.DataFrame({"c_mktsegment": list(v.levels)}), operators={"c_mktsegment": "integral"})
+    names = F.array(*(F.lit(x) for x in v.levels))
+    return got.select(F.element_at(names, F.col("c_mktsegment").cast("int")).alias("c_mktsegment"), F.round("n", 6).alias("n"))
+
+
 @query(f"""
     WITH g AS {series(0.0, 500000.0, 11, "x")}
     SELECT CAST(g.at AS BIGINT) AS at, round(avg({gauss("(g.x - t.v) / 25000")} / 25000 / m) * 1e6, 6) AS dens FROM g, (SELECT o_totalprice AS v FROM orders) t, (SELECT 1.0 AS m) GROUP BY g.at""")
@@ -321,25 +459,19 @@ def copula_prices(spark, sf):
     return conditional.npcopula(data, ["p_retailprice", "p_size"], [0.1, 0.25, 0.5, 0.75, 0.9])
 
 
+def quantile_sql(name: str, column: str, source: str, h: float) -> str:
+    """Smooth quantiles: the least point, of a thousand on three ranges and the sample quantiles, where the distribution reaches u."""
+    return f"""{name}r AS (SELECT min({column}) AS lo, max({column}) AS hi FROM {source}), {name}g AS (SELECT lo - (hi - lo) + i * 3 * (hi - lo) / 999 AS x FROM {name}r, range(1000) t(i) UNION SELECT unnest([quantile_cont({column}, 0.25), quantile_cont({column}, 0.5), quantile_cont({column}, 0.75)]) FROM {source}),
+    {name}f AS (SELECT x, avg({epan_cdf(f"(x - {column}) / {h}")}) AS f FROM {name}g, {source} GROUP BY x), {name} AS (SELECT u, min(x) AS x FROM u, {name}f WHERE f >= u GROUP BY u)"""
+
+
 @query(f"""
-    WITH u AS (SELECT unnest([0.25, 0.5, 0.75]) AS u), r AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, min(p_size) AS lo2, max(p_size) AS hi2 FROM part),
-    g AS (SELECT lo - (hi - lo) + i * 3 * (hi - lo) / 300 AS x, lo2 - (hi2 - lo2) + i * 3 * (hi2 - lo2) / 300 AS y FROM r, range(301) t(i)),
-    f AS (SELECT x, avg({epan_cdf("(x - p_retailprice) / 30")}) AS f FROM g, part GROUP BY x), f2 AS (SELECT y, avg({epan_cdf("(y - p_size) / 3")}) AS f FROM g, part GROUP BY y),
-    a AS (SELECT u, min(x) AS x FROM u, f WHERE f >= u GROUP BY u), b AS (SELECT u, min(y) AS y FROM u, f2 WHERE f >= u GROUP BY u)
-    SELECT a.u AS u1, b.u AS u2, round(avg({epan_cdf("(a.x - p_retailprice) / 30")} * {epan_cdf("(b.y - p_size) / 3")}), 6) AS copula FROM a, b, part GROUP BY ALL""")
+    WITH u AS (SELECT unnest([0.25, 0.5, 0.75]) AS u), p AS (SELECT CAST(p_retailprice AS DOUBLE) AS price, CAST(p_size AS DOUBLE) AS size FROM part), {quantile_sql("a", "price", "p", 30.0)}, {quantile_sql("b", "size", "p", 3.0)}
+    SELECT a.u AS u1, b.u AS u2, round(avg({epan_cdf("(a.x - price) / 30")} * {epan_cdf("(b.x - size) / 3")}), 6) AS copula FROM a, b, p GROUP BY ALL""")
 def copula_compact(spark, sf):
     data = table(spark, sf, "part").select(F.col("p_retailprice").cast("double"), F.col("p_size").cast("double"))
     bw = Bandwidth((Variable("p_retailprice"), Variable("p_size")), (30.0, 3.0), EPAN)
-    u = [0.25, 0.5, 0.75]
-    at = {}
-    for n in bw.names:
-        low, high = data.agg(F.min(n), F.max(n)).first()
-        d = density.npudist(data, bw.of([n]), pd.DataFrame({n: low - (high - low) + np.arange(301) * 3 * (high - low) / 300})).toPandas().sort_values(n)
-        at[n] = [d[n][d["dist"] >= p].min() for p in u]
-    points = pd.MultiIndex.from_product([list(zip(u, at["p_retailprice"], strict=True)), list(zip(u, at["p_size"], strict=True))]).to_list()
-    frame = pd.DataFrame([{"u1": a[0], "u2": b[0], "p_retailprice": a[1], "p_size": b[1], "at": i} for i, (a, b) in enumerate(points)])
-    got = density.npudist(data, bw, frame[["p_retailprice", "p_size", "at"]])
-    return spark.createDataFrame(frame[["at", "u1", "u2"]]).join(got.select("at", "dist"), "at").select("u1", "u2", F.round("dist", 6).alias("copula"))
+    return conditional.npcopula(data, bw.names, [0.25, 0.5, 0.75], bw).select("u1", "u2", F.round("copula", 6).alias("copula"))
 
 
 @query()
@@ -383,11 +515,51 @@ def reg_ll_price_on_quantity(spark, sf):
     return got.select("at", F.round("mean", 4).alias("mean"), F.round("grad_l_quantity", 4).alias("grad"))
 
 
-@query()
+def projected(source: str, columns: list[str], last: str) -> str:
+    """Steps that make the last column orthogonal to the others under the weight w, by at: each takes its part out of those after it."""
+    steps, now = [], source
+    for i, c in enumerate(columns):
+        rest = [*columns[i + 1 :], last]
+        kept = ", ".join(f"{x} - {c} * sum(w * {x} * {c}) OVER (PARTITION BY at) / sum(w * {c} * {c}) OVER (PARTITION BY at) AS {x}" for x in rest)
+        steps.append(f"o{i} AS (SELECT at, w, wy, {kept} FROM {now})")
+        now = f"o{i}"
+    return ", ".join(steps)
+
+
+def lp_sql(columns: dict[str, str]) -> str:
+    """The local polynomial of price on quantity and discount at 40 points: the response times what the other columns leave of the first."""
+    return f"""
+    WITH t AS (SELECT l_quantity AS q, l_discount AS d, count(*) AS n, sum(l_extendedprice) AS y FROM lineitem GROUP BY ALL),
+    g AS (SELECT a.at * 5 + b.at AS at, a.x AS q, b.x AS d FROM {series(2.0, 49.0, 8, "x")} a, {series(0.01, 0.09, 5, "x")} b),
+    k AS (SELECT g.at, t.q - g.q AS x, (t.d - g.d) * 100 AS z, n, y, {gauss("(t.q - g.q) / 5")} * {gauss("(t.d - g.d) / 0.03")} AS k FROM g, t),
+    m AS (SELECT at, k * n AS w, k * y AS wy, {", ".join(f"{v} AS {c}" for c, v in columns.items())}, 1.0 AS b0 FROM k), {projected("m", list(columns), "b0")}
+    SELECT CAST(at AS BIGINT) AS at, round(sum(wy * b0) / sum(w * b0), 2) AS mean FROM o{len(columns) - 1} GROUP BY at"""
+
+
+LP = {"b1": "x", "b2": "z", "b3": "x * z", "b4": "x * x"}
+
+
+@query(lp_sql(LP))
 def reg_lp_two_variables(spark, sf):
+    return _lp_two(spark, sf, "glp")
+
+
+def _lp_two(spark, sf, basis):
     bw = Bandwidth((Variable("l_quantity"), Variable("l_discount")), (5.0, 0.03), GAUSS)
     points = pd.MultiIndex.from_product([np.linspace(2, 49, 8), np.linspace(0.01, 0.09, 5)], names=["l_quantity", "l_discount"]).to_frame(index=False)
-    return regression.npreg(table(spark, sf, "lineitem"), bw, "l_extendedprice", points, "lp", (2, 1))
+    return regression.npreg(table(spark, sf, "lineitem"), bw, "l_extendedprice", points, "lp", (2, 1), basis).select("at", F.round("mean", 2).alias("mean"))
+
+
+@query(lp_sql(LP))
+def reg_lp_legendre(spark, sf):
+    """Another family of polynomials, of the same span."""
+    return _lp_two(spark, sf, "glp:legendre")
+
+
+@query(lp_sql(LP | {"b5": "x * x * z"}))
+def reg_lp_bernstein(spark, sf):
+    """The tensor basis of Bernstein polynomials: all products of degrees 2 and 1."""
+    return _lp_two(spark, sf, "tensor:bernstein")
 
 
 @query(f"""
@@ -475,6 +647,25 @@ def nn_distance_adaptive(spark, sf):
     return rounded(spark.createDataFrame(pd.DataFrame({"s_suppkey": got.extra["key"].astype(int), "radius": radius})), "radius")
 
 
+@query("""
+    SELECT x, round(max(abs(x - s_acctbal)) * 3.0, 6) AS radius FROM (SELECT unnest([0.0, 2500.0, 5000.0]) AS x), supplier GROUP BY x""")
+def nn_distance_extended(spark, sf):
+    """Three times as many neighbours as there are values: the farthest distance, three times."""
+    values = np.sort(plans.collect(table(spark, sf, "supplier"), con("s_acctbal", 1.0)).columns[0])
+    x = np.array([0.0, 2500.0, 5000.0])
+    return rounded(spark.createDataFrame(pd.DataFrame({"x": x, "radius": plans.nn_distance(values, x, 3 * len(values), False)})), "radius")
+
+
+@query("""
+    WITH q AS (SELECT count(*) AS n, least(stddev_samp(o_totalprice), (quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)) / 1.349, 1.4826 * mad(o_totalprice)) AS s FROM orders)
+    SELECT round(5000 / (s * power(n, -0.2)), 6) AS second, round(5000 / (s * power(n, -1.0 / 9)), 6) AS fourth FROM q""")
+def bandwidth_scale_factors(spark, sf):
+    data = table(spark, sf, "orders")
+    spread, n = {"o_totalprice": metrics.spread(data, "o_totalprice")}, data.count()
+    values = tuple(con("o_totalprice", 5000.0, Kernel(order=k)).scale_factors(spread, n)["o_totalprice"] for k in (2, 4))
+    return rounded(spark.createDataFrame([values], "second double, fourth double"), "second", "fourth")
+
+
 NN_SQL = """WITH d AS (SELECT a.s_suppkey AS i, abs(a.s_acctbal - b.s_acctbal) AS d FROM supplier a, supplier b WHERE a.s_suppkey <> b.s_suppkey), h AS (SELECT i, d AS h FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS r FROM d) WHERE r = 9)"""
 
 
@@ -521,24 +712,13 @@ def cond_density_cv_objectives(spark, sf):
     return spark.createDataFrame([values], "cv_ml double, cv_ls double").select(F.round("cv_ml", 5).alias("cv_ml"), F.round("cv_ls", 6).alias("cv_ls"))
 
 
-@query(f"""{COND_SQL}, f AS (SELECT x.i, z.j, sum(x.w * z.gy) AS f FROM w x JOIN w z ON z.i = x.j GROUP BY ALL), n AS (SELECT count(*) AS n FROM supplier)
+@query(f"""
+    WITH k AS (SELECT i.s_suppkey AS i, j.s_suppkey AS j, CASE WHEN i.s_suppkey = j.s_suppkey THEN 0 ELSE {epan("(i.s_nationkey - j.s_nationkey) / 7.0")} END AS kx, {epan_cdf("(j.s_acctbal - i.s_acctbal) / 1500")} AS gy FROM supplier i, supplier j), w AS (SELECT *, kx / sum(kx) OVER (PARTITION BY i) AS w FROM k),
+    f AS (SELECT x.i, z.j, sum(x.w * z.gy) AS f FROM w x JOIN w z ON z.i = x.j GROUP BY ALL), n AS (SELECT count(*) AS n FROM supplier)
     SELECT round(1000 * sum(power((CASE WHEN a.s_acctbal <= b.s_acctbal THEN 1.0 ELSE 0 END) - f, 2)) / max(n * (n - 1)), 6) AS cv_ls FROM f JOIN supplier a ON a.s_suppkey = i JOIN supplier b ON b.s_suppkey = j, n WHERE i <> j""")
 def cond_distribution_cv_objective(spark, sf):
-    bw = Bandwidth((Variable("s_acctbal"), Variable("s_nationkey")), (1500.0, 5.0), GAUSS)
-    # the kernel of the response is compact, that of the condition is not, as in the SQL
-    y = Bandwidth((Variable("s_acctbal"),), (1500.0,), EPAN)
-
-    def loss(_, train, sv, rows):
-        x_bw = bw.of(["s_nationkey"])
-        n = train.n
-        s = search._kernel(x_bw, plans.Points([train.columns[1]], {}, n), [None], rows)
-        s /= s.sum(1, keepdims=True)
-        g = search._kernel(y, plans.Points([train.columns[0]], {}, n), [None], np.arange(n), {"s_acctbal": "integral"}, own=True)
-        e = ((train.columns[0][rows][:, None] <= train.columns[0][None]) - s @ g.T) ** 2
-        e[np.arange(len(rows)), rows] = 0
-        return e.sum(1)[:, None] / (n * (n - 1))
-
-    value = search.evaluate(table(spark, sf, "supplier"), [bw], loss)[0]
+    bw = Bandwidth((Variable("s_acctbal"), Variable("s_nationkey")), (1500.0, 7.0), EPAN)
+    value = search.evaluate(table(spark, sf, "supplier"), [bw], search.conditional_cdf(["s_acctbal"]))[0]
     return rounded(spark.createDataFrame([(value * 1000,)], "cv_ls double"), "cv_ls")
 
 
@@ -715,9 +895,18 @@ def autocorrelation(spark, sf):
     return rounded(spark.createDataFrame(list(enumerate(rho)), "lag long, rho double"), "rho")
 
 
-@query()
+@query("""
+    WITH x AS (SELECT s_acctbal - avg(s_acctbal) OVER () AS x, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM x),
+    p AS (SELECT n, greatest(5, ceil(log10(n))) AS kn, ceil(sqrt(n)) + greatest(5, ceil(log10(n))) AS mmax, ceil(least(3 * sqrt(n), n / 3)) AS bmax, 1.959963984540054 * sqrt(log10(n) / n) AS c FROM n),
+    k AS (SELECT CAST(i AS BIGINT) AS k FROM p, range(200) t(i) WHERE i <= mmax), v AS (SELECT k, sum(a.x * b.x) / max(n) AS v FROM k, n, x a JOIN x b ON true WHERE b.i = a.i - k GROUP BY k),
+    s AS (SELECT k, abs(v / (SELECT v FROM v WHERE k = 0)) < c AS small FROM v, p WHERE k > 0),
+    r AS (SELECT a.k FROM s a, s b, p WHERE b.k >= a.k AND b.k < a.k + kn AND a.k <= mmax - kn + 1 GROUP BY a.k, kn HAVING count(*) = kn AND bool_and(b.small)),
+    m AS (SELECT least(2 * coalesce((SELECT min(k) FROM r), (SELECT max(k) FROM s WHERE NOT small), 1), mmax) AS m FROM p),
+    w AS (SELECT k, v * CASE WHEN k / CAST(m AS DOUBLE) <= 0.5 THEN 1.0 WHEN k <= m THEN 2 * (1 - k / CAST(m AS DOUBLE)) ELSE 0 END AS w FROM v, m WHERE k <= m),
+    t AS (SELECT 2 * sum(k * w) AS g, 2 * sum(w) - max(CASE WHEN k = 0 THEN w END) AS s FROM w)
+    SELECT round(least(power(2 * g * g / (2.0 * s * s), 1.0 / 3) * power(n, 1.0 / 3), bmax), 5) AS stationary, round(least(power(2 * g * g / (4.0 / 3 * s * s), 1.0 / 3) * power(n, 1.0 / 3), bmax), 5) AS circular FROM t, p""")
 def block_length(spark, sf):
-    return spark.createDataFrame([metrics.block_length(table(spark, sf, "supplier"), "s_acctbal", "s_suppkey")], "stationary double, circular double")
+    return rounded(spark.createDataFrame([metrics.block_length(table(spark, sf, "supplier"), "s_acctbal", "s_suppkey")], "stationary double, circular double"), "stationary", "circular", digits=5)
 
 
 # bounded univariate densities
@@ -774,10 +963,17 @@ def density_shape_constrained(spark, sf):
     return boundary.npuniden_sc(data, "v", 0.1, shape="log-concave", points=40)
 
 
-@query()
+def chen(x: str, v: str, h: float, s: int) -> str:
+    p, q = f"(1 + ({x}) / {h * h * s!r})", f"(1 + (1 - ({x})) / {h * h * s!r})"
+    return f"exp(({p} - 1) * ln({v}) + ({q} - 1) * ln(1 - ({v})) + lgamma({p} + {q}) - lgamma({p}) - lgamma({q}))"
+
+
+@query(f"""
+    WITH g AS {series(0.02, 0.98, 25, "x")}, t AS (SELECT p_size / 51.0 AS v FROM part)
+    SELECT CAST(g.at AS BIGINT) AS at, round(avg(2 * {chen("g.x", "v", 0.2, 1)} - {chen("g.x", "v", 0.2, 2)}), 6) AS dens FROM g, t GROUP BY g.at""")
 def density_beta_kernel(spark, sf):
     data = table(spark, sf, "part").select((F.col("p_size") / 51.0).alias("v"))
-    return density.npudens(data, con("v", 0.2, Kernel("beta", 4, bounds={"v": (0.0, 1.0)})), numbers(0.02, 0.98, 25, "v"))
+    return density.npudens(data, con("v", 0.2, Kernel("beta", 4, bounds={"v": (0.0, 1.0)})), numbers(0.02, 0.98, 25, "v")).select("at", F.round("dens", 6).alias("dens"))
 
 
 # data behind plots, pairs and streams

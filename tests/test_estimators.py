@@ -362,3 +362,54 @@ def test_missing_rows_and_predictions(spark, frame):
     assert fit.gradients(GRID).count() == fit.se(GRID).count() == 3
     assert api.npudens("~ x", d, one()).summary()["rows"] == N - 1
     assert api.npksum("y ~ x", d, one(), GRID).columns == ["at", "x", "y"]
+
+
+def test_leave_one_out_beyond_the_limit(spark, monkeypatch):
+    """Large tables are summed at distinct values, part by part, or by buckets, with the own term taken off."""
+    from smoothlake.plans import ksum as plans
+
+    r = np.random.default_rng(4)
+    frame = pd.DataFrame({"a": r.integers(0, 60, 300) / 7.0, "c": r.choice(["u", "v", "w"], 300), "y": r.normal(size=300)})
+    data = spark.createDataFrame(frame).repartition(3)
+    mixed = Bandwidth(tuple(variables(data, ["a", "c"])), (0.7, 0.2), Kernel("gaussian"))
+    for bw, operators, power in ((mixed, {}, 1), (mixed, {}, 2), (mixed, {"a": "integral"}, 1), (mixed.of(["a"]), {}, 1), (Bandwidth((Variable("a"),), (0.7,), Kernel("epanechnikov")), {}, 1)):
+        got = []
+        for most in (200_000, 40):
+            monkeypatch.setattr(plans, "MOST_POINTS", most)
+            out = plans.ksum(data, bw, pd.DataFrame(), {"n": F.lit(1.0), "s": F.col("y")}, operators=operators, power=power, leave_one_out=True)
+            assert out.count() == 300
+            got.append(sorted(zip(*(np.round(out.toPandas()[c], 7) + 0.0 for c in ("own_s", "n", "s")), strict=True)))
+        assert np.allclose(got[0], got[1], atol=1e-6)
+
+
+def test_user_kernels_are_integrated():
+    from smoothlake.functions import kernels
+
+    z = np.linspace(-2.4, 2.4, 41)
+    k = kernels.UserKernel(lambda z: np.where(np.abs(z) < 1, 0.75 * (1 - z * z), 0.0), 1.0)
+    t = np.clip(z, -1, 1)
+    assert np.allclose(kernels.cdf(z, k), 0.5 + 0.75 * (t - t**3 / 3), atol=1e-6)
+    u = np.abs(z)
+    assert np.allclose(kernels.convolution(z, k), np.where(u < 2, 3 / 160 * (2 - u) ** 3 * (u * u + 6 * u + 4), 0), atol=1e-5)
+    inner = np.abs(np.abs(z) - 1) > 0.05
+    assert np.allclose(kernels.derivative(z, k)[inner], np.where(np.abs(z) < 1, -1.5 * z, 0)[inner], atol=1e-3)
+    with pytest.raises(ValueError):
+        kernels.pdf_column(F.lit(0.0), k)
+
+
+def test_families_of_polynomials_span_the_same():
+    from smoothlake.operators import polynomials
+
+    r = np.random.default_rng(1)
+    x = [r.normal(size=50), r.normal(size=50)]
+    y = r.normal(size=50)
+    for basis in ("tensor", "additive"):
+        fits = []
+        for kind in ("raw", "legendre", "bernstein"):
+            B = polynomials.powers(x, (3, 2), f"{basis}:{kind}")
+            D = polynomials.powers(x, (3, 2), f"{basis}:{kind}", (1, 0))
+            c = np.linalg.lstsq(B, y, rcond=None)[0]
+            fits.append(np.concatenate([B @ c, D @ c]))
+        assert np.allclose(fits[0], fits[1]) and np.allclose(fits[0], fits[2])
+    with pytest.raises(ValueError):
+        polynomials.powers(x, (1, 1), "glp:chebyshev")
