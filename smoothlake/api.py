@@ -237,7 +237,27 @@ npudensbw, npudistbw, npquantile = density.npudensbw, density.npudistbw, density
 npregbw, npreghat, nplsqregbw, nplsqreg = regression.npregbw, regression.npreghat, regression.nplsqregbw, regression.nplsqreg
 npcdensbw, npcdistbw, npcopula = conditional.npcdensbw, conditional.npcdistbw, conditional.npcopula
 npplregbw, npindexbw, npscoefbw = semiparametric.npplregbw, semiparametric.npindexbw, semiparametric.npscoefbw
-npregiv, npregivderiv = instrumental.npregiv, instrumental.npregivderiv
+def npregiv(text: str, data: DataFrame, subset: str | None = None, **options) -> instrumental.Instrumental:
+    """y ~ z | w: the response, the endogenous variables and the instruments, all continuous."""
+    y, z, w = _instruments(text)
+    return instrumental.npregiv(_subset(data, subset), y, z, w, **options)
+
+
+def npregivderiv(text: str, data: DataFrame, subset: str | None = None, **options) -> instrumental.Instrumental:
+    """y ~ z | w with one z: phi and its derivative."""
+    y, z, w = _instruments(text)
+    if len(z) != 1:
+        raise ValueError("the derivative takes one endogenous variable")
+    return instrumental.npregivderiv(_subset(data, subset), y, z[0], w, **options)
+
+
+def _instruments(text: str) -> tuple[str, list[str], list[str]]:
+    f = formula(text)
+    if len(f.left) != 1 or not f.smooth:
+        raise ValueError(f"a formula y ~ z | w is needed: {text}")
+    return names_of(f.left)[0], names_of(f.right), names_of(f.smooth)
+
+
 npuniden_boundary, npuniden_reflect, npuniden_sc = boundary.npuniden_boundary, boundary.npuniden_reflect, boundary.npuniden_sc
 npcmstest, npqcmstest, npsigtest, npdeneqtest = inference.npcmstest, inference.npqcmstest, inference.npsigtest, inference.npdeneqtest
 npunitest, npsymtest, npdeptest, npsdeptest = inference.npunitest, inference.npsymtest, inference.npdeptest, inference.npsdeptest

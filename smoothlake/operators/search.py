@@ -190,6 +190,44 @@ def evaluate(train: DataFrame, candidates: list[Bandwidth], loss: Loss, extra: d
     return out
 
 
+def nelder_mead(batch: Callable[[list[tuple[float, ...]]], list[float]], start: tuple[float, ...], step: tuple[float, ...], lower: tuple[float, ...], upper: tuple[float, ...], rounds: int = 200, tolerance: float = 1e-6) -> tuple[tuple[float, ...], float, int]:
+    """The simplex search of Nelder and Mead within bounds. A round's reflection, expansion and both contractions are valued in one call, since a call is a job."""
+    lo, hi = np.array(lower), np.array(upper)
+    tried = 0
+
+    def value(points: list[np.ndarray]) -> list[float]:
+        nonlocal tried
+        tried += len(points)
+        return list(batch([tuple(float(v) for v in np.clip(p, lo, hi)) for p in points]))
+
+    simplex = [np.array(start, float), *(np.clip(np.array(start, float) + s * e, lo, hi) for s, e in zip(step, np.eye(len(start)), strict=True))]
+    values = value(simplex)
+    for _ in range(rounds):
+        order = np.argsort(values, kind="stable")
+        simplex, values = [simplex[i] for i in order], [values[i] for i in order]
+        if abs(values[-1] - values[0]) <= tolerance * (abs(values[0]) + tolerance) and max(np.abs(p - simplex[0]).max() for p in simplex) <= tolerance ** 0.5:
+            break
+        centre = np.mean(simplex[:-1], axis=0)
+        away = centre - simplex[-1]
+        tries = [np.clip(centre + f * away, lo, hi) for f in (1.0, 2.0, 0.5, -0.5)]
+        reflected, expanded, outside, inside = value(tries)
+        if reflected < values[0]:
+            new = (tries[1], expanded) if expanded < reflected else (tries[0], reflected)
+        elif reflected < values[-2]:
+            new = (tries[0], reflected)
+        elif reflected < values[-1] and outside <= reflected:
+            new = (tries[2], outside)
+        elif reflected >= values[-1] and inside < values[-1]:
+            new = (tries[3], inside)
+        else:  # towards the best
+            simplex = [simplex[0], *(simplex[0] + 0.5 * (p - simplex[0]) for p in simplex[1:])]
+            values = [values[0], *value(simplex[1:])]
+            continue
+        simplex[-1], values[-1] = new
+    k = int(np.argmin(values))
+    return tuple(float(v) for v in np.clip(simplex[k], lo, hi)), float(values[k]), tried
+
+
 def minimise(batch: Callable[[list[tuple[float, ...]]], list[float]], start: list[tuple[float, ...]], lower: tuple[float, ...], upper: tuple[float, ...], log: tuple[bool, ...], whole: tuple[bool, ...] = (), rounds: int = 16, tolerance: float = 1e-3) -> tuple[tuple[float, ...], float, int]:
     """A pattern search whose every round tries all steps at once, descending from every start."""
     p = len(lower)

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import streaming
+from . import api, streaming
 from .functions import kernels
-from .operators import boundary, conditional, density, inference, instrumental, metrics, plotdata, regression, search, semiparametric
+from .operators import boundary, conditional, density, inference, instrumental, metrics, plotdata, polynomials, regression, search, semiparametric
 from .plans import ksum as plans
 from .plans.spec import Bandwidth, Kernel, Variable, ordered, variables
 from .sources import table
@@ -775,6 +775,21 @@ def single_index_search(spark, sf):
     return spark.createDataFrame([(m.beta[1], m.h, m.value)], "beta double, h double, value double")
 
 
+@query()
+def single_index_nelder_mead(spark, sf):
+    data = table(spark, sf, "supplier").select("s_acctbal", F.col("s_nationkey").cast("double").alias("a"), (F.col("s_suppkey") % 7).cast("double").alias("b"))
+    m = semiparametric.npindexbw(data, "s_acctbal", ["a", "b"], optimizer="nelder-mead")
+    return spark.createDataFrame([(m.beta[1], m.h, m.value)], "beta double, h double, value double")
+
+
+@query("""
+    WITH m AS (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS s, avg(l_discount) AS b, stddev_pop(l_discount) AS t FROM lineitem), c AS (SELECT corr(l_quantity, l_discount) AS r FROM lineitem)
+    SELECT round(sqrt((1 + abs(r)) / (1 - abs(r))), 6) AS condition FROM c""")
+def reg_design_condition(spark, sf):
+    """Of the linear basis, whose standardised moments have one correlation in them."""
+    return rounded(spark.createDataFrame([(polynomials.design(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], (1, 1)),)], "condition double"), "condition")
+
+
 @query()
 def instrumental_landweber(spark, sf):
     data = table(spark, sf, "supplier").select((F.col("s_acctbal") / 1000).alias("y"), F.col("s_nationkey").cast("double").alias("z"), (F.col("s_nationkey") + F.col("s_suppkey") % 5).cast("double").alias("w"))
@@ -782,6 +797,14 @@ def instrumental_landweber(spark, sf):
     return spark.createDataFrame(pd.DataFrame({"z": m.z[:, 0], "phi": m.phi, "iterations": m.iterations}))
 
 
+@query()
+def instrumental_landweber_cv(spark, sf):
+    """Each step's smooths with bandwidths by cross-validation of their own, on the nations' means."""
+    data = table(spark, sf, "supplier").groupBy("s_nationkey").agg((F.avg("s_acctbal") / 1000).alias("y"), F.avg(F.col("s_suppkey") % 5).alias("w")).withColumn("z", F.col("s_nationkey").cast("double"))
+    m = api.npregiv("y ~ z | w", data, smooth="cv")
+    return spark.createDataFrame(pd.DataFrame({"z": m.z[:, 0], "phi": m.phi, "iterations": m.iterations}))
+
+
 @query()
 def instrumental_tikhonov(spark, sf):
     data = table(spark, sf, "supplier").select((F.col("s_acctbal") / 1000).alias("y"), F.col("s_nationkey").cast("double").alias("z"), (F.col("s_nationkey") + F.col("s_suppkey") % 5).cast("double").alias("w"))

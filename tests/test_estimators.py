@@ -413,3 +413,58 @@ def test_families_of_polynomials_span_the_same():
         assert np.allclose(fits[0], fits[1]) and np.allclose(fits[0], fits[2])
     with pytest.raises(ValueError):
         polynomials.powers(x, (1, 1), "glp:chebyshev")
+
+
+def test_singular_systems_go_to_the_local_constant_mean():
+    """Points of one value only: every slope fits, and the ridge leaves the mean."""
+    B = np.stack([np.ones(6), np.full(6, 2.0)], 1)
+    y = np.arange(6.0)
+    got = polynomials.solve((B.T @ B)[None], (B.T @ y)[None, :, None])[0, :, 0]
+    assert got @ [1.0, 2.0] == pytest.approx(y.mean(), rel=1e-3)
+    dead = polynomials.solve(np.zeros((1, 2, 2)), np.zeros((1, 2, 1)))
+    assert np.isnan(dead).all()
+    bw = Bandwidth((Variable("x"),), (1.0,))
+    train = plans.Points([np.r_[np.zeros(4), 5.0]], {}, 5)
+    K = np.array([[1.0, 1, 1, 1, 0], [1, 1, 1, 1, 1]])
+    H = polynomials.hat_rows(K, train, bw, [np.array([0.0, 0.0])], (1,))
+    assert np.allclose(H[0], [0.25, 0.25, 0.25, 0.25, 0], atol=1e-6) and np.allclose(H.sum(1), 1)
+
+
+def test_nelder_mead_finds_minima():
+    f = lambda p: (p[0] - 1.5) ** 2 + 3 * (p[1] + 0.5) ** 2 + 0.5 * (p[0] - 1.5) * (p[1] + 0.5)
+    at, value, tried = search.nelder_mead(lambda points: [f(p) for p in points], (0.0, 0.0), (0.5, 0.5), (-5.0, -5.0), (5.0, 5.0))
+    assert np.allclose(at, (1.5, -0.5), atol=1e-2) and value < 1e-4 and tried > 10
+    at, _, _ = search.nelder_mead(lambda points: [f(p) for p in points], (0.0, 0.0), (0.5, 0.5), (-5.0, -5.0), (1.0, 5.0))
+    assert at[0] == pytest.approx(1.0, abs=1e-3)  # the bound
+
+
+def test_design_condition(spark, data):
+    B = polynomials.powers([np.array(c) for c in data.select("x", "w").toPandas().T.to_numpy()], (2, 1), "tensor")
+    assert polynomials.design(data, ["x", "w"], (1, 1)) < polynomials.design(data, ["x", "w"], (3, 2)) and B.shape == (N, 6)
+    with pytest.raises(ValueError):
+        polynomials.design(data.withColumn("v", F.col("x") * 2 + 1), ["x", "v"], (1, 1))
+
+
+def test_instrumental_regression_with_cross_validation(spark):
+    r = np.random.default_rng(5)
+    n = 250
+    v, w = r.normal(0, 0.27, n), r.normal(size=n)
+    z = 0.4 * w + v
+    frame = pd.DataFrame({"z": z, "w": w, "y": z**2 - 0.5 * v + r.normal(0, 0.05, n)})
+    data = spark.createDataFrame(frame)
+    m = api.npregiv("y ~ z | w", data, smooth="cv")
+    inner = np.abs(m.z[:, 0]) < 0.8
+    error = np.sqrt(np.mean((m.phi - m.phi.mean() - m.z[:, 0] ** 2 + (m.z[:, 0] ** 2).mean())[inner] ** 2))
+    spread = np.std(m.z[inner, 0] ** 2)
+    assert error < 0.8 * spread and 1 <= m.iterations <= len(m.stop)
+    columns = instrumental._columns(data, ["y", "w"])
+    h = instrumental.cross_validated(columns[1:], columns[0], 1, [instrumental.reference(columns[1])])
+    losses = []
+    for f in (h[0], 0.2 * h[0], 6 * h[0]):
+        H = instrumental.smoother(columns[1:], [f], 1)
+        losses.append(np.mean(((columns[0] - H @ columns[0]) / (1 - np.diag(H))) ** 2))
+    assert losses[0] <= min(losses[1:])
+    with pytest.raises(ValueError):
+        api.npregiv("y ~ z", data)
+    with pytest.raises(ValueError):
+        api.npregiv("y ~ z | w", data, smooth="guess")
