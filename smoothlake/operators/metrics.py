@@ -54,13 +54,50 @@ def quantiles(df: DataFrame, v: Variable, prob: list[float]) -> DataFrame:
     return mode.crossJoin(spark.createDataFrame([(float(p),) for p in prob], "prob double")).select("prob", "value")
 
 
-def autocorrelations(df: DataFrame, value: str, order: str, lags: int, covariance: bool = False) -> list[float]:
-    """Of lags 0 to lags, with the divisor n, as sums over lagged windows in one pass."""
+SERIES_ROWS = 200_000  # rows of a series that a task orders
+
+
+def lags(df: DataFrame, value: Column, order: str, which: list[int], rows: int | None = None) -> DataFrame:
+    """l0, the value, and l1, l2, ...: those so many rows earlier in the order, null before the start.
+
+    A long series is cut by quantiles of the order into parts, whose counts number all rows; rows then
+    go to blocks of equal length, and the last ones of a block to the next one too, so that no task
+    holds the series.
+    """
+    rows = rows or SERIES_ROWS
+    most = max(which, default=0)
+    source = df.select(value.alias("l0"), F.col(f"`{order}`").alias("o"))
+    columns = ["l0", *(f"l{k}" for k in which)]
+
+    def lagged(w) -> list[Column]:
+        return [F.lag("l0", k).over(w).alias(f"l{k}") for k in which]
+
+    parts = -(-source.count() // rows)
+    if parts <= 1:
+        return source.select("l0", *lagged(Window.orderBy("o")))
+    cuts = sorted(set(source.agg(F.percentile_approx("o", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.coalesce((F.col("o") >= F.lit(c)).cast("int"), F.lit(0))
+    source = source.withColumn("part", part)
+    base, counts = 0, {r["part"]: r["n"] for r in source.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each part
+    before = F.lit(0)
+    for k in range(len(cuts) + 1):
+        before = F.when(F.col("part") == k, F.lit(base)).otherwise(before)
+        base += counts.get(k, 0)
+    at = F.col("at")
+    size = max(rows, most + 1)
+    numbered = source.withColumn("at", before + F.row_number().over(Window.partitionBy("part").orderBy("o")) - 1).withColumn("own", F.floor(at / size))
+    copies = F.explode(F.when(at % size >= size - most, F.array("own", F.col("own") + 1)).otherwise(F.array("own")))
+    dealt = numbered.withColumn("block", copies)
+    return dealt.select("l0", "own", "block", *lagged(Window.partitionBy("block").orderBy("at"))).where("own = block").select(*columns)
+
+
+def autocorrelations(df: DataFrame, value: str, order: str, lags_: int, covariance: bool = False) -> list[float]:
+    """Of lags 0 to lags_, with the divisor n, as sums over lagged pairs in one pass."""
     n, mean = df.agg(F.count(value), F.avg(value)).first()
-    x = F.col(value) - mean
-    w = Window.orderBy(order)  # a series in time order has no key to split by
-    lagged = df.select((x * x).alias("l0"), *((x * F.lag(x, k).over(w)).alias(f"l{k}") for k in range(1, lags + 1)))
-    sums = lagged.agg(*(F.sum(f"l{k}").alias(f"l{k}") for k in range(lags + 1))).first()
+    pairs = lags(df, F.col(value) - mean, order, list(range(1, lags_ + 1)))
+    sums = pairs.agg(*(F.sum(F.col("l0") * F.col(f"l{k}")).alias(f"l{k}") for k in range(lags_ + 1))).first()
     return [(s or 0.0) / n / (1.0 if covariance else sums[0] / n) for s in sums]
 
 

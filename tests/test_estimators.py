@@ -468,3 +468,16 @@ def test_instrumental_regression_with_cross_validation(spark):
         api.npregiv("y ~ z", data)
     with pytest.raises(ValueError):
         api.npregiv("y ~ z | w", data, smooth="guess")
+
+
+def test_lags_of_long_series_are_cut_in_blocks(spark):
+    r = np.random.default_rng(3)
+    frame = pd.DataFrame({"t": r.permutation(400) * 3, "v": r.normal(size=400).round(3)})
+    data = spark.createDataFrame(frame).repartition(5)
+    v = frame.sort_values("t")["v"].tolist()
+    want = sorted((v[i], v[i - 1] if i >= 1 else None, v[i - 9] if i >= 9 else None) for i in range(400))
+    for rows in (10_000, 60, 7):
+        got = metrics.lags(data, F.col("v"), "t", [1, 9], rows)
+        assert sorted((tuple(x) for x in got.collect()), key=str) == sorted(want, key=str)
+    assert "SinglePartition" not in metrics.lags(data, F.col("v"), "t", [1], 60)._jdf.queryExecution().executedPlan().toString()
+    assert metrics.lags(data.limit(0), F.col("v"), "t", [1], 60).count() == 0
