@@ -6,9 +6,9 @@ into one template. Then each page is aligned to its host's template, and the pag
 at a node are counted exactly: a text on nearly all pages of its node is constant, so it is template,
 and what is left are the varying slots. From the root on, the way goes down to the slot that holds
 most of the host's varying running text; that slot is the content. Neither names of elements nor
-class names take part in this. They are used only beside it: inside the content, where an element or
-hint names comments, adverts or menus, and on hosts of too few pages, or without a slot that stands
-out, where article and main elements come first.
+class names are needed for this. They are used only beside it: an article element on the way is taken
+whole; inside the content, an element or hint may name comments, adverts or menus; and on hosts of too
+few pages, or without a slot that stands out, article and main elements come first.
 
 Trees are flat arrays and no walk recurses, so the depth of a page is not bounded. Equal trees of a
 host are counted as one; they are folded in the order of their hash, first by parts of a host and
@@ -432,7 +432,7 @@ def wrapper(t: Template, constant: list[tuple[int, int, int]], s: Settings, freq
     tags = [_tag(k) for k in tree.keys]
     # down to the slot that holds most of the varying text
     node, roots, sure = 0, [], t.pages[0] >= s.least_pages
-    while True:
+    while tags[node] != "article" or COMMENT.search(_hints(tree.keys[node])):  # an article that lies on the way is taken whole
         kids = [c for c in tree.kids[node] if mass[c]]
         best = max(kids, key=lambda c: mass[c], default=None)
         if best is None or not tree.kids[best] and tags[best] in PART_OF_TEXT:
