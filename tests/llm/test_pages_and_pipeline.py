@@ -257,3 +257,22 @@ def test_pipeline(spark):
     assert len(held) == 2  # the last stage's input and its pieces
     assert sorted(r[:5] for r in run) == sorted(r[:5] for r in rows[5])
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_stages_on_odd_tables(edge, no_rows, spark):
+    """Nulls, empties, very long and repeated rows, columns with clashing names, and no rows at all go through every stage."""
+    for docs in (edge, no_rows):
+        now, n = docs, docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = scratch.save(stage(spark, now, DATA), f"odd-{name}")
+            assert now.columns == docs.columns and now.count() <= n
+            n = now.count()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, DATA)
+        assert (pieces.count() >= n > 0) if docs is edge else pieces.count() == 0
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    documents, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    documents.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
