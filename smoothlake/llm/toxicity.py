@@ -121,7 +121,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, weight, fold = (np.asarray(batch.column(k)) for k in (1, 2, 3))
-            for block in words.blocks(batch.column(0), 2 << 20):
+            for block in words.blocks(batch.column(0), 1 << 19):
                 features, rows = _features(block)
                 above, up = np.zeros(len(rows), np.uint64), []
                 for h in features[:0:-1]:  # from the shortest prefix on
