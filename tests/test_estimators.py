@@ -525,3 +525,10 @@ def test_density_equality_takes_whole_tables(spark):
     i_n = s1 / (n * (n - 1)) + s2 / (m * (m - 1)) - 2 * s3 / (n * m)
     assert t.statistic[1] == pytest.approx(i_n, rel=1e-8)
     assert t.statistic[0] == pytest.approx(i_n / np.sqrt(2 * (q1 / (n * (n - 1)) ** 2 + q2 / (m * (m - 1)) ** 2 + 2 * q3 / (n * m) ** 2)), rel=1e-8)
+
+
+def test_density_equality_replicates_take_whole_tables(spark):
+    r = np.random.default_rng(13)
+    x, y = (spark.createDataFrame(pd.DataFrame({"x": r.normal(size=n)})) for n in (20_500, 500))
+    t = inference.npdeneqtest(x, y, one("x", 0.3), one("x", 0.25), 9)
+    assert t.replicates.shape == (9, 2) and np.isfinite(t.replicates).all()
