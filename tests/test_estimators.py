@@ -550,3 +550,8 @@ def test_specification_takes_whole_tables(spark, many):
     e = y - np.polyval(np.polyfit(x, y, 1), x)
     want = len(x) * np.sqrt(3) * (e @ K @ e / len(x) ** 2) / np.sqrt(2 * 3 * ((e * e) @ (K * K) @ (e * e)) / len(x) ** 2)
     assert inference.npcmstest(spark.createDataFrame(many), "y", one("x", 3.0), 0).statistic[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_specification_replicates_take_whole_tables(spark, many):
+    t = inference.npcmstest(spark.createDataFrame(many), "y", one("x", 3.0), 9, "wild")
+    assert t.replicates.shape == (9, 1) and t.p[0] == 0
