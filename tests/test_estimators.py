@@ -555,3 +555,8 @@ def test_specification_takes_whole_tables(spark, many):
 def test_specification_replicates_take_whole_tables(spark, many):
     t = inference.npcmstest(spark.createDataFrame(many), "y", one("x", 3.0), 9, "wild")
     assert t.replicates.shape == (9, 1) and t.p[0] == 0
+
+
+def test_quantile_specification_takes_whole_tables(spark, many):
+    t = inference.npqcmstest(spark.createDataFrame(many), "y", one("x", 3.0), 0.5, 9)
+    assert t.replicates.shape == (9, 1) and t.p[0] == 0
