@@ -576,3 +576,28 @@ def test_significance_takes_whole_tables(spark, many):
     assert np.allclose(t.statistic, want, rtol=1e-7) and t.replicates.shape == (9, 2) and t.p[1] == 0
     joint = inference.npsigtest(data, "y", bw, boot_num=0, joint=True)
     assert joint.statistic[0] == pytest.approx(sum(want))
+
+
+@pytest.fixture(scope="module")
+def instruments():
+    """More rows than fit matrices of all pairs; z has many distinct values and w few, rounded has few of both."""
+    r = np.random.default_rng(15)
+    v, w = r.normal(0, 0.27, 4100), np.round(r.standard_normal(4100) * 8) / 8
+    z = 0.2 * w + v
+    return pd.DataFrame({"z": z, "rounded": np.round(z * 20) / 20, "w": w, "y": z * z - 0.5 * v + r.normal(0, 0.05, 4100)})
+
+
+def _matrices(f: pd.DataFrame, z: str):
+    Z, W = f[z].to_numpy(), f.w.to_numpy()
+    return instrumental.smoother([Z], [instrumental.reference(Z)], 1), instrumental.smoother([W], [instrumental.reference(W)], 1)
+
+
+def test_landweber_takes_whole_tables(spark, instruments):
+    for z in ("rounded", "z"):
+        got = instrumental.npregiv(spark.createDataFrame(instruments), "y", [z], ["w"], iterate_max=6)
+        Kz, Kw = _matrices(instruments, z)
+        E = Kw @ instruments.y.to_numpy()
+        phi = Kz @ E
+        for k in range(1, got.iterations):
+            phi = phi + 0.5 * (Kz @ (E - Kw @ phi))
+        assert len(got.stop) == 6 and np.allclose(got.z[:, 0], instruments[z]) and np.allclose(got.phi, phi, atol=1e-9)
