@@ -601,3 +601,11 @@ def test_landweber_takes_whole_tables(spark, instruments):
         for k in range(1, got.iterations):
             phi = phi + 0.5 * (Kz @ (E - Kw @ phi))
         assert len(got.stop) == 6 and np.allclose(got.z[:, 0], instruments[z]) and np.allclose(got.phi, phi, atol=1e-9)
+
+
+def test_tikhonov_takes_whole_tables(spark, instruments):
+    for z in ("rounded", "z"):
+        got = instrumental.npregiv(spark.createDataFrame(instruments), "y", [z], ["w"], "Tikhonov", alpha=0.01)
+        Kz, Kw = _matrices(instruments, z)
+        r = Kz @ (Kw @ instruments.y.to_numpy())
+        assert np.allclose(0.01 * got.phi + Kz @ (Kw @ got.phi), r, atol=1e-8)
