@@ -609,3 +609,26 @@ def test_tikhonov_takes_whole_tables(spark, instruments):
         Kz, Kw = _matrices(instruments, z)
         r = Kz @ (Kw @ instruments.y.to_numpy())
         assert np.allclose(0.01 * got.phi + Kz @ (Kw @ got.phi), r, atol=1e-8)
+
+
+def test_instrumental_derivative_takes_whole_tables(spark, instruments):
+    """The second half of the rows has the z and w of the first: the same derivative as of the first alone, with their bandwidths."""
+    half = instruments.head(2050)
+    hz, hw = instrumental.reference(half.z.to_numpy()), [instrumental.reference(half.w.to_numpy())]
+    got, want = (instrumental.npregivderiv(spark.createDataFrame(f), "y", "z", ["w"], hz, hw, iterate_max=20) for f in (pd.concat([half, half]), half))
+    assert len(got.phi) == 4100 and got.iterations == want.iterations
+    # the mean by rows and the centred integral are the same for doubled rows
+    assert np.allclose(got.derivative[::2], want.derivative, rtol=1e-5, atol=1e-6) and np.allclose(got.phi[::2], want.phi, rtol=1e-6, atol=1e-7)
+
+
+def test_smoothers_agree(spark, instruments):
+    """By matrix, on a line and by tiles, their fits and own weights."""
+    z, y = instruments.z.to_numpy(), instruments.y.to_numpy()
+    for degree in (0, 1):
+        H = instrumental.smoother([z], [0.1], degree)
+        S = instrumental.Smoother([z], [0.1], degree)
+        assert S.pairs.line is not None
+        tiles = instrumental.Smoother([z, z], [0.1 * np.sqrt(2)] * 2, 0)
+        assert np.allclose(S(y), H @ y, atol=1e-10) and np.allclose(S.own()[S.which], np.diag(H), atol=1e-10)
+        if not degree:
+            assert np.allclose(tiles(y), H @ y, atol=1e-10) and np.allclose(tiles.own()[tiles.which], np.diag(H), atol=1e-10)
