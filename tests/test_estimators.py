@@ -632,3 +632,27 @@ def test_smoothers_agree(spark, instruments):
         assert np.allclose(S(y), H @ y, atol=1e-10) and np.allclose(S.own()[S.which], np.diag(H), atol=1e-10)
         if not degree:
             assert np.allclose(tiles(y), H @ y, atol=1e-10) and np.allclose(tiles.own()[tiles.which], np.diag(H), atol=1e-10)
+
+
+def test_regression_bands_take_whole_tables(spark, frame):
+    """A row drawn many times is many rows: the fit is that of the few distinct ones, by every method."""
+    many = pd.concat([frame[["x", "y"]]] * 260)
+    points = pd.DataFrame({"x": [0.2, 0.5, 0.8]})
+    few, data = spark.createDataFrame(frame[["x", "y"]]), spark.createDataFrame(many)
+    for regtype, method in (("lc", "inid"), ("ll", "geom"), ("ll", "wild")):
+        b = plotdata.regression_band(data, one(), "y", points, regtype, control=plotdata.BootControl(method, 19, block=3)).toPandas()
+        want = regression.npreg(few, one(), "y", points, regtype).toPandas().sort_values("at")["mean"]
+        assert np.allclose(b["mean"], want) and (b.lower < b.upper).all() and (b.upper - b.lower).max() < 0.1
+        assert method == "wild" or ((b.lower < b["mean"]) & (b["mean"] < b.upper)).all()  # wild draws smooth the fit again
+
+
+def test_regression_band_replicates_equal_weighted_fits(spark, frame):
+    data = spark.createDataFrame(frame[["x", "y"]])
+    points = pd.DataFrame({"x": [0.2, 0.5, 0.8]})
+    control = plotdata.BootControl(number=19)
+    train = plans.collect(data, one(), y=F.col("y"))
+    for regtype, degree in (("lc", ()), ("ll", (1,))):
+        K = kernels.pdf((points.x.to_numpy()[:, None] - train.columns[0]) / 0.1)
+        boot = np.stack([polynomials.fit_rows(K * plotdata.block_counts(np.random.default_rng([42, i]), train.n, control), train, one(), train.extra["y"], [points.x.to_numpy()], degree)[0] for i in range(19)])
+        b = plotdata.regression_band(data, one(), "y", points, regtype, control=control).toPandas()
+        assert np.allclose(b.lower, np.quantile(boot, 0.025, 0)) and np.allclose(b.upper, np.quantile(boot, 0.975, 0))
