@@ -656,3 +656,13 @@ def test_regression_band_replicates_equal_weighted_fits(spark, frame):
         boot = np.stack([polynomials.fit_rows(K * plotdata.block_counts(np.random.default_rng([42, i]), train.n, control), train, one(), train.extra["y"], [points.x.to_numpy()], degree)[0] for i in range(19)])
         b = plotdata.regression_band(data, one(), "y", points, regtype, control=control).toPandas()
         assert np.allclose(b.lower, np.quantile(boot, 0.025, 0)) and np.allclose(b.upper, np.quantile(boot, 0.975, 0))
+
+
+def test_density_bands_take_whole_tables(spark):
+    v = np.random.default_rng(16).normal(size=20_300)
+    data, points = spark.createDataFrame(pd.DataFrame({"x": v})), pd.DataFrame({"x": [-1.0, 0.0, 1.0]})
+    for distribution in (False, True):
+        b = plotdata.density_band(data, one("x", 0.3), points, distribution, plotdata.BootControl("geom", 19, block=3)).toPandas()
+        z = (points.x.to_numpy()[:, None] - v) / 0.3
+        want = (kernels.cdf(z) if distribution else kernels.pdf(z) / 0.3).mean(1)
+        assert np.allclose(b.fit, want) and (b.lower < b.fit).all() and (b.fit < b.upper).all()
