@@ -710,3 +710,11 @@ def test_density_objectives_of_large_tables(long, monkeypatch):
         for bw in (one("a", 1.0), one("g", 0.5), mixed):
             few, whole = _both(monkeypatch, lambda: search.evaluate(long, [bw], loss)[0])
             assert whole == pytest.approx(few, rel=1e-9), bw
+
+
+def test_regression_objectives_of_large_tables(long, monkeypatch):
+    y = {"y": F.col("y")}
+    for bw in (one("a", 1.0), one("g", 0.5)):
+        for method, finish in (("ls", lambda s, n: s[0] / n), ("aic", search.aic_corrected)):
+            few, whole = _both(monkeypatch, lambda: search.evaluate(long, [bw], search.regression(method), y, finish)[0])
+            assert whole == pytest.approx(few, rel=1e-8)
