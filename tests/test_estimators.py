@@ -739,3 +739,9 @@ def test_conditional_modes_of_large_tables(long, monkeypatch):
     assert list(few) == list(whole) and (few.conmode == whole.conmode).all() and np.allclose(few.condens, whole.condens)
     few, whole = _both(monkeypatch, lambda: sorted(map(tuple, conditional.confusion(conditional.npconmode(long, bw, "c")).collect())))
     assert few == whole
+
+
+def test_conditional_classification_of_large_tables(long, monkeypatch):
+    bw = Bandwidth(tuple(variables(long, ["c", "g"])), (0.1, 1.0), density.DENSITY_KERNEL)
+    few, whole = _both(monkeypatch, lambda: conditional.classification(conditional.npconmode(long, bw, "c")).first())
+    assert np.allclose(tuple(few), tuple(whole))
