@@ -760,3 +760,10 @@ def test_local_polynomial_densities_of_large_tables(spark, long, monkeypatch):
     for degree in ((0,), (1,)):
         few, whole = _both(monkeypatch, lambda: conditional.local_polynomial_density(long, bw, "y", points, degree).toPandas().sort_values("at"))
         assert list(few) == list(whole) and np.allclose(few, whole)
+
+
+def test_local_polynomial_distributions_of_large_tables(spark, long, monkeypatch):
+    points = spark.createDataFrame(pd.DataFrame({"g": [0.5, 0.5, 3.5], "y": [0.0, 1.0, 0.5], "at": [0, 1, 2]}))
+    bw = Bandwidth((Variable("y"), Variable("g")), (0.3, 0.5))
+    few, whole = _both(monkeypatch, lambda: conditional.local_polynomial_density(long, bw, "y", points, (1,), distribution=True).toPandas().sort_values("at"))
+    assert list(few) == list(whole) and np.allclose(few, whole)
