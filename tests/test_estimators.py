@@ -720,6 +720,20 @@ def test_regression_objectives_of_large_tables(long, monkeypatch):
             assert whole == pytest.approx(few, rel=1e-8)
 
 
+def test_regression_objectives_of_more_rows_than_go_to_all_tasks(spark):
+    """Whole, with no limit moved, against sums by distinct x."""
+    n, h = 200_100, 3.0
+    i = np.arange(n)
+    x, y = i % 23, i % 7 + 0.5 * (i % 23)
+    K = kernels.pdf((np.arange(23)[:, None] - np.arange(23)) / h)
+    near, total, own = (K @ np.bincount(x))[x], (K @ np.bincount(x, y))[x], K[0, 0]
+    left_out, fit = (total - own * y) / (near - own), total / near
+    data = spark.range(n).select((F.col("id") % 23).cast("double").alias("x"), (F.col("id") % 7 + 0.5 * (F.col("id") % 23)).alias("y"))
+    objective = lambda method, finish: search.evaluate(data, [one("x", h)], search.regression(method), {"y": F.col("y")}, finish)[0]
+    assert objective("ls", lambda s, m: s[0] / m) == pytest.approx(np.mean((y - left_out) ** 2), rel=1e-9)
+    assert objective("aic", search.aic_corrected) == pytest.approx(search.aic_corrected([((y - fit) ** 2).sum(), (own / near).sum()], n), rel=1e-9)
+
+
 def test_fits_of_large_tables(long, monkeypatch):
     for bw in (one("a", 1.0), one("g", 0.5)):
         few, whole = _both(monkeypatch, lambda: regression.fitted(long, bw, "y", carry={"k": F.col("a")}).toPandas().sort_values(["k", "y"]))
